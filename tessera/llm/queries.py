@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, packing, secrets, sharding
+from . import exact_dedup, line_dedup, packing, secrets, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op8_secret_ownership": secrets.op8_secret_ownership,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_window_dedup": substring_dedup.op10_window_dedup,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op5_line_dedup": line_dedup.OP5_SQL,
         "op8_secret_ownership": secrets.OP8_SQL,
+        "op10_window_dedup": substring_dedup.OP10_SQL,
     }
