@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, packing, secrets, sharding, substring_dedup
+from . import exact_dedup, jaccard_join, line_dedup, packing, secrets, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_jump_sharding": sharding.op3_jump_sharding,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op8_secret_ownership": secrets.op8_secret_ownership,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_window_dedup": substring_dedup.op10_window_dedup,
@@ -24,6 +25,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op5_line_dedup": line_dedup.OP5_SQL,
+        "op6_jaccard_join": jaccard_join.OP6_SQL,
         "op8_secret_ownership": secrets.OP8_SQL,
         "op10_window_dedup": substring_dedup.OP10_SQL,
     }
