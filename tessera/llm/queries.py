@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, line_dedup, packing, secrets, sharding, substring_dedup
+from . import exact_dedup, jaccard_join, line_dedup, packing, secrets, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op3_jump_sharding": sharding.op3_jump_sharding,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_line_dedup": line_dedup.op5_line_dedup,
