@@ -124,6 +124,18 @@ def packed_longs(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values, dtype="<i8").tobytes()
 
 
+#: Rows of ids that go to every task at most: with 8 bytes each, a few MB.
+BROADCAST_ROWS = 500_000
+
+
+def without(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose id is not in ``ids`` (one column ``doc_id``). A short list is broadcast, so ``df`` is not shuffled; a long one is joined."""
+    ids = materialize(ids, "ids")
+    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    ids = ids.withColumnRenamed("doc_id", "_gone")
+    return df.join(F.broadcast(ids) if small else ids, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+
+
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # the splitmix64 finaliser's fixed values
 
 
@@ -142,10 +154,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of texts laid end to end: starts, ends (byte offsets) and the n + 1 bounds of each text's words."""
+def words(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` (or runs of bytes not in ``space``) of texts laid end to end: starts, ends (byte offsets) and the n + 1 bounds of each text's words."""
     edge = np.ones(len(data) + 1, bool)  # edge[i]: no word runs from byte i-1 into byte i
-    word = ~SPACE[data] if len(data) else np.zeros(0, bool)
+    word = ~space[data] if len(data) else np.zeros(0, bool)
     if len(data):
         edge[1:-1] = ~(word[:-1] & word[1:])
         edge[bounds] = True
