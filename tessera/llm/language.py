@@ -17,8 +17,9 @@ TRAIN_ROWS, MAX_LANGUAGES = 4000, 64
 BITS = 15
 #: Trigrams of a text beyond which its likelihood counts no more: neighbours are not independent.
 EVIDENCE_GRAMS = 60
-#: Trigrams from which a text that no language explains better than loose bytes do is rejected.
-MIN_GRAMS = 24
+#: A text is rejected from so many trigrams on, if each is on average so much likelier as loose bytes than in any language.
+#: Prose with licence lines, addresses or keys in it stays above; digests and digit tables fall below.
+MIN_GRAMS, MARGIN = 48, -2.5
 #: Pseudo-counts: of a domain for its host, of the corpus for a domain or suffix, and of a language for its declaration.
 HOST_WEIGHT, DOMAIN_WEIGHT, DECLARED_WEIGHT = 8.0, 32.0, 4.0
 _FOLD = np.array([c + 32 if 65 <= c < 91 else c if c >= 128 or 97 <= c < 123 else 32 for c in range(256)], dtype=np.uint8)
@@ -46,12 +47,13 @@ class TextModel:
         x = np.arange(256, dtype=np.uint8)
         self.loose = p[x]
 
-    def score(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text: mean log-likelihood a language, that of loose bytes, and the number of trigrams."""
+    def score(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: mean log-likelihood a language, that of loose bytes, and the numbers of trigrams and letters."""
         folded = _FOLD[data]
+        n_letters = np.diff(np.r_[0, np.cumsum(folded != 32)][bounds])
         n = np.maximum(np.diff(bounds) - 2, 0)
         if len(data) < 3:
-            return np.zeros((len(n), len(self.languages))), np.zeros(len(n)), n * 0
+            return np.zeros((len(n), len(self.languages))), np.zeros(len(n)), n * 0, n_letters
         grams = _grams(folded)
         letters = (folded[:-2] != 32) | (folded[1:-1] != 32) | (folded[2:] != 32)
         inside = letters
@@ -62,7 +64,7 @@ class TextModel:
         n = np.diff(at)
         mean = lambda v: np.diff(np.r_[0.0, np.cumsum(v, dtype=np.float64)][at]) / np.maximum(n, 1)
         loose = self.loose[folded]
-        return np.stack([mean(row[used]) for row in self.table], axis=1), mean((loose[:-2] + loose[1:-1] + loose[2:])[inside]), n
+        return np.stack([mean(row[used]) for row in self.table], axis=1), mean((loose[:-2] + loose[1:-1] + loose[2:])[inside]), n, n_letters
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
@@ -112,7 +114,7 @@ def identify(
     shuffled. A very common host is partially aggregated, and its rows are few bytes each.
 
     ``kept`` is false (and ``language`` is ``und``) for texts without letters, and for texts of MIN_GRAMS trigrams or more that loose bytes
-    explain better than any language does. Evidence that is missing or null says nothing. Repeated ids, null
+    explain better than any language does, by MARGIN a trigram. Evidence that is missing or null says nothing. Repeated ids, null
     ids and empty tables: see ``common.documents``; of repeated ids the evidence goes with the text that stays.
     """
     names = model.languages
@@ -127,15 +129,15 @@ def identify(
         host.alias("host"), F.when(url.isNotNull(), F.regexp_extract(host, r"([^.]+)$", 1)).alias("suffix"),
     )
     d = documents(source, keep=["declared", "host", "suffix"])
-    ddl = "doc_id long, declared string, host string, suffix string, means array<double>, loose double, n_grams long"
+    ddl = "doc_id long, declared string, host string, suffix string, means array<double>, loose double, n_grams long, letters long"
     schema = pa_schema(ddl)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            means, loose, n = zip(*(model.score(data, bounds) for _, data, bounds in text_chunks(batch.column(0), batch.column(1))), strict=True)
+            means, loose, n, letters = zip(*(model.score(data, bounds) for _, data, bounds in text_chunks(batch.column(0), batch.column(1))), strict=True)
             flat = np.concatenate(means)
             lists = pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * size, flat.reshape(-1))
-            yield to_batch({"doc_id": batch.column(0), "declared": batch.column(2), "host": batch.column(3), "suffix": batch.column(4), "means": lists, "loose": np.concatenate(loose), "n_grams": np.concatenate(n)}, schema)
+            yield to_batch({"doc_id": batch.column(0), "declared": batch.column(2), "host": batch.column(3), "suffix": batch.column(4), "means": lists, "loose": np.concatenate(loose), "n_grams": np.concatenate(n), "letters": np.concatenate(letters)}, schema)
 
     scored = materialize(d.mapInArrow(score, ddl), "langscores")  # thin, and read several times
     weight = F.least("n_grams", F.lit(EVIDENCE_GRAMS))
@@ -167,7 +169,7 @@ def identify(
     j = j.withColumn("logs", logs)
     best = F.array_max("logs")
     sure = 1 / F.aggregate(F.transform("logs", lambda x: F.exp(x - best)), F.lit(0.0), lambda a, x: a + x)
-    kept = (F.col("n_grams") > 0) & ((F.col("n_grams") < MIN_GRAMS) | (F.array_max("means") > F.col("loose")))
+    kept = (F.col("letters") > 0) & ((F.col("n_grams") < MIN_GRAMS) | (F.array_max("means") - F.col("loose") > MARGIN))
     which = F.element_at(F.array(*map(F.lit, names)), F.array_position("logs", best).cast("int"))
     return j.select(
         "doc_id", F.when(kept, which).otherwise("und").alias("language"), F.when(kept, sure).otherwise(0.0).alias("confidence"),
