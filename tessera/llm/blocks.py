@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import pa_schema, partitions, text_chunks
 
-#: Bytes of text in a block, about; keys of the corpus in a segment, about.
-BLOCK_BYTES = 4 << 20
-SEGMENT_KEYS = 2 << 20
+#: Bytes of text in a block, and keys of the corpus in a segment, about. A small corpus is dealt more finely, to give
+#: every partition work, but not below the least: a block sends a row to each segment, so rows go with the product.
+BLOCK_BYTES, LEAST_BYTES = 4 << 20, 256 << 10
+SEGMENT_KEYS, LEAST_KEYS = 2 << 20, 256 << 10
 #: Bits of a sketch cell's number in its segment: at SEGMENT_KEYS keys a segment, one cell in 16 is taken.
 CELL_BITS = 25
 _ASKED = "segment int, block int, family int, n int, keys binary, vals binary"
@@ -51,8 +52,10 @@ class Layout:
 def layout(d: DataFrame) -> Layout:
     """Numbers of blocks and segments in proportion to the corpus, from one pass that adds up its bytes."""
     total = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = partitions(d.sparkSession)
-    return Layout(max(n, int(total // BLOCK_BYTES) + 1), max(0, int(max(n, total / 5 / SEGMENT_KEYS) - 1).bit_length()))
+    keys, n = total / 5, partitions(d.sparkSession)
+    blocks = max(total / BLOCK_BYTES, min(n, total / LEAST_BYTES))
+    segments = max(keys / SEGMENT_KEYS, min(n, keys / LEAST_KEYS), 1)
+    return Layout(int(blocks) + 1, int(segments - 1).bit_length())
 
 
 def blocked(d: DataFrame, at: Layout) -> DataFrame:

@@ -7,7 +7,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .blocks import Answers, answer, ask, block_chunks, blocked, layout, squeeze, unsqueeze, with_answers
 from .common import documents, gram_hashes, load, pa_schema, span_hashes, words
@@ -15,7 +14,8 @@ from .common import documents, gram_hashes, load, pa_schema, span_hashes, words
 WINDOW = 13
 DEPTH = 2
 _EXACT = "segment int, block int, n int, keys binary, least binary, spots binary, n_spots int"
-_GONE = "block int, segment int, n int, at binary"
+#: ``copies``: ``at`` holds documents that repeat a smaller one's text, sent round so that the answers are computed once.
+_GONE = "block int, segment int, n int, at binary, copies boolean"
 _WHOLE = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -49,6 +49,11 @@ def repeated_windows(b: DataFrame, at, width: int, depth: int) -> DataFrame:
         if not table.num_rows:
             return pa.table(out, schema=schema)
         known = Answers(answers, at.segment_bits)
+        block = table.column("block")[0].as_py()
+        later = np.array([doc for doc, (least, _) in known.classes.items() if doc != least], np.int64)
+        if len(later):
+            for name, v in zip(out, (block & ((1 << at.segment_bits) - 1), block, 0, b"", b"", squeeze(later), len(later)), strict=True):
+                out[name].append(v)
         h1, h2, docs, places, stands, first_word = [], [], [], [], [], 0
         for ids, data, bounds in block_chunks(table):
             a, c, doc, place = second_hash(data, bounds, width)
@@ -70,7 +75,6 @@ def repeated_windows(b: DataFrame, at, width: int, depth: int) -> DataFrame:
         group = np.cumsum(new) - 1
         seg = (h1 >> np.uint64(64 - at.segment_bits)).astype(np.int64) if at.segment_bits else np.zeros(len(h1), np.int64)
         cuts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]) if len(seg) else np.zeros(0, np.int64)
-        block = table.column("block")[0].as_py()
         for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(seg)], strict=True):
             g0, g1 = group[x], group[y - 1] + 1
             f = first[g0:g1]
@@ -89,7 +93,16 @@ def repeated_windows(b: DataFrame, at, width: int, depth: int) -> DataFrame:
 
     def settle(table: pa.Table) -> pa.Table:
         """Group a segment's windows exactly (96 bits); tell each block which of its places lose their words."""
-        rows = table.to_pylist()
+        out: dict[str, list] = {f.name: [] for f in gone}
+        rows = []
+        for r in table.to_pylist():
+            if r["n"]:
+                rows.append(r)
+            else:
+                for name, v in zip(out, (r["block"], r["segment"], r["n_spots"], r["spots"], True), strict=True):
+                    out[name].append(v)
+        if not rows:
+            return pa.table(out, schema=gone)
         h1, h2 = [], []
         for r in rows:
             k = int.from_bytes(r["keys"][:4], "little")
@@ -103,7 +116,6 @@ def repeated_windows(b: DataFrame, at, width: int, depth: int) -> DataFrame:
         least = np.empty(len(docs), np.int64)
         least[order] = np.repeat(docs[order][first], np.diff(np.r_[first, len(docs)]))
         earlier = least < docs  # another block holds it in a smaller document than any here
-        out: dict[str, list] = {f.name: [] for f in gone}
         at_row = 0
         for r in rows:
             packed = unsqueeze(r["spots"], "<i4", r["n"] + r["n_spots"])
@@ -111,12 +123,12 @@ def repeated_windows(b: DataFrame, at, width: int, depth: int) -> DataFrame:
             hit = spots[np.repeat(earlier[at_row : at_row + r["n"]], sizes) | (spots & 1).astype(bool)] >> 1
             at_row += r["n"]
             if len(hit):
-                for name, v in zip(out, (r["block"], r["segment"], len(hit), squeeze(np.sort(hit).astype(np.int32))), strict=True):
+                for name, v in zip(out, (r["block"], r["segment"], len(hit), squeeze(np.sort(hit).astype(np.int32)), False), strict=True):
                     out[name].append(v)
         return pa.table(out, schema=gone)
 
     exact = with_answers(b, sketch, suspects, _EXACT)
-    return exact.groupBy("segment").applyInArrow(settle, _GONE), sketch
+    return exact.groupBy("segment").applyInArrow(settle, _GONE)
 
 
 def window_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, depth: int = DEPTH, emit: str = "digest") -> DataFrame:
@@ -134,12 +146,9 @@ def window_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = documents(df, id_col, text_col)
     at = layout(d)
     b = blocked(d, at)
-    gone, sketch = repeated_windows(b, at, width, depth)
+    told = repeated_windows(b, at, width, depth)
     ddl = _WHOLE if emit == "digest" else _WHOLE.replace("kept_sha256", "text")
     schema = pa_schema(ddl)
-    copies = sketch.where("family = 0").select("block", "segment", "n", F.col("answer").alias("at"), F.lit(True).alias("copies"))
-    told = gone.withColumn("copies", F.lit(False)).unionByName(copies)
-
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.name: [] for f in schema}
         if not table.num_rows:
@@ -147,8 +156,7 @@ def window_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         later, at_words = set(), []
         for r in answers.to_pylist():
             if r["copies"]:
-                docs, least, _ = np.split(unsqueeze(r["at"], "<i8", 3 * r["n"]), 3)
-                later.update(docs[docs != least].tolist())
+                later.update(unsqueeze(r["at"], "<i8", r["n"]).tolist())
             else:
                 at_words.append(unsqueeze(r["at"], "<i4", r["n"]))
         spots = np.sort(np.concatenate(at_words)) if at_words else np.zeros(0, np.int32)
