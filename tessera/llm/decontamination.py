@@ -132,7 +132,8 @@ def find_leaks(
                     order = np.lexsort((item, doc))
                     at, item, place, doc = at[order], item[order], place[order], doc[order]
                     cut = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0)]) if len(at) else np.zeros(0, np.int64)
-                    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(at)], strict=True):
+                    ends = np.r_[cut[1:], len(at)][: len(cut)]
+                    for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
                         n = int(seeds.words[item[a]])
                         covered, tiles = tile(at[a:b], place[a:b], least, n)
                         key = (-covered / n, seeds.ids[item[a]], tiles)

@@ -75,7 +75,8 @@ def repeated_windows(b: DataFrame, at, width: int, depth: int) -> DataFrame:
         group = np.cumsum(new) - 1
         seg = (h1 >> np.uint64(64 - at.segment_bits)).astype(np.int64) if at.segment_bits else np.zeros(len(h1), np.int64)
         cuts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]) if len(seg) else np.zeros(0, np.int64)
-        for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(seg)], strict=True):
+        ends = np.r_[cuts[1:], len(seg)][: len(cuts)]
+        for x, y in zip(cuts.tolist(), ends.tolist(), strict=True):
             g0, g1 = group[x], group[y - 1] + 1
             f = first[g0:g1]
             later = docs[x:y] != docs[first[group[x:y]]]
