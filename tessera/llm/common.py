@@ -8,12 +8,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch that carries whole texts (texts can be long, so batches stay short).
 TEXT_BATCH = 256
+#: Rows of a few numbers that one file holds.
+FILE_ROWS = 500_000
 _made: list[tuple[SparkSession, str]] = []
+_held: list[DataFrame] = []
 
 
 def partitions(spark: SparkSession) -> int:
@@ -31,23 +35,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` once to the shared folder and read it back. Removed when the driver ends."""
+def hold(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once for several readers: cached on the executors' disks, with its lineage, so that what a lost
+    executor held is computed again. Freed by ``release``."""
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    _held.append(df)
+    return df
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut lineage: write ``df`` once to the shared folder and read it back. ``rows``, where known, keeps small results in few files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(min(partitions(spark), rows // FILE_ROWS + 1))
     df.write.parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Free what operators have held and written. Results that are still to be read must be stored before."""
+    while _held:
+        _held.pop().unpersist()
+    while _made:
+        spark, path = _made.pop()
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
-def _drop_made() -> None:
-    for spark, path in _made:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session is gone; the folder's owner clears it
-            return
+def _at_exit() -> None:
+    try:
+        release()
+    except Exception:  # noqa: BLE001  the session is gone; the folder's owner clears it
+        return
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
@@ -130,7 +153,7 @@ BROADCAST_ROWS = 500_000
 
 def without(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``df`` whose id is not in ``ids`` (one column ``doc_id``). A short list is broadcast, so ``df`` is not shuffled; a long one is joined."""
-    ids = materialize(ids, "ids")
+    ids = hold(ids)
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     ids = ids.withColumnRenamed("doc_id", "_gone")
     return df.join(F.broadcast(ids) if small else ids, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")

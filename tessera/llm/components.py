@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hold, materialize
 
 
 def _pull(edges: DataFrame) -> DataFrame:
@@ -20,17 +20,17 @@ def components(links: DataFrame) -> DataFrame:
     Rounds grow with the logarithm of the nodes; each writes its links to the shared folder, and the driver sees
     only a count and a checksum.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-    before = None
+    edges = hold(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before, rows = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _pull(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         pulled = _pull(large)
         small = pulled.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(pulled.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(small, "stars")
+        edges = materialize(small, "stars", 2 * rows)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -149,7 +149,7 @@ def find_leaks(
     found = None
     for items in _blocks(benchmark, item_col, item_text_col):
         one = d.mapInArrow(against(Seeds(items, least)), _FOUND)
-        found = one if found is None else found.unionByName(one).groupBy("doc_id").agg(F.min(F.struct(-F.col("coverage"), "item_id", "coverage", "tiles")).alias("b")).select("doc_id", "b.item_id", "b.coverage", "b.tiles")
+        found = one if found is None else found.unionByName(one).groupBy("doc_id").agg(F.min(F.struct(F.coalesce(-F.col("coverage"), F.lit(1.0)), "item_id", "coverage", "tiles")).alias("b")).select("doc_id", "b.item_id", "b.coverage", "b.tiles")
     return found.select("doc_id", F.coalesce(F.col("coverage") >= coverage, F.lit(False)).alias("contaminated"), "item_id", "coverage", "tiles")
 
 

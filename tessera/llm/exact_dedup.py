@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXT_BATCH, load, materialize, pa_schema, partitions, to_batch
+from .common import TEXT_BATCH, hold, load, pa_schema, partitions, to_batch
 
 #: Code points of the text that lead the range key. Splitters are sampled keys, so they stay this short however long texts are.
 PREFIX = 24
@@ -79,7 +79,7 @@ def content_sort_dedup(
     d = df.select(F.col(id_col).cast("long").alias("doc_id"), (normalize(text) if normalize else text).alias("text"))
     d = d.select("doc_id", "text", F.xxhash64("text").alias("h"), F.substring("text", 1, PREFIX).alias("p"))
     d = d.repartitionByRange(partitions(spark), "p", "h", "doc_id").sortWithinPartitions("p", "h", "text", "doc_id")
-    rows = materialize(d.select("doc_id", "text", "h").mapInArrow(_runs(keep == "largest"), _SORTED), "contentsort")
+    rows = hold(d.select("doc_id", "text", "h").mapInArrow(_runs(keep == "largest"), _SORTED))
     best = F.max if keep == "largest" else F.min
     ends = rows.where("edge and last").groupBy("text_sha256").agg(best("keep_id").alias("k"), F.sum("group_size").alias("n"))
     return rows.join(F.broadcast(ends), "text_sha256", "left").select(

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, load, materialize, pa_schema, text_chunks, to_batch
+from .common import documents, hold, load, pa_schema, text_chunks, to_batch
 
 #: Labelled rows that the text model is fitted on, at most; languages it may have, at most (the most frequent ones).
 TRAIN_ROWS, MAX_LANGUAGES = 4000, 64
@@ -139,7 +139,7 @@ def identify(
             lists = pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * size, flat.reshape(-1))
             yield to_batch({"doc_id": batch.column(0), "declared": batch.column(2), "host": batch.column(3), "suffix": batch.column(4), "means": lists, "loose": np.concatenate(loose), "n_grams": np.concatenate(n), "letters": np.concatenate(letters)}, schema)
 
-    scored = materialize(d.mapInArrow(score, ddl), "langscores")  # thin, and read several times
+    scored = hold(d.mapInArrow(score, ddl))  # thin, and read several times
     weight = F.least("n_grams", F.lit(EVIDENCE_GRAMS))
     top = F.array_max("means")
     raw = F.transform("means", lambda m: F.exp((m - top) * weight))

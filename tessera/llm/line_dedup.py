@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, load, materialize, pa_schema, partitions, to_batch
+from .common import documents, hold, load, pa_schema, partitions, to_batch
 
 MIN_LENGTH = 10
 _LINES = "h1 long, h2 long, doc_id long, pos int"
@@ -86,7 +86,7 @@ def repeated_lines(d: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     n = partitions(d.sparkSession)
     keys = ["h1", "h2", "doc_id", "pos"]
     lines = d.select("doc_id", "text").mapInArrow(_keyed(min_length), _LINES)
-    marks = materialize(lines.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(_stream, _MARKS), "linemarks")
+    marks = hold(lines.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(_stream, _MARKS))
     # two hashes a partition at most: bounded by the number of partitions
     carried = marks.where("lines is null").groupBy("h1", "h2").agg(F.min("first").alias("least"))
     decided = marks.where("lines is not null and h1 is null").select("doc_id", "lines")

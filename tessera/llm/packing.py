@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, load, materialize, pa_schema, to_batch
+from .common import documents, hold, load, pa_schema, to_batch
 
 CONTEXT = 2048
 VOCABULARY = "byte_bpe_50k"
@@ -174,7 +174,7 @@ def best_fit_packing(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null text is empty and still has its end id. Repeated ids, null ids: see ``common.documents``. Empty in, empty out.
     """
-    return pack(materialize(pieces(df, id_col, text_col, context, vocabulary), "pieces"), context)
+    return pack(hold(pieces(df, id_col, text_col, context, vocabulary)), context)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

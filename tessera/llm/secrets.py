@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, load, materialize
+from .common import documents, hold, load
 
 #: Fixed values of the contract: kind, pattern of the base scan, and the least number of characters.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -69,7 +69,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
     repo = F.concat_ws("/", owner, F.coalesce(F.col(repo_col).cast("string"), F.lit(""))) if repo_col else owner
     # the thin table is read twice, the texts once
-    base = materialize(d.select("doc_id", owner.alias("owner"), repo.alias("repo"), base_spans(F.col("text")).alias("base")), "secretspans")
+    base = hold(d.select("doc_id", owner.alias("owner"), repo.alias("repo"), base_spans(F.col("text")).alias("base")))
     seen = base.select("owner", "repo", F.explode("base.value").alias("value")).distinct()
     owners = seen.groupBy("value").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repo").alias("n_repos"))
     spots = base.select("doc_id", F.posexplode("base").alias("no", "m")).withColumn("value", F.col("m.value"))
