@@ -318,3 +318,18 @@ def has_non_finite(c: Column, t: T.DataType) -> Column:
     if isinstance(t, T.StructType):
         return reduce(lambda a, b: a | b, [has_non_finite(c[f.name], f.dataType) for f in t.fields], F.lit(False))
     return F.lit(False)
+
+
+def select_mode(t: T.DataType, kind: TypeDef | None, threshold: int = 3, size: Column | None = None) -> Column:
+    """How a column of a schema's type is best written: ``tabular``, ``packed`` or ``struct``. All but a list's size is known at plan time."""
+    if isinstance(t, T.ArrayType) and kind is not None and kind.tab and size is not None:
+        return F.when(size >= threshold, "tabular").otherwise("struct")
+    return F.lit("packed" if isinstance(t, T.StructType) and kind is not None and kind.pack else "struct")
+
+
+def auto_text(c: Column, t: T.DataType, kind: TypeDef, schema: Schema, threshold: int = 3) -> Column:
+    """A column of a schema's type in the mode that ``select_mode`` gives."""
+    if isinstance(t, T.ArrayType):
+        plain = typed_text(c, t, name=kind.name)
+        return F.when(F.size(c) >= threshold, tabular_text(c, t.elementType, kind, schema)).otherwise(plain) if kind.tab else plain
+    return packed_text(c, t, kind, schema) if kind.pack else typed_text(c, t, name=kind.name)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import values
-from ..functions import canon, text
+from ..functions import canon, decimals, text
 from ..operators import dictionary, events, evolve, frames, identity, patch, tables, tools, validate
+from ..sources import bridge
 from . import schema as schemas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -453,6 +454,35 @@ def semantic_intersection(spark, sf_dir):
     return identity.same_rows(d, d.where("c_custkey % 2 = 0").select("c_name", "c_custkey"))
 
 
+@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS back FROM events WHERE json_type(props, '$.k') IN ('BIGINT', 'UBIGINT')")
+def dictionary_frames(spark, sf_dir):
+    """Events as binary frames with key codes, and back."""
+    d = table(spark, sf_dir, "events").where(F.get_json_object("props", "$.k").rlike(r"\A-?\d+\z"))
+    return d.select("event_id", bridge.frame_json(bridge.frame_column(F.col("props"), ["k"]), ["k"]).alias("back"))
+
+
+@query("SELECT p_partkey, 'Part{name=' || " + _str("p_name") + " || ' size=' || p_size || '}' AS typed, '{\"$type\":\"Part\",\"name\":\"' || p_name || '\",\"size\":' || p_size || '}' AS json FROM part")
+def typed_json_bridge(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select("p_partkey", F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"))).alias("j"))
+    d = d.select("p_partkey", bridge.typed_json_text(F.col("j"), type_name="Part").alias("typed"))
+    return d.select("p_partkey", "typed", bridge.text_typed_json(F.col("typed")).alias("json"))
+
+
+@query("SELECT conv_id, turn, '{txt=[^S1:0 ^S1:0]}' AS body, text AS back FROM conversations WHERE strlen(text) >= 20")
+def pool_documents(spark, sf_dir):
+    """Documents with their repeated strings pooled, and resolved again."""
+    d = table(spark, sf_dir, "conversations").where(F.octet_length("text") >= 20)
+    d = d.select("conv_id", "turn", bridge.pool_text(F.to_json(F.struct(F.array("text", "text").alias("txt")))).alias("p"))
+    return d.select("conv_id", "turn", F.substring_index("p", "\n", -1).alias("body"), F.get_json_object(text.to_json_text(bridge.unpool_text(F.col("p"))), "$.txt[1]").alias("back"))
+
+
+@query("SELECT p_partkey, p_size::VARCHAR || '.5m' AS literal, ((p_size + 0.5) * 2)::DOUBLE AS twice, TRUE AS is_literal FROM part")
+def decimal_literals(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit(".5m")).alias("literal"))
+    v = decimals.parse_decimal_literal(F.col("literal"), 20, 2)
+    return d.select("p_partkey", decimals.decimal_literal(v).alias("literal"), (v * 2).cast("double").alias("twice"), decimals.is_decimal_literal(F.col("literal")).alias("is_literal"))
+
+
 @query()
 def token_estimates(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))

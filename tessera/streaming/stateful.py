@@ -125,3 +125,22 @@ def dictionary_stream(df: DataFrame, session: str, order: str, keys: str, learn:
 def windowed_counts(df: DataFrame, ts: str, width: str, late: str, by: str) -> DataFrame:
     """Rows by event-time window and ``by``, with late rows up to ``late``."""
     return df.withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n"))
+
+
+def event_stream(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """Parse events of documents whose pieces stream in: the reader waits in the state for the rest of a token."""
+    from ..operators.events import EventReader
+
+    names = ["doc", "pos", "event", "path", "key", "value", "type_name"]
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        reader = pickle.loads(bytes(state.get[0])) if state.exists else EventReader()
+        out = []
+        for piece in pd.concat(list(parts)).sort_values(order)[text]:
+            for e in reader.feed(piece or ""):
+                value = e[4] if e[1] == "ERROR" else values.loose(e[4]) if e[1] == "VALUE" else None
+                out.append((k[0], *e[:4], value, e[5]))
+        state.update((pickle.dumps(reader),))
+        yield pd.DataFrame(out, columns=names, dtype=object)
+
+    return df.select(key, order, text).groupBy(key).applyInPandasWithState(run, f"doc {df.schema[key].dataType.simpleString()}, pos int, event string, path string, key string, value string, type_name string", "state binary", "append", GroupStateTimeout.NoTimeout)

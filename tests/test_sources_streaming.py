@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from tessera import cli
 from tessera.operators import frames
+from tessera.operators.events import events_of
 from tessera.sources import files, formats
 from tessera.streaming import stateful
 
@@ -87,6 +88,12 @@ def test_dictionary_stream(spark, tmp_path):
     assert sorted(got, key=str) == sorted([("b", 0), ("a", 1), ("a", 1), ("c", 2), ("d", None), ("c", 2)], key=str)
 
 
+def test_event_stream(spark, tmp_path):
+    got = _run(spark, tmp_path, [[(1, 0, "{a=[1")], [(1, 1, "2 x]")], [(1, 2, "}")]], "doc long, n long, t string", lambda d: stateful.event_stream(d, "doc", "n", "t"), "evt").collect()
+    want = events_of(["{a=[12 x]}"])
+    assert [(r.pos, r.event, r.path, r.key, r.value, r.type_name) for r in sorted(got, key=lambda r: r.pos)] == want
+
+
 def test_windows_drop_late_rows(spark, tmp_path):
     t = lambda m: datetime(2025, 1, 1, 0, m, tzinfo=UTC)
     got = _run(spark, tmp_path, [[(t(1), "a"), (t(2), "a")], [(t(40), "a")], [(t(3), "a"), (t(59), "b")]], "ts timestamp, k string", lambda d: stateful.windowed_counts(d, "ts", "5 minutes", "10 minutes", "k"), "win").collect()
