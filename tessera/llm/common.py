@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch that carries whole texts (texts can be long, so batches stay short).
 TEXT_BATCH = 256
-#: Rows of a few numbers that one file holds.
-FILE_ROWS = 500_000
+#: Rows of a few numbers that one file of a settled table holds.
+FILE_ROWS = 200_000
 _made: list[tuple[SparkSession, str]] = []
 _held: list[DataFrame] = []
 
@@ -55,6 +55,18 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_rows(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` computed once by as many tasks as it has, then written by as few as its rows need: (table, rows).
+
+    The table has no lineage, so plans that use it often stay small.
+    """
+    held = df.persist(StorageLevel.DISK_ONLY)
+    rows = held.count()
+    out = materialize(held, name, rows)
+    held.unpersist()
+    return out, rows
+
+
 def release() -> None:
     """Free what operators have held and written. Results that are still to be read must be stored before."""
     while _held:
@@ -153,10 +165,9 @@ BROADCAST_ROWS = 500_000
 
 def without(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``df`` whose id is not in ``ids`` (one column ``doc_id``). A short list is broadcast, so ``df`` is not shuffled; a long one is joined."""
-    ids = hold(ids)
-    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    ids, rows = settle_rows(ids, "ids")
     ids = ids.withColumnRenamed("doc_id", "_gone")
-    return df.join(F.broadcast(ids) if small else ids, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
 
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # the splitmix64 finaliser's fixed values

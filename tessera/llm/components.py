@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, materialize
+from .common import materialize, settle_rows
 
 
 def _pull(edges: DataFrame) -> DataFrame:
@@ -20,8 +20,8 @@ def components(links: DataFrame) -> DataFrame:
     Rounds grow with the logarithm of the nodes; each writes its links to the shared folder, and the driver sees
     only a count and a checksum.
     """
-    edges = hold(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before, rows = None, edges.count()
+    edges, rows = settle_rows(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
+    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _pull(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Answers, answer, ask, block_chunks, blocked, layout, with_answers
-from .common import documents, gram_hashes, hold, load, pa_schema, span_hashes, words
+from .common import documents, gram_hashes, hold, load, pa_schema, settle_rows, span_hashes, words
 from .components import components
 
 GRAM, PERCENT = 4, 85
@@ -173,7 +173,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     least = posts.groupBy("token").agg(F.min("doc_id").alias("m"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = components(posts.join(least, "token").where("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")))
     # a group whose documents share rare n-grams is searched whole; a large one in units, by bands of size and pairs of blocks
-    near = hold(near.select(F.col("node").alias("doc_id"), "component").join(live.select("doc_id", "n_shingles"), "doc_id"))
+    near, _ = settle_rows(near.select(F.col("node").alias("doc_id"), "component").join(live.select("doc_id", "n_shingles"), "doc_id"), "neargroups")
     sized = near.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"))
     band = F.floor(F.log("n_shingles") / math.log(100 / (percent - 1))).cast("int")
     big = (F.col("docs") > UNIT_DOCS) | (F.col("grams") > UNIT_GRAMS)
