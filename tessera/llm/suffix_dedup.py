@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Answers, answer, ask, block_chunks, blocked, layout, squeeze, unsqueeze, with_answers
-from .common import documents, load, mix, pa_schema, partitions, to_batch
+from .common import documents, load, mix, pa_schema, partitions, span_hashes, to_batch
 
 LENGTH = 200
 #: Bytes of an anchor; DEPTH rows of the anchors' sketch; window starts worked on at once; bytes in one index.
 ANCHOR, DEPTH, STEP, INDEX_BYTES = 32, 1, 1 << 20, 2 << 20
+#: From this count on (the sketch's highest) an anchor's strings are not gathered in one task, however many there are: their windows
+#: are grouped by digest over all segments instead.
+HOT = 255
 _POSITION = np.uint64((1 << 28) - 1)
 _PIECES = "anchor long, block int, n int, spots binary, content binary"
 _MARKS = "block int, n int, marks binary"
@@ -192,12 +195,18 @@ def suspects(b: DataFrame, sketch: DataFrame, at, length: int) -> DataFrame:
         chunks = [(ids, data, bounds, *anchored(data, bounds, length)) for ids, data, bounds in block_chunks(table)]
         counts = known.counts(np.concatenate([c[5] for c in chunks]))
         seen: dict[tuple[int, bytes], list] = {}
+        windows: list[np.ndarray] = []
         base = 0
         for ids, data, bounds, first, last, h in chunks:
-            maybe = np.flatnonzero(counts[base : base + len(h)] >= 2)
-            base += len(h)
-            doc = np.searchsorted(bounds, first[maybe], side="right") - 1
             own = np.array([known.classes[i][0] == i for i in ids.tolist()], bool)
+            doc = np.searchsorted(bounds, first, side="right") - 1
+            estimate = counts[base : base + len(h)]
+            hot = np.flatnonzero((estimate >= HOT) & own[doc]) if len(h) else np.zeros(0, np.int64)
+            if len(hot):
+                windows.append(_digests(ids, data, bounds, first[hot], last[hot], doc[hot], length))
+            maybe = np.flatnonzero((estimate >= 2) & (estimate < HOT))
+            base += len(h)
+            doc = doc[maybe]
             raw = data.tobytes()
             for k, d in zip(maybe[own[doc]].tolist(), doc[own[doc]].tolist(), strict=True):
                 a = int(first[k])
@@ -205,11 +214,64 @@ def suspects(b: DataFrame, sketch: DataFrame, at, length: int) -> DataFrame:
         for (anchor, content), spots in seen.items():
             for name, v in zip(out, (anchor, block, len(spots), np.array(spots, _SPOT).tobytes(), content), strict=True):
                 out[name].append(v)
+        for row in _by_segment(windows, at.segment_bits):
+            for name, v in zip(out, (row[0], block, *row[1:]), strict=True):
+                out[name].append(v)
         return pa.table(out, schema=schema)
 
     return with_answers(b, sketch, run, _PIECES)
 
 
+def _digests(ids: np.ndarray, data: np.ndarray, bounds: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Of the windows that start from first to last: two digests, document and place, a row each."""
+    n = last - first + 1
+    at = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+    doc = np.repeat(doc, n)
+    h = [span_hashes(data, at, at + length, seed=seed).view(np.int64) for seed in (0, 99)]
+    return np.stack([*h, ids[doc], at - bounds[doc]])
+
+
+def _by_segment(windows: list[np.ndarray], bits: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """Rows (key, minus the number of distinct windows, places, digests) of a block's windows, one a segment."""
+    if not windows:
+        return
+    h1, h2, doc, start = np.concatenate(windows, axis=1)
+    order = np.lexsort((start, doc, h2, h1.view(np.uint64)))
+    h1, h2, doc, start = h1[order], h2[order], doc[order], start[order]
+    seg = (h1.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h1), np.int64)
+    new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+    cut = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(seg)], strict=True):
+        f = np.flatnonzero(new[a:b]) + a
+        sizes = np.diff(np.r_[f, b])
+        yield int(seg[a]), -len(f), squeeze(np.r_[doc[a:b], start[a:b]]), squeeze(np.r_[h1[f], h2[f], sizes])
+
+
+def _settle_digests(rows: list[tuple[int, int, bytes, bytes]], length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a segment's windows those that start twice, whoever holds them: (block, marks)."""
+    parts = [unsqueeze(content, "<i8", 3 * n).reshape(3, n) for _, n, _, content in rows]
+    h1, h2, sizes = np.concatenate(parts, axis=1)
+    order = np.lexsort((h2, h1))
+    a, c = h1[order], h2[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
+    total = np.add.reduceat(sizes[order], first)
+    twice = np.empty(len(h1), bool)
+    twice[order] = np.repeat(total >= 2, np.diff(np.r_[first, len(h1)]))
+    base = 0
+    for block, n, spots, _ in rows:
+        size = sizes[base : base + n]
+        doc, start = unsqueeze(spots, "<i8", 2 * int(size.sum())).reshape(2, -1)
+        hit = np.repeat(twice[base : base + n], size)
+        base += n
+        doc, start = doc[hit], start[hit]
+        if len(doc):
+            order = np.lexsort((start, doc))
+            doc, start = doc[order], start[order]
+            cut = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(start) != 1)])
+            end = np.r_[cut[1:] - 1, len(doc) - 1]
+            yield block, np.stack([doc[cut], start[cut], start[end] + length])
+
+
 def settle(pieces: DataFrame, length: int) -> DataFrame:
     """Index the strings of anchor after anchor, and tell each block which bytes are covered."""
     schema = pa_schema(_MARKS)
@@ -218,6 +280,14 @@ def settle(pieces: DataFrame, length: int) -> DataFrame:
         groups: dict[bytes, list[tuple[int, bytes]]] = {}
         many: set[bytes] = set()
         size, anchor = 0, None
+        hot: list[tuple[int, int, bytes, bytes]] = []
+
+        def close_hot() -> Iterator[pa.RecordBatch]:
+            if hot:
+                rows = list(_settle_digests(hot, length))
+                hot.clear()
+                if rows:
+                    yield to_batch({"block": [k for k, _ in rows], "n": [v.shape[1] for _, v in rows], "marks": [squeeze(v.reshape(-1)) for _, v in rows]}, schema)
 
         def close() -> Iterator[pa.RecordBatch]:
             marks: dict[int, list[np.ndarray]] = {}
@@ -246,15 +316,21 @@ def settle(pieces: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             for key, block, n, spots, content in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if key != anchor and size >= INDEX_BYTES:
-                    yield from close()
-                    size = 0
+                if key != anchor:
+                    yield from close_hot()
+                    if size >= INDEX_BYTES:
+                        yield from close()
+                        size = 0
                 anchor = key
+                if n < 0:
+                    hot.append((block, -n, spots, content))
+                    continue
                 held = groups.setdefault(content, [])
                 size += 0 if held else len(content)
                 held.append((block, spots))
                 if n > 1 or len(held) > 1:
                     many.add(content)
+        yield from close_hot()
         yield from close()
 
     n = partitions(pieces.sparkSession)
@@ -270,7 +346,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     those that occur once, which is most of a corpus. What is left goes, with its windows' bytes, to the anchor's
     task, which builds a run-length index of them, a run-compressed Burrows-Wheeler transform with sampled run
     ends, streams matching statistics over it and marks matches of ``length``. Of equal texts one stands for all;
-    equal strings of a block travel once.
+    equal strings of a block travel once. Anchors that occur HOT times or more would gather a task too many strings:
+    their windows are digested (128 bits) and grouped over all segments, which marks the same bytes.
 
     A null text is empty; texts below ``length`` bytes keep all. Repeated ids, null ids, empty tables: see ``common.documents``.
     """

@@ -65,6 +65,14 @@ def test_suffix_odd(odd, frame):
         suffix_dedup.suffix_dedup(frame([]), length=10)
 
 
+@pytest.mark.parametrize("hot", [2, 4])
+def test_suffix_hot(corpus, frame, monkeypatch, hot):
+    """Anchors that occur often are settled by digests, with the same result."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    got = collected(suffix_dedup.suffix_dedup(frame(corpus), length=64), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == cut_bytes(corpus, 64)
+
+
 def test_run_index():
     rng = np.random.default_rng(3)
     for text in (b"banana" * 20, bytes(rng.integers(97, 99, 500, dtype=np.uint8)), b"a" * 100, bytes(rng.integers(0, 256, 300, dtype=np.uint8)), b"x"):
