@@ -140,8 +140,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-#: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK = 1 << 20
+#: Bytes of text that are worked on at once, few enough for the caches; a longer text is worked on alone.
+CHUNK = 1 << 18
 
 
 def text_chunks(ids: pa.Array, texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

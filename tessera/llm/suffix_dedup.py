@@ -16,7 +16,9 @@ from .common import documents, load, mix, pa_schema, partitions, span_hashes, to
 
 LENGTH = 200
 #: Bytes of an anchor; DEPTH rows of the anchors' sketch; window starts worked on at once; bytes in one index.
-ANCHOR, DEPTH, STEP, INDEX_BYTES = 32, 1, 1 << 20, 2 << 20
+ANCHOR, DEPTH, STEP, INDEX_BYTES = 32, 1, 1 << 18, 2 << 20
+#: Rows after which marks are sent on.
+MARKS = 100_000
 #: From this count on (the sketch's highest) an anchor's strings are not gathered in one task, however many there are: their windows
 #: are grouped by digest over all segments instead.
 HOT = 255
@@ -273,64 +275,79 @@ def _settle_digests(rows: list[tuple[int, int, bytes, bytes]], length: int) -> I
 
 
 def settle(pieces: DataFrame, length: int) -> DataFrame:
-    """Index the strings of anchor after anchor, and tell each block which bytes are covered."""
+    """Index the strings of anchor after anchor, and tell each block which bytes are covered.
+
+    Equal strings are one; only anchors with several different strings need the index.
+    """
     schema = pa_schema(_MARKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[bytes, list[tuple[int, bytes]]] = {}
+        own: dict[bytes, list[tuple[int, bytes]]] = {}  # the anchor's strings, with their places by block
+        pending: dict[bytes, list[tuple[int, bytes]]] = {}  # strings that wait for an index
         many: set[bytes] = set()
-        size, anchor = 0, None
+        marks: dict[int, list[np.ndarray]] = {}
         hot: list[tuple[int, int, bytes, bytes]] = []
-
-        def close_hot() -> Iterator[pa.RecordBatch]:
-            if hot:
-                rows = list(_settle_digests(hot, length))
-                hot.clear()
-                if rows:
-                    yield to_batch({"block": [k for k, _ in rows], "n": [v.shape[1] for _, v in rows], "marks": [squeeze(v.reshape(-1)) for _, v in rows]}, schema)
+        size, marked, anchor = 0, 0, None
+
+        def mark(held: list[tuple[int, bytes]], starts: np.ndarray, stops: np.ndarray) -> int:
+            for block, spots in held:
+                at = np.frombuffer(spots, _SPOT)
+                marks.setdefault(block, []).append(
+                    np.stack([np.repeat(at["doc"], len(starts)), (at["start"][:, None] + starts).reshape(-1), (at["start"][:, None] + stops).reshape(-1)])
+                )
+            return len(held)
+
+        def whole(content: bytes, held: list[tuple[int, bytes]]) -> int:
+            return mark(held, np.zeros(1, np.int64), np.array([len(content)]))
+
+        def close_anchor() -> int:
+            """Bytes that wait for the index. A string that is alone at its anchor matches no other, and itself only if it occurs twice."""
+            if len(own) == 1:
+                for content, held in own.items():
+                    if content in many:
+                        whole(content, held)
+                        many.discard(content)
+                own.clear()
+                return 0
+            pending.update(own)
+            n = sum(map(len, own))
+            own.clear()
+            return n
 
         def close() -> Iterator[pa.RecordBatch]:
-            marks: dict[int, list[np.ndarray]] = {}
-            single = [s for s in groups if s not in many]
-
-            def mark(content: bytes, starts: np.ndarray, stops: np.ndarray) -> None:
-                for block, spots in groups[content]:
-                    at = np.frombuffer(spots, _SPOT)
-                    marks.setdefault(block, []).append(
-                        np.stack([np.repeat(at["doc"], len(starts)), (at["start"][:, None] + starts).reshape(-1), (at["start"][:, None] + stops).reshape(-1)])
-                    )
-
-            for s in many:
-                mark(s, np.zeros(1, np.int64), np.array([len(s)]))
-            if single and len(groups) > 1:
-                names = list(groups)
+            if len(pending) > 1:
+                names = list(pending)
                 for s, hits in zip(names, long_matches(names, length), strict=True):
-                    if len(hits) and s not in many:
+                    if s in many:
+                        whole(s, pending[s])
+                    elif len(hits):
                         cut = np.flatnonzero(np.diff(hits) > 1)
-                        mark(s, hits[np.r_[0, cut + 1]], hits[np.r_[cut, len(hits) - 1]] + length)
+                        mark(pending[s], hits[np.r_[0, cut + 1]], hits[np.r_[cut, len(hits) - 1]] + length)
+            for block, v in _settle_digests(hot, length) if hot else ():
+                marks.setdefault(block, []).append(v)
             if marks:
                 rows = {k: np.concatenate(v, axis=1) for k, v in marks.items()}
                 yield to_batch({"block": list(rows), "n": [v.shape[1] for v in rows.values()], "marks": [squeeze(v.reshape(-1)) for v in rows.values()]}, schema)
-            groups.clear()
-            many.clear()
+            for held in (pending, many, marks, hot):
+                held.clear()
 
         for batch in batches:
             for key, block, n, spots, content in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if key != anchor:
-                    yield from close_hot()
-                    if size >= INDEX_BYTES:
+                    size += close_anchor()
+                    if size >= INDEX_BYTES or marked >= MARKS or hot:
                         yield from close()
-                        size = 0
+                        size = marked = 0
                 anchor = key
+                marked += 1
                 if n < 0:
                     hot.append((block, -n, spots, content))
                     continue
-                held = groups.setdefault(content, [])
-                size += 0 if held else len(content)
+                held = own.setdefault(content, [])
                 held.append((block, spots))
                 if n > 1 or len(held) > 1:
                     many.add(content)
-        yield from close_hot()
+        close_anchor()
         yield from close()
 
     n = partitions(pieces.sparkSession)
