@@ -7,24 +7,30 @@ from pyspark.sql import functions as F
 
 from ..functions.canon import quote_text, string_text
 from ..functions.text import key_dict
+from .ordered import numbered
 
 #: The least length and number of occurrences of a pooled string, strings in a stream's dictionary, and frames it learns from.
 POOL_MIN_LENGTH, POOL_MIN_COUNT, DICT_LIMIT, LEARN_FRAMES = 20, 2, 4096, 10
 
 
+def _in_order(keys: DataFrame) -> DataFrame:
+    n = numbered(keys, {"_c": F.substring("key", 1, 2)}, [F.col("key")], "idx")
+    return n.select(F.col("idx").cast("int").alias("idx"), "key", "n")
+
+
 def corpus_keys(df: DataFrame, column: str) -> DataFrame:
     """All keys of a column of JSON objects, with counts and their places in sorted order: ``idx, key, n``.
 
     Top-level keys of flat objects come from the JVM's own ``json_object_keys``.
     """
     keys = df.select(F.explode(F.json_object_keys(column)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    return keys.withColumn("idx", (F.row_number().over(Window.orderBy("key")) - 1).cast("int")).select("idx", "key", "n")
+    return _in_order(keys)
 
 
 def nested_keys(df: DataFrame, column: str) -> DataFrame:
     """As ``corpus_keys``, with keys at any depth."""
     keys = df.select(F.explode(key_dict(F.col(column))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    return keys.withColumn("idx", (F.row_number().over(Window.orderBy("key")) - 1).cast("int")).select("idx", "key", "n")
+    return _in_order(keys)
 
 
 def stream_dictionary(df: DataFrame, key: str, order: str, limit: int = DICT_LIMIT) -> DataFrame:
@@ -39,8 +45,8 @@ def pool_candidates(df: DataFrame, column: str, min_length: int = POOL_MIN_LENGT
     """Strings worth pooling, most frequent first, then longest, then in order: ``idx, value, n, saved``."""
     c = F.col(column)
     n = df.where(F.octet_length(c) >= min_length).groupBy(c.alias("value")).agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
-    w = Window.orderBy(F.col("n").desc(), F.octet_length("value").desc(), "value")
-    return n.withColumn("idx", (F.row_number().over(w) - 1).cast("int")).select("idx", "value", "n", ((F.col("n") - 1) * F.octet_length("value")).cast("long").alias("saved"))
+    out = numbered(n, {"_k": F.col("n"), "_l": F.octet_length("value")}, [F.col("value")], "idx", descending=("_k", "_l"))
+    return out.select(F.col("idx").cast("int").alias("idx"), "value", "n", ((F.col("n") - 1) * F.octet_length("value")).cast("long").alias("saved"))
 
 
 def pool_header(pool: DataFrame, pool_id: str = "S1") -> DataFrame:
@@ -64,9 +70,10 @@ def pool_resolve(df: DataFrame, column: str, pool: DataFrame, pool_id: str = "S1
 
 
 def intern_first_seen(df: DataFrame, column: str, order: str, min_length: int = 50, limit: int = 256) -> DataFrame:
-    """Strings in order of first sight in pools of ``limit``: ``pool, idx, value``."""
+    """Strings in order of first sight (``order`` is a number) in pools of ``limit``: ``pool, idx, value``."""
     first = df.where(F.octet_length(column) >= min_length).groupBy(F.col(column).alias("value")).agg(F.min(order).alias("_at"))
-    n = F.row_number().over(Window.orderBy("_at", "value")) - 1
+    n = F.col("_n")
+    first = numbered(first, {"_c": F.floor(F.col("_at") / 100_000)}, [F.col("_at"), F.col("value")], "_n")
     return first.select(F.concat(F.lit("S"), (F.floor(n / limit) + 1).cast("string")).alias("pool"), (n % limit).cast("int").alias("idx"), "value")
 
 

@@ -1,4 +1,4 @@
-"""Rows of a key in order, as a stream: one sort, no group in memory, and no cost per group as grouped functions have."""
+"""Order at scale: rows of a key as a stream (one sort, no group in memory, no cost per group), and global numbers without a global sort."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from itertools import groupby
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def by_key(df: DataFrame, key: str, order: str, value: str, fn: Callable[[Any, Iterator[Any]], Iterable[tuple]], ddl: str, columns: list[str], rows: int = 10_000) -> DataFrame:
@@ -26,3 +27,17 @@ def by_key(df: DataFrame, key: str, order: str, value: str, fn: Callable[[Any, I
             yield pd.DataFrame(out, columns=columns, dtype=object)
 
     return df.select(key, order, value).repartition(key).sortWithinPartitions(key, order).mapInPandas(run, ddl)
+
+
+def numbered(df: DataFrame, classes: dict[str, Column], within: list[Column], name: str, descending: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with gapless numbers from 0 in the order of ``classes`` (``descending`` ones from the top), then ``within``.
+
+    Rows are ranked inside their class, and the classes' counts, a small table, give each class its first number: no
+    task sorts all rows. Classes must split the whole order into runs (a string's first letters do).
+    """
+    d = df.withColumns(classes)
+    order = [F.col(c).desc() if c in descending else F.col(c) for c in classes]
+    counts = d.groupBy(*classes).agg(F.count("*").alias("_n"))
+    first = counts.withColumn("_first", F.sum("_n").over(Window.orderBy(*order)) - F.col("_n")).drop("_n")
+    ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy(*classes).orderBy(*within)))
+    return ranked.join(first, list(classes)).withColumn(name, F.col("_first") + F.col("_r") - 1).drop("_first", "_r", *classes)

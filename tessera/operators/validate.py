@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -64,7 +65,7 @@ def _fits(spec: TypeSpec, t: T.DataType) -> tuple[bool, bool]:
     return isinstance(t, fits.get(spec.kind, T.DataType)), False
 
 
-def _value_issues(schema: Schema, spec: TypeSpec, c: Column, t: T.DataType, path: str, strict: bool, depth: int) -> list[Column]:
+def _value_issues(schema: Schema, spec: TypeSpec, c: Column, t: T.DataType, path: str, strict: bool, depth: int) -> list[Column | Many]:
     if isinstance(t, T.NullType):
         return []
     if spec.kind == "ref":
@@ -91,25 +92,37 @@ def _value_issues(schema: Schema, spec: TypeSpec, c: Column, t: T.DataType, path
         no = c.isNotNull() & ((c != F.floor(c)) | F.isnan(c))
         return [issue(no, "error", path, "type_mismatch", f"expected int, got {t.simpleString()}"), issue(c.isNotNull() & ~no, "warning", path, "implicit_coercion", "float used as int")]
     if spec.kind == "list" and spec.elem is not None and isinstance(t, T.ArrayType) and spec.elem.kind == "ref" and depth < 8:
-        inner = _value_issues(schema, spec.elem, F.col("_x"), t.elementType, "", strict, depth + 1)
-        del inner  # elements are checked inside a lambda, which needs its own column
-        return [_elements(schema, spec.elem, c, t, path, strict, depth)]
+        return [Many(_elements(schema, spec.elem, c, t, path, strict, depth))]
     return []
 
 
+@dataclass(frozen=True)
+class Many:
+    """An array of issues, beside single ones."""
+
+    column: Column
+
+
+def gathered(parts: list[Column | Many]) -> Column:
+    """All issues of the parts as one array, without nulls."""
+    single = [p for p in parts if not isinstance(p, Many)]
+    found = F.filter(F.array(*single), lambda e: e.isNotNull()) if single else F.array().cast(ISSUE)
+    return reduce(lambda a, b: F.concat(a, F.coalesce(b.column, F.array().cast(ISSUE))), [p for p in parts if isinstance(p, Many)], found)
+
+
 def _elements(schema: Schema, spec: TypeSpec, c: Column, t: T.ArrayType, path: str, strict: bool, depth: int) -> Column:
     """Issues of all elements of a list of structs, as an array."""
 
     def one(x: Column, i: Column) -> Column:
-        found = F.filter(F.array(*_value_issues(schema, spec, x, t.elementType, "", strict, depth + 1)), lambda e: e.isNotNull())
+        found = gathered(_value_issues(schema, spec, x, t.elementType, "", strict, depth + 1))
         at = F.concat(F.lit(path + "["), i.cast("string"), F.lit("]"))
         return F.transform(found, lambda e: F.struct(e["level"].alias("level"), F.concat(at, F.when(e["path"] != "", F.concat(F.lit("."), e["path"])).otherwise("")).alias("path"), e["code"].alias("code"), e["message"].alias("message")))
 
     return F.flatten(F.transform(c, one))
 
 
-def struct_issues(schema: Schema, name: str, c: Column | None, t: T.StructType, path: str = "", strict: bool = False, depth: int = 0) -> list[Column]:
-    """Issues of a struct column, or of a row (``c`` None): each an issue, null, or an array of issues."""
+def struct_issues(schema: Schema, name: str, c: Column | None, t: T.StructType, path: str = "", strict: bool = False, depth: int = 0) -> list[Column | Many]:
+    """Issues of a struct column, or of a row (``c`` None): each an issue, null, or many."""
     kind = schema.types.get(name)
     if kind is None:
         return [issue(F.lit(True), "warning", path, "unknown_type", f"unknown type: {name}")]
@@ -141,14 +154,7 @@ def struct_issues(schema: Schema, name: str, c: Column | None, t: T.StructType,
 
 def issues(df: DataFrame, schema: Schema, name: str, strict: bool = False) -> Column:
     """All issues of a row as an array; empty: valid, but for warnings."""
-    parts = struct_issues(schema, name, None, df.schema, strict=strict)
-    if not parts:
-        return F.array().cast(ISSUE)
-    arrays, single = [], []
-    for p in parts:
-        (arrays if "flatten" in p._jc.toString().split("(")[0] else single).append(p)
-    found = F.filter(F.array(*single), lambda e: e.isNotNull()) if single else F.array().cast(ISSUE)
-    return reduce(lambda a, b: F.concat(a, F.coalesce(b, F.array().cast(ISSUE))), arrays, found)
+    return gathered(struct_issues(schema, name, None, df.schema, strict=strict))
 
 
 def validate(df: DataFrame, schema: Schema, name: str, strict: bool = False) -> DataFrame:

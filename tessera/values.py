@@ -131,7 +131,7 @@ def parse_time(text: str) -> Time | None:
     except ValueError:
         return None
     part = (part or "").rstrip("0")
-    return Time(t.strftime("%Y-%m-%dT%H:%M:%S") .rjust(19, "0") + ("." + part if part else "") + "Z")
+    return Time(t.strftime("%Y-%m-%dT%H:%M:%S").rjust(19, "0") + ("." + part if part else "") + "Z")
 
 
 # --- options
@@ -704,7 +704,6 @@ class Reader:
         if None in fields:
             raise self.fail(f"unknown column {cols[fields.index(None)]}")
         rows = []
-        inline = "\n" not in self.s[self.at : self.s.find("@end", self.at)]
         blank = re.compile(r"(?:[ \t,]+)*")
         while True:
             self.at = re.compile(r"(?:[\s|]+|//[^\n]*)*").match(self.s, self.at).end()
@@ -726,8 +725,6 @@ class Reader:
             self.at = blank.match(self.s, self.at).end()
             if self.peek() not in ("\n", "|", "") and not self.s.startswith("@end", self.at):
                 raise self.fail("a row has too many cells")
-            del inline
-            inline = True
             rows.append(Struct(name, out))
 
 
