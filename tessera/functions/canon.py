@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +42,10 @@ def float_text(c: Column, exact: bool = False) -> Column:
     if exact:
         return exact_float(c)
     size = F.abs(c)
-    tries = [F.format_string(f"%.{p}e", c) for p in range(17)]
-    e = F.coalesce(*(F.when(t.cast("double") == c, t) for t in tries), tries[-1])
+    # a value of 15 digits or fewer is its 15-digit form without trailing zeros; else 16 digits may do, and 17 always do
+    fifteen, sixteen = F.format_string("%.14e", c), F.format_string("%.15e", c)
+    digits = F.when(fifteen.cast("double") == c, fifteen).when(sixteen.cast("double") == c, sixteen).otherwise(F.format_string("%.16e", c))
+    e = F.regexp_replace(digits, r"\.?0+e", "e")
     small = F.concat(F.when(c < 0, "-0.000").otherwise("0.000"), F.regexp_replace(F.substring_index(e, "e", 1), "[-.]", ""))
     return (
         F.when(c == 0, "0.0").when(F.isnan(c), "NaN").when(size == F.lit(float("inf")), F.when(c > 0, "Inf").otherwise("-Inf"))
@@ -64,10 +66,15 @@ def is_bare(c: Column) -> Column:
 
 
 def quote_text(c: Column, upper: bool = True) -> Column:
-    """``c`` in quotes with its escapes."""
+    """``c`` in quotes with its escapes. Hex digits of control characters are ``upper`` or lower case."""
+    if upper:
+        # JSON's escapes are these, but for \b and \f; a backslash that stands before them is itself one of a pair
+        json = F.to_json(F.struct(c.alias("v")))
+        text = F.substr(json, F.lit(6), F.length(json) - 6)
+        odd = lambda x, k: F.regexp_replace(x, rf"(?<!\\)((?:\\\\)*)\\{k}", rf"$1\\u00{'08' if k == 'b' else '0C'}")
+        return F.when(c.rlike(r"[\x00-\x1f\"\\]"), F.when(c.rlike(r"[\x08\x0c]"), odd(odd(text, "b"), "f")).otherwise(text)).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
     simple = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")], c)
-    form = "\\u{:04X}" if upper else "\\u{:04x}"
-    rare = reduce(lambda x, k: F.replace(x, F.lit(chr(k)), F.lit(form.format(k))), _CONTROL, simple)
+    rare = reduce(lambda x, k: F.replace(x, F.lit(chr(k)), F.lit(f"\\u{k:04x}")), _CONTROL, simple)
     return F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x1f\"\\]"), F.when(c.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), rare).otherwise(simple)).otherwise(c), F.lit('"'))
 
 
@@ -100,11 +107,13 @@ def bytes_text(c: Column) -> Column:
 
 
 def time_text(c: Column, t: T.DataType = T.TimestampType()) -> Column:
-    """UTC, with the fraction's trailing zeros cut (Spark keeps microseconds)."""
-    base = F.date_format(F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone()) if isinstance(t, T.TimestampType) else c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    part = F.rtrim(F.translate(F.substring(base, 21, 6), "0", " "))
-    kept = F.substr(base, F.lit(21), F.length(part))
-    return F.concat(F.substring(base, 1, 19), F.when(F.length(part) > 0, F.concat(F.lit("."), kept)).otherwise(""), F.lit("Z"))
+    """UTC; a cast to string already cuts the fraction's trailing zeros (Spark keeps microseconds)."""
+    if isinstance(t, T.DateType):
+        return F.concat(c.cast("string"), F.lit("T00:00:00Z"))
+    session = SparkSession.getActiveSession()
+    shifted = isinstance(t, T.TimestampType) and (session is None or session.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z"))
+    utc = F.to_utc_timestamp(c, F.current_timezone()) if shifted else c
+    return F.concat(F.replace(utc.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def scalar_text(c: Column, t: T.DataType, upper: bool = True, exact: bool = False) -> Column:
@@ -271,6 +280,15 @@ def tabular_text(c: Column, e: T.StructType, kind: TypeDef, schema: Schema, wire
 # --- rows of a DataFrame
 
 
+def compiled(df: DataFrame) -> DataFrame:
+    """Keep generated methods within what HotSpot compiles (8000 bytes of code). A wide row's text in one method of whole-stage
+    code would be interpreted; beyond the limit Spark splits the projection into small methods, about twice as fast."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.codegen.hugeMethodLimit")) > 8000:
+        conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return df
+
+
 def row_struct(df: DataFrame, cols: list[str] | None = None) -> tuple[Column, T.StructType]:
     cols = cols or df.columns
     return F.struct(*(F.col(f"`{c}`") for c in cols)), T.StructType([df.schema[c] for c in cols])
@@ -278,6 +296,7 @@ def row_struct(df: DataFrame, cols: list[str] | None = None) -> tuple[Column, T.
 
 def canon_row(df: DataFrame, cols: list[str] | None = None, options: Options = DEFAULT, **how) -> Column:
     """A row's columns as one canonical map."""
+    compiled(df)
     cols = cols or df.columns
     t = T.StructType([df.schema[c] for c in cols])
     index = {k: i for i, k in enumerate(options.keys)}

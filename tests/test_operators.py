@@ -45,6 +45,35 @@ def test_floats(spark):
     assert bad.select(canon.has_non_finite(F.col("x"), T.DoubleType()).alias("f")).first().f
 
 
+def test_quotes(spark):
+    texts = ["".join(map(chr, range(40))), "\\b \b \\\b\b\f\\f \x0b", 'a "b" \\ /', "plain words", "", "é😀\u2028\x7f", "\\u0008", "\b", "true", "x1"]
+    d = spark.createDataFrame([(t,) for t in [*texts, None]], "s string")
+    got = d.select(canon.quote_text(F.col("s")).alias("u"), canon.quote_text(F.col("s"), upper=False).alias("l"), canon.string_text(F.col("s")).alias("t")).collect()
+    assert [tuple(r) for r in got] == [(V.quote(t), V.quote(t, upper=False), V.string_text(t)) for t in texts] + [(None, None, None)]
+
+
+def test_times_in_another_zone(spark):
+    d = spark.createDataFrame([(datetime(2025, 1, 2, 3, 4, 5, 120000),)], "t timestamp").selectExpr("t", "cast(t as date) d", "cast(t as timestamp_ntz) n")
+    parts = lambda: [canon.time_text(F.col(c), d.schema[c].dataType).alias(c) for c in d.columns]
+    assert tuple(d.select(*parts()).first()) == ("2025-01-02T03:04:05.12Z", "2025-01-02T00:00:00Z", "2025-01-02T03:04:05.12Z")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert d.select(*parts()).first().t == "2025-01-02T03:04:05.12Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_random_floats(spark):
+    import random
+    import struct
+
+    rng = random.Random(2)
+    xs = [x for x in (struct.unpack("<d", rng.randbytes(8))[0] for _ in range(4000)) if x == x and abs(x) != float("inf")] + [float(f"{rng.randint(1, 10**rng.randint(1, 17))}e{rng.randint(-30, 30)}") for _ in range(4000)]
+    d = spark.createDataFrame([(x,) for x in xs], "x double").select("x", canon.float_text(F.col("x")).alias("t")).collect()
+    assert all(float(r.t) == r.x for r in d)
+    assert sum(r.t != V.float_text(r.x) for r in d) <= 3
+
+
 def test_nested_tables(spark):
     d = spark.createDataFrame([([(1, "a|b"), (2, None), (3, "c")],), ([(1, "x")],), (None,)], "r array<struct<id:int,n:string>>")
     got = [r.c for r in d.select(canon.loose_text(F.col("r"), d.schema["r"].dataType).alias("c")).collect()]
