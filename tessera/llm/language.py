@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, hold, load, pa_schema, text_chunks, to_batch
+from .common import documents, hold, load, pa_schema, settle_rows, text_chunks, to_batch
 
 #: Labelled rows that the text model is fitted on, at most; languages it may have, at most (the most frequent ones).
 TRAIN_ROWS, MAX_LANGUAGES = 4000, 64
@@ -22,6 +22,8 @@ EVIDENCE_GRAMS = 60
 MIN_GRAMS, MARGIN = 48, -2.5
 #: Pseudo-counts: of a domain for its host, of the corpus for a domain or suffix, and of a language for its declaration.
 HOST_WEIGHT, DOMAIN_WEIGHT, DECLARED_WEIGHT = 8.0, 32.0, 4.0
+#: Hosts times languages that go to every task at most: with 16 bytes each, a few tens of MB.
+BROADCAST_CELLS = 2_000_000
 _FOLD = np.array([c + 32 if 65 <= c < 91 else c if c >= 128 or 97 <= c < 123 else 32 for c in range(256)], dtype=np.uint8)
 _SUMS = "lang string, grams binary, bytes binary"
 
@@ -157,9 +159,11 @@ def identify(
     trust = [((a or 0.0) + DECLARED_WEIGHT / 2) / ((k or 0.0) + DECLARED_WEIGHT) for a, k in zip(whole["a"], whole["k"], strict=True)]
     hosts = s.where("host is not null").groupBy("host").agg(votes().alias("host_votes")).withColumn("domain", domain)
     domains = hosts.groupBy("domain").agg(F.array(*(F.sum(F.col("host_votes")[k]) for k in range(size))).alias("domain_votes"))
-    hosts = hosts.join(domains, "domain").select("host", "host_votes", _smoothed(F.col("domain_votes"), corpus, DOMAIN_WEIGHT).alias("domain_prior"))
-    suffixes = s.where("suffix is not null").groupBy("suffix").agg(votes().alias("suffix_votes"))
-    j = s.join(hosts, "host", "left").join(suffixes, "suffix", "left")
+    hosts, n = settle_rows(hosts.join(domains, "domain").select("host", "host_votes", _smoothed(F.col("domain_votes"), corpus, DOMAIN_WEIGHT).alias("domain_prior")), "hosts")
+    # a host with a third of all rows is no hot key of a shuffle while the hosts' table is short; a long one is joined
+    j = s.join(F.broadcast(hosts) if n * size <= BROADCAST_CELLS else hosts, "host", "left")
+    suffixes, n = settle_rows(s.where("suffix is not null").groupBy("suffix").agg(votes().alias("suffix_votes")), "suffixes")
+    j = j.join(F.broadcast(suffixes) if n * size <= BROADCAST_CELLS else suffixes, "suffix", "left")
     others = F.zip_with("host_votes", "vote", lambda h, v: F.greatest(h - v, F.lit(0.0)))
     prior = F.coalesce(_smoothed(others, F.col("domain_prior"), HOST_WEIGHT), corpus)
     # P(suffix | language) up to a factor that all languages share
