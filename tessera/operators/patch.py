@@ -322,7 +322,9 @@ def fold(docs: DataFrame, patches: DataFrame, target: str = "target", seq: str =
     def run(v: pd.Series, ps: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_one_patch(d, [] if p is None else [x[text] for x in p], None, None, verify, "loose") for d, p in zip(v, ps, strict=True)], columns=["value", "error"], dtype=object)
 
-    j = docs.join(order, target, "left").withColumn("_r", run(F.col(value), F.col("_p")))
+    # dealt by number, so that a short table is still parsed by as many tasks
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    j = docs.repartition(n, target).join(order, target, "left").withColumn("_r", run(F.col(value), F.col("_p")))
     return j.select(target, F.col("_r.value").alias("value"), F.col("_r.error").alias("error"), F.coalesce(F.size("_p"), F.lit(0)).alias("n_patches"))
 
 
