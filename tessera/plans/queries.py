@@ -483,7 +483,7 @@ def decimal_literals(spark, sf_dir):
     return d.select("p_partkey", decimals.decimal_literal(v).alias("literal"), (v * 2).cast("double").alias("twice"), decimals.is_decimal_literal(F.col("literal")).alias("is_literal"))
 
 
-@query()
+@query("SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]{1,4}|[0-9]{1,3}|[^\\sA-Za-z0-9]'))::BIGINT AS tokens FROM documents")
 def token_estimates(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
@@ -500,13 +500,14 @@ def exact_floats(spark, sf_dir):
     return d.select("o_orderkey", canon.float_text(x, exact=True).alias("v"))
 
 
-@query()
+@query("""SELECT type_name, field_name, code, count(*) AS n FROM (VALUES ('A', 'x', 'missing_fid_in_packed_struct'), ('A', 'x', 'constraint_type_mismatch'), ('A', 'y', 'unsupported_map_key_type'), ('A', 'y', 'duplicate_field_name'), ('A', 'y', 'duplicate_fid')) AS t(type_name, field_name, code) GROUP BY ALL""")
 def schema_faults(spark, sf_dir):
     bad = schemas.parse_schema("@schema{ A @pack struct{ x: str [min=1]  y: map<bool,int> @fid(2)  y: int @fid(2) } }")
-    return validate.schema_issues(spark, bad)
+    return validate.schema_issues(spark, bad).groupBy("type_name", "field_name", "code").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH l AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM conversations WHERE turn % 4 <> 2)
+SELECT conv_id, min(turn) AS seq, 'ResyncRequest{reason=gap seq=' || min(turn) || ' sid=' || conv_id || '}' AS payload FROM l WHERE turn > last + 1 GROUP BY conv_id""")
 def resync_requests(spark, sf_dir):
     d = table(spark, sf_dir, "conversations").select("conv_id", "turn").where("turn % 4 <> 2")
     return frames.resync_requests(frames.cursor(d, "conv_id", "turn"), "conv_id", "turn")
