@@ -6,10 +6,15 @@ of a few MB by a hash of their id. A block sends each *segment* (a range of the
 keys it holds, sorted and distinct, so a key that fills the corpus costs one entry a block and no segment is hot.
 The segment merges its blocks' keys and answers each block in the same order. The block's texts are shuffled once:
 later passes reuse that exchange and recompute the keys, which is cheaper than carrying them.
+
+Rows are blocks times segments. Up to ``EVEN_BYTES`` of text both numbers grow with the corpus; beyond, a block and a
+segment each grow with the square root of the corpus, and so do their numbers, so that rows grow in proportion to the
+corpus and a row never carries less than a few hundred keys. At 100 TB a block has 300 MB.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -25,8 +30,12 @@ from .common import pa_schema, partitions, text_chunks
 #: every partition work, but not below the least: a block sends a row to each segment, so rows go with the product.
 BLOCK_BYTES, LEAST_BYTES = 4 << 20, 256 << 10
 SEGMENT_KEYS, LEAST_KEYS = 2 << 20, 256 << 10
-#: Bits of a sketch cell's number in its segment: at SEGMENT_KEYS keys a segment, one cell in 16 is taken.
-CELL_BITS = 25
+#: Bytes of text from which blocks and segments grow.
+EVEN_BYTES = 16 << 30
+#: Bits of a sketch cell's number in a segment of SEGMENT_KEYS: one cell in 16 is taken. A larger segment has more.
+CELL_BITS, MOST_CELL_BITS = 25, 32
+#: Keys that a segment merges at once.
+MERGE_KEYS = 4 << 20
 _ASKED = "segment int, block int, family int, n int, keys binary, vals binary"
 _ANSWERED = "block int, segment int, family int, n int, answer binary"
 
@@ -47,15 +56,20 @@ def unsqueeze(raw: bytes, dtype: str, n: int) -> np.ndarray:
 class Layout:
     blocks: int
     segment_bits: int
+    cell_bits: int = CELL_BITS
+
+
+def dealt(total: int, partitions: int) -> Layout:
+    """Numbers of blocks and segments for ``total`` bytes of text."""
+    keys, grown = total / 5, max(1.0, math.sqrt(total / EVEN_BYTES))
+    blocks = max(total / (BLOCK_BYTES * grown), min(partitions, total / LEAST_BYTES, EVEN_BYTES / BLOCK_BYTES))
+    segments = max(keys / (SEGMENT_KEYS * grown), min(partitions, keys / LEAST_KEYS, EVEN_BYTES / 5 / SEGMENT_KEYS), 1)
+    return Layout(int(blocks) + 1, (math.ceil(segments) - 1).bit_length(), min(MOST_CELL_BITS, CELL_BITS + math.ceil(math.log2(grown))))
 
 
 def layout(d: DataFrame) -> Layout:
-    """Numbers of blocks and segments in proportion to the corpus, from one pass that adds up its bytes."""
-    total = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    keys, n = total / 5, partitions(d.sparkSession)
-    blocks = max(total / BLOCK_BYTES, min(n, total / LEAST_BYTES))
-    segments = max(keys / SEGMENT_KEYS, min(n, keys / LEAST_KEYS), 1)
-    return Layout(int(blocks) + 1, int(segments - 1).bit_length())
+    """``dealt`` for a corpus, from one pass that adds up its bytes."""
+    return dealt(d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0, partitions(d.sparkSession))
 
 
 def blocked(d: DataFrame, at: Layout) -> DataFrame:
@@ -69,9 +83,10 @@ def block_chunks(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         yield from text_chunks(batch.column(0), batch.column(1))
 
 
-def sketch_cells(hashes: np.ndarray, bits: int, depth: int) -> list[np.ndarray]:
+def sketch_cells(hashes: np.ndarray, at: Layout, depth: int) -> list[np.ndarray]:
     """Of each row of the sketch: the segment and cell of each hash, in one number."""
-    return [((hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * row & 0xFFFFFFFFFFFFFFFF | 1)) >> np.uint64(64 - bits - CELL_BITS)) for row in range(depth)]
+    shift = np.uint64(64 - at.segment_bits - at.cell_bits)
+    return [(hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * row & 0xFFFFFFFFFFFFFFFF | 1)) >> shift for row in range(depth)]
 
 
 def _split(numbers: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +99,8 @@ def _split(numbers: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
 class Asked:
     """Rows of a block's questions."""
 
-    def __init__(self, block: int, bits: int) -> None:
-        self.block, self.bits, self.rows = block, bits, {f.name: [] for f in pa_schema(_ASKED)}
+    def __init__(self, block: int, at: Layout) -> None:
+        self.block, self.at, self.rows = block, at, {f.name: [] for f in pa_schema(_ASKED)}
 
     def _add(self, segment: int, family: int, n: int, keys: bytes, vals: bytes) -> None:
         for name, v in zip(self.rows, (segment, self.block, family, n, keys, vals), strict=True):
@@ -93,20 +108,20 @@ class Asked:
 
     def sketch(self, hashes: np.ndarray, depth: int) -> None:
         """Family 1 and on: this block's part of a count-min sketch, cells with counts, a row of the sketch each."""
-        for row, cells in enumerate(sketch_cells(hashes, self.bits, depth)):
+        for row, cells in enumerate(sketch_cells(hashes, self.at, depth)):
             cells = np.sort(cells)
             first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, np.int64)
             counts = np.minimum(np.diff(np.r_[first, len(cells)]), 255).astype(np.uint8)
             cells = cells[first]
-            for s, a, b in _bounds(*_split(cells, CELL_BITS)):
-                own = (cells[a:b] & np.uint64((1 << CELL_BITS) - 1)).astype(np.uint32)
+            for s, a, b in _bounds(*_split(cells, self.at.cell_bits)):
+                own = (cells[a:b] & np.uint64((1 << self.at.cell_bits) - 1)).astype(np.uint32)
                 self._add(s, 1 + row, b - a, squeeze(np.diff(own, prepend=np.uint32(0))), squeeze(counts[a:b]))
 
     def digests(self, low: np.ndarray, high: np.ndarray, docs: np.ndarray) -> None:
         """Family 0: digests of whole texts, with the document."""
         order = np.argsort(low, kind="stable")
         low, high, docs = low[order], high[order], docs[order]
-        for s, a, b in _bounds(*_split(low, 64 - self.bits)):
+        for s, a, b in _bounds(*_split(low, 64 - self.at.segment_bits)):
             self._add(s, 0, b - a, squeeze(low[a:b]), squeeze(np.r_[high[a:b].view(np.int64), docs[a:b]]))
 
     def table(self) -> pa.Table:
@@ -130,7 +145,7 @@ def ask(b: DataFrame, at: Layout, hashes: Callable[[np.ndarray, np.ndarray], np.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        out = Asked(table.column("block")[0].as_py(), at.segment_bits)
+        out = Asked(table.column("block")[0].as_py(), at)
         parts, lows, highs, docs, seen = [], [], [], [], set()
         for ids, data, bounds in block_chunks(table):
             low, high = text_digests(ids, data, bounds)
@@ -165,14 +180,7 @@ def answer(asked: DataFrame) -> DataFrame:
             sizes = [r["n"] for r in rows]
             cuts = np.cumsum(sizes)[:-1]
             if family:
-                keys = np.concatenate([np.cumsum(unsqueeze(r["keys"], "<u4", r["n"]), dtype=np.uint32) for r in rows])
-                counts = np.concatenate([unsqueeze(r["vals"], "u1", r["n"]) for r in rows]).astype(np.int64)
-                order = np.argsort(keys)
-                first = np.flatnonzero(np.r_[True, (s := keys[order])[1:] != s[:-1]])
-                total = np.add.reduceat(counts[order], first)
-                result = np.empty(len(keys), np.uint8)
-                result[order] = np.repeat(np.minimum(total, 255).astype(np.uint8), np.diff(np.r_[first, len(keys)]))
-                answers = [squeeze(x) for x in np.split(result, cuts)]
+                answers = [squeeze(x) for x in _totals([np.cumsum(unsqueeze(r["keys"], "<u4", r["n"]), dtype=np.uint32) for r in rows], [unsqueeze(r["vals"], "u1", r["n"]) for r in rows])]
             else:
                 low = np.concatenate([unsqueeze(r["keys"], "<u8", r["n"]) for r in rows])
                 rest = [unsqueeze(r["vals"], "<i8", 2 * r["n"]) for r in rows]
@@ -192,11 +200,32 @@ def answer(asked: DataFrame) -> DataFrame:
     return asked.groupBy("segment").applyInArrow(run, _ANSWERED)
 
 
+def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums of equal cells over all parts (each sorted), for each part's cells. The key range is taken in steps, so that the workspace stays small."""
+    out = [np.empty(len(k), np.uint8) for k in keys]
+    steps = sum(map(len, keys)) // MERGE_KEYS + 1
+    top = max((int(k[-1]) for k in keys if len(k)), default=0) + 1
+    at = [0] * len(keys)
+    for step in range(1, steps + 1):
+        to = [int(np.searchsorted(k, top * step // steps)) for k in keys]
+        own = np.concatenate([k[a:b] for k, a, b in zip(keys, at, to, strict=True)])
+        if len(own):
+            order = np.argsort(own)
+            first = np.flatnonzero(np.r_[True, (s := own[order])[1:] != s[:-1]])
+            total = np.add.reduceat(np.concatenate([c[a:b] for c, a, b in zip(counts, at, to, strict=True)])[order].astype(np.int64), first)
+            result = np.empty(len(own), np.uint8)
+            result[order] = np.repeat(np.minimum(total, 255).astype(np.uint8), np.diff(np.r_[first, len(own)]))
+            for k, part in enumerate(np.split(result, np.cumsum([b - a for a, b in zip(at, to, strict=True)])[:-1])):
+                out[k][at[k] : to[k]] = part
+        at = to
+    return out
+
+
 class Answers:
     """A block's answers, laid against its own keys."""
 
-    def __init__(self, table: pa.Table, bits: int) -> None:
-        self.bits, self.cells, self.classes = bits, {}, {}
+    def __init__(self, table: pa.Table, at: Layout) -> None:
+        self.at, self.cells, self.classes = at, {}, {}
         for r in sorted(table.to_pylist(), key=lambda r: (r["family"], r["segment"])):
             if r["family"]:
                 self.cells.setdefault(r["family"] - 1, []).append(unsqueeze(r["answer"], "u1", r["n"]))
@@ -207,7 +236,7 @@ class Answers:
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """The sketch's estimate for each hash of the block: never too low. ``hashes`` must be all that pass 1 had, in any order and number."""
         best = np.full(len(hashes), 255, np.uint8)
-        for row, cells in enumerate(sketch_cells(hashes, self.bits, len(self.cells))):
+        for row, cells in enumerate(sketch_cells(hashes, self.at, len(self.cells))):
             kinds, back = np.unique(cells, return_inverse=True)
             best = np.minimum(best, np.concatenate(self.cells[row])[back] if len(kinds) else best)
         return best

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch that carries whole texts (texts can be long, so batches stay short).
-TEXT_BATCH = 256
 #: Rows of a few numbers that one file of a settled table holds.
 FILE_ROWS = 200_000
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
 _held: list[DataFrame] = []
+_local: dict[str, str] = {}
 
 
 def partitions(spark: SparkSession) -> int:
@@ -25,13 +27,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's own, a local one only where none is set."""
+    """The folder that driver and executors share, as the cluster names it. Only where all run in one process may it be unset; a local folder then serves."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
-        found = "file://" + tempfile.mkdtemp(prefix="shared")
-        spark.sparkContext.setCheckpointDir(found)
+        found = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="shared"))
     return found.rstrip("/")
 
 
@@ -51,8 +54,10 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(min(partitions(spark), rows // FILE_ROWS + 1))
     df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def settle_rows(df: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -67,14 +72,39 @@ def settle_rows(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return out, rows
 
 
-def release() -> None:
-    """Free what operators have held and written. Results that are still to be read must be stored before."""
+def discard(df: DataFrame) -> None:
+    """Free a table of ``materialize`` or ``settle_rows`` that nothing reads any more."""
+    _delete(df.stored_at)
+
+
+def _delete(path: str) -> None:
+    spark = _made.pop(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is held and written inside is freed at the end, but for tables given to the function this yields."""
+    held, made, kept = len(_held), set(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.stored_at)
+        return df
+
+    yield keep
+    while len(_held) > held:
+        _held.pop().unpersist()
+    for path in set(_made) - made - kept:
+        _delete(path)
+
+
+def release(keep: DataFrame | None = None) -> None:
+    """Free what operators have held and written, but for the table ``keep``. Results that are still to be read must be stored before."""
     while _held:
         _held.pop().unpersist()
-    while _made:
-        spark, path = _made.pop()
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for path in [p for p in _made if keep is None or p != getattr(keep, "stored_at", None)]:
+        _delete(path)
 
 
 @atexit.register
@@ -85,24 +115,38 @@ def _at_exit() -> None:
         return
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that no frame has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
     """``df`` as one row per document: ``doc_id`` long, ``text`` string, and the columns named in ``keep``.
 
     A null text is empty. A row without an id names no document and is left out. A document is its id: of rows
-    that repeat one, the row with the greatest text stays. The repeats are looked for in the ids alone, so tables
-    without any pay no text shuffle.
+    that repeat one, the row with the greatest text stays, and of those the one with the greatest ``keep`` columns
+    in their order (a null is least). The repeats are looked for in the ids alone, so tables without any pay no text shuffle.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
     keep = [c for c in keep if c not in ("doc_id", "text")]
     d = df.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep
     )
     if d.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        rest = F.max_by(F.struct(*keep), "text").alias("rest") if keep else F.lit(None).alias("rest")
-        d = d.groupBy("doc_id").agg(F.max("text").alias("text"), rest).select("doc_id", "text", *(f"rest.{c}" for c in keep))
+        d = d.groupBy("doc_id").agg(F.max(F.struct("text", *keep)).alias("rest")).select("doc_id", "rest.text", *(f"rest.{c}" for c in keep))
     return d
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of at most ``rows`` rows and about ``limit`` bytes, for work that copies what it reads."""
+    for batch in batches:
+        n = max(1, min(rows, batch.num_rows * limit // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -166,8 +210,9 @@ BROADCAST_ROWS = 500_000
 def without(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``df`` whose id is not in ``ids`` (one column ``doc_id``). A short list is broadcast, so ``df`` is not shuffled; a long one is joined."""
     ids, rows = settle_rows(ids, "ids")
-    ids = ids.withColumnRenamed("doc_id", "_gone")
-    return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = fresh("gone", df)
+    ids = ids.select(F.col("doc_id").alias(gone))
+    return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, F.col(id_col).cast("long") == F.col(gone), "left_anti")
 
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # the splitmix64 finaliser's fixed values
@@ -200,41 +245,37 @@ def words(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> tu
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-_POW = {}
-
+#: Bytes of a word that one number holds.
+WORD_BYTES = 8
 
-def _powers(n: int, base: int) -> np.ndarray:
-    got = _POW.get(base)
-    if got is None or len(got) < n:
-        got = np.empty(max(n, 1 << 16), np.uint64)
-        got[0] = 1
-        got[1:] = base
-        _POW[base] = got = np.multiply.accumulate(got)
-    return got[:n]
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word (byte span), the same wherever it lies.
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0x9E3779B97F4A7C15, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span, the same wherever the span lies: polynomial prefix sums modulo 2**64, then mixed with the length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    inverse = pow(base, -1, 1 << 64)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix_byte(seed)[data] * _powers(len(data), base), out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * _powers(len(data) + 1, inverse)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def mix_byte(seed: int) -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    A word of up to 8 bytes is a number of its own, mixed by bijections; a longer one is digested by XXH3 (128 bits).
+    """
+    n = ends - starts
+    padded = np.zeros(len(data) + WORD_BYTES, np.uint8)
+    padded[: len(data)] = data
+    whole = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    shift = (WORD_BYTES - np.clip(n, 1, WORD_BYTES)).astype(np.uint64) * np.uint64(8)
+    value = (whole[starts] << shift) + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    one, two = mix(value), mix(value ^ np.uint64(0xA0761D6478BD642F))
+    long_ = np.flatnonzero(n > WORD_BYTES)
+    if len(long_):
+        raw = memoryview(np.ascontiguousarray(data))
+        both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts[long_].tolist(), ends[long_].tolist(), strict=True)]), "<u8").reshape(-1, 2)
+        one[long_], two[long_] = both[:, 0], both[:, 1]
+    return one, two
 
 
 def gram_hashes(word_hash: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """Hash of the n words that begin at each word (the last n - 1 have none)."""
+    """Hash of the n words that begin at each word (the last n - 1 have none), from one of the words' hashes."""
     count = len(word_hash) - n + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(count, seed, np.uint64)
     for k in range(n):
-        out = out * np.uint64(0x2545F4914F6CDD1D) + word_hash[k : k + count]
-        out ^= out >> np.uint64(29)
+        out = (out ^ word_hash[k : k + count]) * np.uint64(0x2545F4914F6CDD1D)
+        out ^= out >> np.uint64(32)
     return mix(out)

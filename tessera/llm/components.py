@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, settle_rows
+from .common import discard, materialize, settle_rows
 
 
 def _pull(edges: DataFrame) -> DataFrame:
@@ -27,10 +27,13 @@ def components(links: DataFrame) -> DataFrame:
         large = _pull(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         pulled = _pull(large)
         small = pulled.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(pulled.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(small, "stars", 2 * rows)
+        last, edges = edges, materialize(small, "stars", 2 * rows)
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before, rows = now, now[0]
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    out = stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    out.stored_at = edges.stored_at
+    return out

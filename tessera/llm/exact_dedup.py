@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXT_BATCH, hold, load, pa_schema, partitions, to_batch
+from .common import hold, load, pa_schema, partitions, to_batch
 
 #: Code points of the text that lead the range key. Splitters are sampled keys, so they stay this short however long texts are.
 PREFIX = 24
@@ -74,7 +74,6 @@ def content_sort_dedup(
     is the one to keep is kept. A null id counts but is kept only if its whole group has none. Empty in, empty out.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = df.select(F.col(id_col).cast("long").alias("doc_id"), (normalize(text) if normalize else text).alias("text"))
     d = d.select("doc_id", "text", F.xxhash64("text").alias("h"), F.substring("text", 1, PREFIX).alias("p"))

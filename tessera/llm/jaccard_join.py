@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Answers, answer, ask, block_chunks, blocked, layout, with_answers
-from .common import documents, gram_hashes, hold, load, pa_schema, settle_rows, span_hashes, words
+from .common import BROADCAST_ROWS, documents, gram_hashes, hold, load, pa_schema, passing, settle_rows, word_hashes, words
 from .components import components
 
 GRAM, PERCENT = 4, 85
 DEPTH = 2
-#: A unit of the search holds at most twice this many documents, and twice this many n-grams (a longer document is alone).
-UNIT_DOCS, UNIT_GRAMS = 4096, 2 << 20
+#: A unit of the search holds about this many documents, and n-grams, at most (a longer document meets each other one alone).
+UNIT_DOCS, UNIT_GRAMS = 256, 1 << 20
 #: DivideSkip's weight of a long list's length.
 MU = 0.01
 #: Short lists with fewer entries than this are merged by a heap, larger ones by a sort of the same entries.
@@ -31,7 +32,7 @@ def gram_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
     """The distinct n-gram hashes of each text (A-Z lower-cased; a shorter text is one gram), end to end, and their bounds."""
     data = _LOWER[data]
     starts, ends, per = words(data, bounds)
-    w = span_hashes(data, starts, ends)
+    w, _ = word_hashes(data, starts, ends)
     grams = gram_hashes(w, n)
     sets = []
     for a, b in zip(per[:-1].tolist(), per[1:].tolist(), strict=True):
@@ -44,8 +45,19 @@ def required(total: int, percent: int) -> int:
     return -(-percent * total // (100 + percent))
 
 
-def t_occurrence(grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def _finder(root: list[int]):
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    return find
+
+
+def t_occurrence(grams: list[np.ndarray], percent: int, labels: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (positions) that join the sets as all pairs of at least ``percent`` similarity would. Sets come by ascending size.
+    Sets of equal ``labels`` are joined already.
 
     Each set in turn asks the inverted lists of those before it for documents in at least T lists. Its L longest
     lists are put aside; the short ones are merged, by a heap if they are tiny, and keep documents with T - L
@@ -59,14 +71,9 @@ def t_occurrence(grams: list[np.ndarray], percent: int) -> list[tuple[int, int]]
     flat = np.sort(token.astype(np.int64) * total + owner)  # the lists, one after the other, each by position
     list_start = np.searchsorted(flat, np.arange(token.max() + 2 if len(token) else 1, dtype=np.int64) * total)
     bounds = np.r_[0, np.cumsum(sizes)]
-    root = list(range(total))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    held_by: dict[int, int] = {}
+    root = [held_by.setdefault(x, k) for k, x in enumerate(labels or range(total))]
+    find = _finder(root)
     links = []
     for q in range(1, total):
         n = int(sizes[q])
@@ -136,7 +143,7 @@ def similar_sets(d: DataFrame, gram: int, percent: int, depth: int) -> DataFrame
         out: dict[str, list] = {f.name: [] for f in schema}
         if not table.num_rows:
             return pa.table(out, schema=schema)
-        known = Answers(answers, at.segment_bits)
+        known = Answers(answers, at)
         docs, parts, sizes = [], [], []
         for ids, data, bounds in block_chunks(table):
             grams, per = gram_sets(data, bounds, gram)
@@ -166,30 +173,87 @@ def similar_sets(d: DataFrame, gram: int, percent: int, depth: int) -> DataFrame
     return hold(with_answers(b, sketch, run, _SETS))
 
 
+_FOUND = "doc_id long, label long, least long, partners array<long>"
+
+
+def _search(units: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """T-occurrence search in each unit (``unit, doc_id, label``): the links found, and for each document the least label it is joined with."""
+    schema = pa_schema(_FOUND)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip((np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()), *(table.column(c).to_pylist() for c in ("doc_id", "label")), strict=True), key=lambda r: (len(r[0]), r[1]))
+        docs, labels = [r[1] for r in rows], [r[2] for r in rows]
+        found = t_occurrence([r[0] for r in rows], percent, labels) if len(rows) > 1 else []
+        partners: list[list[int]] = [[] for _ in rows]
+        least = dict(zip(labels, labels, strict=True))
+        find = _finder(least)
+        for q, p in found:
+            partners[q].append(docs[p])
+            x, y = sorted((find(labels[q]), find(labels[p])))
+            least[y] = x
+        return pa.table({"doc_id": docs, "label": labels, "least": [find(x) for x in labels], "partners": partners}, schema=schema)
+
+    return hold(units.join(live.select("doc_id", "grams"), "doc_id").groupBy("unit").applyInArrow(run, _FOUND))
+
+
+def _open_tokens(posts: DataFrame, turn: str) -> tuple[DataFrame, int]:
+    """Tokens that documents of several labels share, with what their lists hold and a digest of the list."""
+    lists = posts.groupBy("token").agg(
+        F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+        F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("d1"), F.bit_xor(F.xxhash64("doc_id", F.lit(2))).alias("d2"),
+    )
+    return settle_rows(lists.where("lo <> hi").drop("lo", "hi"), "tokens" + turn)
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def links(sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: verified links that connect whatever all links would."""
-    live = sets.where("prefix is not null")
-    posts = live.select("doc_id", F.explode("prefix").alias("token"))
-    least = posts.groupBy("token").agg(F.min("doc_id").alias("m"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = components(posts.join(least, "token").where("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b")))
-    # a group whose documents share rare n-grams is searched whole; a large one in units, by bands of size and pairs of blocks
-    near, _ = settle_rows(near.select(F.col("node").alias("doc_id"), "component").join(live.select("doc_id", "n_shingles"), "doc_id"), "neargroups")
-    sized = near.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"))
-    band = F.floor(F.log("n_shingles") / math.log(100 / (percent - 1))).cast("int")
-    big = (F.col("docs") > UNIT_DOCS) | (F.col("grams") > UNIT_GRAMS)
-    banded = near.join(sized, "component").select("component", "doc_id", "n_shingles", F.explode(F.when(big, F.array(band, band - 1)).otherwise(F.array(F.lit(-9)))).alias("band"))
-    splits = banded.groupBy("component", "band").agg(F.ceil(F.greatest(F.count("*") / UNIT_DOCS, F.sum("n_shingles") / UNIT_GRAMS)).cast("int").alias("s"))
+    """``a, b``: verified links that connect whatever all links would.
+
+    Two similar sets share a token (n-gram) of their prefixes. First two quick turns: each document goes with one of its shared tokens,
+    the rarest and then the commonest, to a unit of at most UNIT_DOCS, and what the search verifies there is joined under one label.
+    This settles nearly all groups at a set's cost a turn. Then the whole job: every list of documents with a token in common that
+    still holds several labels is searched, each distinct list once; a list beyond a unit is dealt by bands of size and
+    pairs of blocks. Only verified links join documents.
+    """
+    live = sets.where("prefix is not null").select("doc_id", "n_shingles", "grams", "prefix")
+    labels = live.select("doc_id", F.col("doc_id").alias("label"))
+    posts = live.select("doc_id", "n_shingles", F.col("doc_id").alias("label"), F.explode("prefix").alias("token"))
+    found = [live.sparkSession.createDataFrame([], _FOUND)]
+    for turn, sign in (("rare", 1), ("common", -1)):
+        tokens, rows = _open_tokens(posts, turn)
+        if not rows:
+            return _pairs(found)
+        shared = posts.join(_few(tokens.select("token", "docs"), rows), "token")
+        choice = shared.groupBy("doc_id", "label").agg(F.min(F.struct((F.col("docs") * sign).alias("order"), F.xxhash64("token").alias("mixed"), "token", "docs")).alias("c"))
+        part = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.ceil(F.col("c.docs") / UNIT_DOCS))
+        found.append(_search(choice.select("doc_id", "label", F.xxhash64("c.token", part).alias("unit")), live, percent))
+        moved, rows = settle_rows(found[-1].where("least < label").groupBy("label").agg(F.min("least").alias("least")), "labels" + turn)
+        labels = labels.join(_few(moved, rows), "label", "left").select("doc_id", F.coalesce("least", "label").alias("label"))
+        posts = live.join(labels, "doc_id").select("doc_id", "n_shingles", "label", F.explode("prefix").alias("token"))
+    tokens, rows = _open_tokens(posts, "whole")
+    if not rows:
+        return _pairs(found)
+    lists, rows = settle_rows(tokens.groupBy("d1", "d2", "docs", "grams").agg(F.min("token").alias("token")).drop("d1", "d2"), "lists")
+    step = math.log(100 / percent) * 1.0001 + 1e-6  # sets whose sizes differ by more are no partners
+    band = F.floor(F.log("n_shingles") / step).cast("int")
+    over = (F.col("docs") > UNIT_DOCS) | (F.col("grams") > UNIT_GRAMS)
+    banded = posts.join(_few(lists, rows), "token").select("token", "doc_id", "label", "n_shingles", F.explode(F.when(over, F.array(band, band - 1)).otherwise(F.array(F.lit(-9)))).alias("band"))
+    # a list beyond the bounds is dealt into blocks of half a unit, and each pair of them meets
+    splits = banded.groupBy("token", "band").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"))
+    blocks = F.when(over, F.ceil(2 * F.greatest(F.col("docs") / UNIT_DOCS, F.col("grams") / UNIT_GRAMS))).otherwise(1).cast("int")
+    splits, rows = settle_rows(splits.select("token", "band", blocks.alias("s")), "splits")
     i = F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")
-    placed = banded.join(splits, ["component", "band"]).select("component", "band", "doc_id", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"))
-    unit = placed.select("doc_id", F.xxhash64("component", "band", F.least("i", "j"), F.greatest("i", "j")).alias("unit"))
-    schema = pa_schema("a long, b long")
+    placed = banded.join(_few(splits, rows), ["token", "band"]).select("token", "band", "doc_id", "label", "s", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"))
+    unit = F.xxhash64("token", "band", F.least("i", "j"), F.greatest("i", "j")).alias("unit")
+    found.append(_search(placed.where("s = 1 or i <> j").select("doc_id", "label", unit), live, percent))
+    return _pairs(found)
 
-    def search(table: pa.Table) -> pa.Table:
-        rows = sorted(zip((np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()), table.column("doc_id").to_pylist(), strict=True), key=lambda r: (len(r[0]), r[1]))
-        found = t_occurrence([r[0] for r in rows], percent) if len(rows) > 1 else []
-        return pa.table({"a": [rows[x][1] for x, _ in found], "b": [rows[y][1] for _, y in found]}, schema=schema)
 
-    return unit.join(live.select("doc_id", "grams"), "doc_id").groupBy("unit").applyInArrow(search, "a long, b long")
+def _pairs(found: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [f.select(F.col("doc_id").alias("a"), F.explode("partners").alias("b")) for f in found])
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT, depth: int = DEPTH) -> DataFrame:
@@ -197,17 +261,21 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents link when ``100 * intersection >= percent * union`` of their sets of distinct n-grams; no link between
     different texts is lost. A sketch of how often each n-gram occurs, dealt over segments, first sets aside
-    documents with too few shared n-grams to have any partner. The others are joined into groups by their prefixes
-    (two similar sets share one of the rarest 15 % of n-grams), each group goes to one task, or a large group to
-    several by size bands and pairs of blocks, and T-occurrence search finds the links inside. Equal texts are
-    searched once. No candidates are capped.
+    documents with too few shared n-grams to have any partner. Two similar sets share one of the rarest n-grams of
+    each (15 % of them at 85 %): documents that share such a token meet in a unit of bounded size, where T-occurrence
+    search finds the links (see ``links``). Equal texts are searched once. No candidates are capped.
+
+    Sets hold 64-bit hashes of n-grams: a short word is hashed by a bijection, a longer one by XXH3.
 
     A text without words is an empty set and linked with nothing. A null text is empty. Repeated ids, null ids and
     empty tables: see ``common.documents``.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be 1 to 100")
     sets = similar_sets(documents(df, id_col, text_col), gram, percent, depth)
-    groups = components(links(sets, percent)).select(F.col("node").alias("rep"), "component")
-    whole = sets.select("doc_id", "n_shingles", "rep").join(groups, "rep", "left")
+    with passing() as keep:
+        groups = keep(components(links(sets, percent)))
+    whole = sets.select("doc_id", "n_shingles", "rep").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     return whole.select("doc_id", "n_shingles", own.alias("component_id"))
 

@@ -7,12 +7,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, hold, load, pa_schema, partitions, to_batch
+from .common import documents, hold, load, pa_schema, partitions, slices, to_batch
 
 MIN_LENGTH = 10
 _LINES = "h1 long, h2 long, doc_id long, pos int"
@@ -24,7 +25,7 @@ def _keyed(min_length: int):
     schema = pa_schema(_LINES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashes, docs, at = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for k, line in enumerate(text.as_buffer().to_pybytes().split(b"\n")):
@@ -128,7 +129,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     schema = pa_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {f.name: [] for f in schema}
             for doc, body, dropped in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 lines = None if emit == "bitmap" else body.as_buffer().to_pybytes().split(b"\n")
@@ -149,8 +150,19 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return joined.mapInArrow(run, ddl)
 
 
+def dropped_at(bitmap: F.Column, n_lines: F.Column) -> F.Column:
+    """The places of the dropped lines, from 0, comma-joined."""
+
+    @F.pandas_udf("string")
+    def places(b: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([",".join(map(str, np.flatnonzero(~keep_from_bitmap(x, k)).tolist())) for x, k in zip(b, n, strict=True)])
+
+    return places(bitmap, n_lines)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(load(spark, sf_dir), emit="digest").select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    d = line_dedup(load(spark, sf_dir), emit="digest")
+    return d.select("doc_id", "n_lines", "n_dropped", "kept_sha256", dropped_at(F.col("keep_bitmap"), F.col("n_lines")).alias("dropped_at"))
 
 
 OP5_SQL = r"""
@@ -160,6 +172,7 @@ keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) ||
 firsts AS (SELECT *, min(doc_id) OVER (PARTITION BY key) AS first FROM keyed),
 kept AS (SELECT *, NOT (length(key) >= 10 AND first < doc_id) AS keep FROM firsts)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '')) AS kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '')) AS kept_sha256,
+  coalesce(string_agg((pos - 1)::VARCHAR, ',' ORDER BY pos) FILTER (NOT keep), '') AS dropped_at
 FROM kept GROUP BY doc_id
 """

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .blocks import Answers, answer, ask, block_chunks, blocked, layout, squeeze, unsqueeze, with_answers
-from .common import documents, gram_hashes, load, pa_schema, span_hashes, words
+from .common import documents, gram_hashes, load, pa_schema, word_hashes, words
 
 WINDOW = 13
 DEPTH = 2
@@ -22,20 +22,20 @@ _WHOLE = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def window_hashes(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of ``width`` words in a chunk of texts, and the number of each window's document in the chunk."""
     starts, ends, per = words(data, bounds)
-    grams = gram_hashes(span_hashes(data, starts, ends), width)
+    grams = gram_hashes(word_hashes(data, starts, ends)[0], width)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(per))
     inside = doc[: len(grams)] == doc[width - 1 :] if len(grams) else np.zeros(0, bool)
     return grams[inside], doc[: len(grams)][inside]
 
 
 def second_hash(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As ``window_hashes``, with a second hash of 32 bits and each window's place among the chunk's words."""
+    """As ``window_hashes``, with a second, independent hash and each window's place among the chunk's words."""
     starts, ends, per = words(data, bounds)
-    w = span_hashes(data, starts, ends)
-    grams, other = gram_hashes(w, width), gram_hashes(w, width, seed=77)
+    one, two = word_hashes(data, starts, ends)
+    grams, other = gram_hashes(one, width), gram_hashes(two, width, seed=77)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(per))
     inside = np.flatnonzero(doc[: len(grams)] == doc[width - 1 :]) if len(grams) else np.zeros(0, np.int64)
-    return grams[inside], (other[inside] >> np.uint64(32)).astype(np.uint32), doc[inside], inside
+    return grams[inside], other[inside], doc[inside], inside
 
 
 def repeated_windows(b: DataFrame, at, width: int, depth: int) -> DataFrame:
@@ -48,7 +48,7 @@ def repeated_windows(b: DataFrame, at, width: int, depth: int) -> DataFrame:
         out: dict[str, list] = {f.name: [] for f in schema}
         if not table.num_rows:
             return pa.table(out, schema=schema)
-        known = Answers(answers, at.segment_bits)
+        known = Answers(answers, at)
         block = table.column("block")[0].as_py()
         later = np.array([doc for doc, (least, _) in known.classes.items() if doc != least], np.int64)
         if len(later):
@@ -93,7 +93,7 @@ def repeated_windows(b: DataFrame, at, width: int, depth: int) -> DataFrame:
     gone = pa_schema(_GONE)
 
     def settle(table: pa.Table) -> pa.Table:
-        """Group a segment's windows exactly (96 bits); tell each block which of its places lose their words."""
+        """Group a segment's windows exactly (128 bits); tell each block which of its places lose their words."""
         out: dict[str, list] = {f.name: [] for f in gone}
         rows = []
         for r in table.to_pylist():
@@ -108,7 +108,7 @@ def repeated_windows(b: DataFrame, at, width: int, depth: int) -> DataFrame:
         for r in rows:
             k = int.from_bytes(r["keys"][:4], "little")
             h1.append(np.cumsum(unsqueeze(r["keys"][4 : 4 + k], "<u8", r["n"]), dtype=np.uint64))
-            h2.append(unsqueeze(r["keys"][4 + k :], "<u4", r["n"]))
+            h2.append(unsqueeze(r["keys"][4 + k :], "<u8", r["n"]))
         docs = np.concatenate([unsqueeze(r["least"], "<i8", r["n"]) for r in rows])
         h1, h2 = np.concatenate(h1), np.concatenate(h2)
         order = np.lexsort((docs, h2, h1))
@@ -138,7 +138,7 @@ def window_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A word goes if a window of ``width`` words covers it whose words also begin in a document with a smaller id.
     Pass 1: each block of documents adds its windows to a count-min sketch (``depth`` rows; the sketch's cells are
     dealt over segments, so it grows with the corpus and no task holds all of it). The merged sketch overestimates,
-    so no repeated window is lost. Pass 2 groups exactly, by 96 bits of hash, only windows with an estimate of two or
+    so no repeated window is lost. Pass 2 groups exactly, by 128 bits of hash (two independent ones), only windows with an estimate of two or
     more; a block sends each distinct one once, so a passage that fills the corpus is not a hot key. Pass 3 cuts.
     Of equal texts only the smallest id takes part; the others lose all if they have ``width`` words.
 

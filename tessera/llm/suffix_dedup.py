@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Answers, answer, ask, block_chunks, blocked, layout, squeeze, unsqueeze, with_answers
-from .common import documents, load, mix, pa_schema, partitions, span_hashes, to_batch
+from .common import documents, load, mix, pa_schema, partitions, to_batch
 
 LENGTH = 200
 #: Bytes of an anchor; DEPTH rows of the anchors' sketch; window starts worked on at once; bytes in one index.
@@ -192,7 +193,7 @@ def suspects(b: DataFrame, sketch: DataFrame, at, length: int) -> DataFrame:
         out: dict[str, list] = {f.name: [] for f in schema}
         if not table.num_rows:
             return pa.table(out, schema=schema)
-        known = Answers(answers, at.segment_bits)
+        known = Answers(answers, at)
         block = table.column("block")[0].as_py()
         chunks = [(ids, data, bounds, *anchored(data, bounds, length)) for ids, data, bounds in block_chunks(table)]
         counts = known.counts(np.concatenate([c[5] for c in chunks]))
@@ -225,12 +226,13 @@ def suspects(b: DataFrame, sketch: DataFrame, at, length: int) -> DataFrame:
 
 
 def _digests(ids: np.ndarray, data: np.ndarray, bounds: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """Of the windows that start from first to last: two digests, document and place, a row each."""
+    """Of the windows that start from first to last: both halves of an XXH3 digest, document and place, a row each."""
     n = last - first + 1
     at = np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
     doc = np.repeat(doc, n)
-    h = [span_hashes(data, at, at + length, seed=seed).view(np.int64) for seed in (0, 99)]
-    return np.stack([*h, ids[doc], at - bounds[doc]])
+    raw = memoryview(np.ascontiguousarray(data))
+    h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a : a + length]) for a in at.tolist()]), "<i8").reshape(-1, 2)
+    return np.stack([h[:, 0], h[:, 1], ids[doc], at - bounds[doc]])
 
 
 def _by_segment(windows: list[np.ndarray], bits: int) -> Iterator[tuple[int, int, bytes, bytes]]:

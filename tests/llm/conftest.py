@@ -3,13 +3,13 @@ import random
 import pytest
 
 #: Columns whose names the operators use inside, and nulls in each.
-CLASH = "doc_id long, text string, lang string, source string, block int, segment int, h long, h1 long, p string, anchor long, rep long, component string, shard int, _b int, unit long, value string, owner string, edge boolean"
+CLASH = "doc_id long, text string, lang string, source string, block int, segment int, h long, h1 long, p string, anchor long, rep long, component string, shard int, unit long, value string, owner string, edge boolean, _first long, _b int, _gone long, gone long, bucket long, before long, no int, label long, token long, declared string, rest string, k long, best boolean"
 
 
 def rows_of(texts):
     """Texts as rows with clashing extra columns; ids are places unless (id, text) pairs are given."""
     pairs = [t if isinstance(t, tuple) else (k, t) for k, t in enumerate(texts)]
-    return [(i, t, None if (i or 0) % 3 else "en", None if (i or 0) % 2 else "s", *[None] * 14) for i, t in pairs]
+    return [(i, t, None if (i or 0) % 3 else "en", None if (i or 0) % 2 else "s", *[None] * (CLASH.count(",") - 3)) for i, t in pairs]
 
 
 @pytest.fixture(scope="session")
@@ -36,6 +36,25 @@ def corpus():
     return texts
 
 
+@pytest.fixture(scope="session")
+def thue_morse():
+    """Two different words (and their mirror) that polynomials modulo 2**64 cannot tell apart."""
+    words = []
+    for n in (1024, 2048):
+        bits = [bin(k).count("1") % 2 for k in range(n)]
+        words.append(("".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)))
+    return words
+
+
+@pytest.fixture(autouse=True)
+def freed():
+    """What a test's operators hold is freed after it."""
+    yield
+    from tessera.llm.common import release
+
+    release()
+
+
 @pytest.fixture(scope="session")
 def frame(spark):
     return lambda texts: spark.createDataFrame(rows_of(texts), CLASH)

@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import exact_dedup, jaccard_join, line_dedup, substring_dedup, suffix_dedup
+from tessera.llm import blocks, exact_dedup, jaccard_join, line_dedup, substring_dedup, suffix_dedup
+from tessera.llm.common import gram_hashes, word_hashes
 from tessera.llm.components import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,6 +50,45 @@ def collected(df, *cols):
     return out
 
 
+def test_word_hashes():
+    rng = np.random.default_rng(7)
+    kinds = {bytes(rng.integers(97, 100, rng.integers(1, 20), dtype=np.uint8)) for _ in range(4000)} | {b"a\0", b"\0", b"\0\0", b"\0a"}
+    kinds = sorted(kinds)
+    data = np.frombuffer(b" ".join(kinds), np.uint8)
+    ends = np.cumsum([len(k) + 1 for k in kinds]) - 1
+    starts = ends - [len(k) for k in kinds]
+    one, two = word_hashes(data, starts, ends)
+    assert len(set(one.tolist())) == len(set(two.tolist())) == len(kinds) and not set(one.tolist()) & set(two.tolist())
+    for k in (0, 17, len(kinds) - 1):  # the same wherever it lies
+        alone = np.frombuffer(kinds[k], np.uint8)
+        assert [int(h[0]) for h in word_hashes(alone, np.array([0]), np.array([len(alone)]))] == [int(one[k]), int(two[k])]
+    grams = gram_hashes(one, 3)
+    assert len(grams) == len(one) - 2 and len(set(grams.tolist())) == len(grams) and gram_hashes(one[:2], 3).tolist() == []
+
+
+def test_rows_sent_go_with_the_corpus():
+    """Blocks times segments, for corpora of 16 GB to 100 TB: in proportion, with hundreds of keys a row and blocks that a task can hold."""
+    for total in (16 << 30, 10**12, 10**13, 10**14):
+        at = blocks.dealt(total, total // 10**7)
+        rows = at.blocks << at.segment_bits
+        assert rows < total / 10**3 and total / 5 / rows > 200 and total / at.blocks < 400e6 and at.cell_bits <= 32
+    small = blocks.dealt(10**8, 12)
+    assert (small.blocks << small.segment_bits) < 2000 and blocks.dealt(0, 12).blocks == 1
+
+
+def test_sketch_totals(monkeypatch):
+    """Parts are added up the same whatever the steps."""
+    rng = np.random.default_rng(5)
+    keys = [np.unique(rng.integers(0, 500, n)).astype(np.uint32) for n in (0, 1, 200, 300)]
+    counts = [rng.integers(1, 200, len(k)).astype(np.uint8) for k in keys]
+    total = Counter()
+    for k, c in zip(keys, counts, strict=True):
+        total.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
+    for step in (1 << 20, 7):
+        monkeypatch.setattr(blocks, "MERGE_KEYS", step)
+        assert [x.tolist() for x in blocks._totals(keys, counts)] == [[min(255, total[k]) for k in own.tolist()] for own in keys]
+
+
 @pytest.mark.parametrize("length", [40, 64, 200])
 def test_suffix(corpus, frame, length):
     got = collected(suffix_dedup.suffix_dedup(frame(corpus), length=length), "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -66,11 +106,21 @@ def test_suffix_odd(odd, frame):
 
 
 @pytest.mark.parametrize("hot", [2, 4])
-def test_suffix_hot(corpus, frame, monkeypatch, hot):
+def test_suffix_hot(corpus, frame, monkeypatch, thue_morse, hot):
     """Anchors that occur often are settled by digests, with the same result."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    got = collected(suffix_dedup.suffix_dedup(frame(corpus), length=64), "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert got == cut_bytes(corpus, 64)
+    texts = corpus + [w for pair in thue_morse for w in pair] + ["q" + thue_morse[0][0][:900], thue_morse[0][1][3:700] + "q"]
+    got = collected(suffix_dedup.suffix_dedup(frame(texts), length=64), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == cut_bytes(texts, 64)
+
+
+def test_words_that_collide_elsewhere(frame, thue_morse):
+    common = " w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"
+    texts = [w for pair in thue_morse for w in pair] + [w + common for pair in thue_morse for w in pair]
+    assert collected(jaccard_join.jaccard_join(frame(texts)), "n_shingles", "component_id") == linked(texts, 4, 85)
+    assert collected(substring_dedup.window_dedup(frame(texts)), "n_words", "n_removed", "kept_sha256") == cut_windows(texts, 13)
+    for length in (200, 64):
+        assert collected(suffix_dedup.suffix_dedup(frame(texts), length=length), "n_bytes", "n_removed", "n_spans", "kept_sha256") == cut_bytes(texts, length)
 
 
 def test_run_index():
@@ -127,6 +177,9 @@ def test_lines(corpus, odd, frame):
     assert collected(line_dedup.line_dedup(frame(more), emit="digest"), "n_lines", "n_dropped", "kept_sha256") == cut_lines(more)
     for r in line_dedup.line_dedup(frame(texts)).collect():
         assert r.n_lines - line_dedup.keep_from_bitmap(r.keep_bitmap, r.n_lines).sum() == r.n_dropped
+    flags = line_dedup.line_dedup(frame(texts))
+    for r in flags.select("n_lines", "keep_bitmap", line_dedup.dropped_at(flags.keep_bitmap, flags.n_lines).alias("at")).collect():
+        assert r.at == ",".join(str(k) for k, x in enumerate(line_dedup.keep_from_bitmap(r.keep_bitmap, r.n_lines)) if not x)
     kept = {r.doc_id: r.text for r in line_dedup.line_dedup(frame(["a long enough line\nx", "A long enough line\t\nx"]), emit="text").collect()}
     assert kept == {0: "a long enough line\nx", 1: "x"}
     assert line_dedup.line_dedup(frame([]), emit="digest").collect() == []
@@ -175,6 +228,29 @@ def test_jaccard_in_units(corpus, frame, odd, monkeypatch):
     assert collected(jaccard_join.jaccard_join(frame(texts)), "n_shingles", "component_id") == linked(texts, 4, 85)
     assert collected(jaccard_join.jaccard_join(frame(odd)), "n_shingles", "component_id") == linked(odd, 4, 85)
     assert jaccard_join.jaccard_join(frame([])).collect() == []
+    # a line that nearly all short texts consist of: one long list of documents that are mostly no partners
+    hot = [" ".join(base[:12] + [f"y{k}_{j}" for j in range(k % 4)]) for k in range(40)]
+    assert collected(jaccard_join.jaccard_join(frame(hot + chain), percent=60), "n_shingles", "component_id") == linked(hot + chain, 4, 60)
+    assert collected(jaccard_join.jaccard_join(frame(hot), percent=100), "n_shingles", "component_id") == linked(hot, 4, 100)
+    with pytest.raises(ValueError):
+        jaccard_join.jaccard_join(frame([]), percent=0)
+
+
+def test_units_are_bounded(corpus, frame, monkeypatch):
+    """No unit of the search gathers more documents than it may, however many share a token."""
+    seen = []
+    search = jaccard_join._search
+
+    def counted(units, live, percent):
+        seen.append(max([r["count"] for r in units.groupBy("unit").count().collect()], default=0))
+        return search(units, live, percent)
+
+    monkeypatch.setattr(jaccard_join, "_search", counted)
+    monkeypatch.setattr(jaccard_join, "UNIT_DOCS", 20)
+    base = [f"w{k}" for k in range(80)]
+    texts = [" ".join(base[:k % 60] + [f"x{k}"] + base[k % 60:]) for k in range(400)]
+    got = collected(jaccard_join.jaccard_join(frame(texts)), "n_shingles", "component_id")
+    assert got == linked(texts, 4, 85) and len(seen) >= 2 and max(seen) <= 45
 
 
 def test_t_occurrence():
@@ -183,18 +259,21 @@ def test_t_occurrence():
         sets = [np.unique(rng.integers(0, 30, rng.integers(1, 25))).astype(np.uint64) for _ in range(60)]
         sets += [s for s in sets[:10]] + [np.arange(25, dtype=np.uint64)] * 3
         sets.sort(key=len)
-        true = {(q, p) for q in range(len(sets)) for p in range(q) if 100 * len(np.intersect1d(sets[p], sets[q])) >= percent * len(np.union1d(sets[p], sets[q]))}
-        found = jaccard_join.t_occurrence(sets, percent)
-        assert set(found) <= true
 
-        def groups(links):
+        def groups(links, sets=sets):
             root = list(range(len(sets)))
             for a, b in links:
                 x, y = root[a], root[b]
                 root = [x if r == y else r for r in root]
             return [root.index(r) for r in root]
 
-        assert groups(found) == groups(true)
+        true = {(q, p) for q in range(len(sets)) for p in range(q) if 100 * len(np.intersect1d(sets[p], sets[q])) >= percent * len(np.union1d(sets[p], sets[q]))}
+        found = jaccard_join.t_occurrence(sets, percent)
+        assert set(found) <= true
+        joined = groups(true)
+        assert jaccard_join.t_occurrence(sets, percent, joined) == []
+
+        assert groups(found) == joined
 
 
 def test_components(spark):
