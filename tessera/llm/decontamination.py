@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,85 +9,164 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, gram_hashes, load, pa_schema, span_hashes, text_chunks, to_batch, words
+from .common import documents, gram_hashes, load, pa_schema, text_chunks, to_batch, word_hashes, words
 
 #: Least words of a tile; share of an item's words that tiles must cover.
 MIN_MATCH, COVERAGE = 5, 0.6
 #: Bytes of benchmark text that go to every task at once; a larger benchmark is taken in several such blocks.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 _FOUND = "doc_id long, item_id long, coverage double, tiles int"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 #: What separates words here: all ASCII but letters and digits, so that punctuation and layout don't hide a passage.
 _APART = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+#: Words whose seeds are looked up at once.
+STEP = 1 << 18
+#: Karp-Rabin multiplier of the running hashes.
+BASE = 0x9E3779B97F4A7C15
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def token_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each word, and the bounds of each text's words."""
     data = _FOLD[data]
     starts, ends, per = words(data, bounds, _APART)
-    return span_hashes(data, starts, ends), per
+    return *word_hashes(data, starts, ends), per
 
 
 class Seeds:
-    """The benchmark's shared-token seeds: Karp-Rabin hashes of each item's runs of ``least`` words, sorted, with a bit table before them."""
+    """The benchmark's shared-token seeds: hashes of each item's runs of ``least`` words (of an item with fewer words: all of them), distinct and sorted, with the items that hold each."""
 
     def __init__(self, items: list[tuple[int, str]], least: int) -> None:
         raw = [(t or "").encode() for _, t in items]
         data = np.frombuffer(b"".join(raw), np.uint8)
-        w, per = word_hashes(data, np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)) if raw else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
-        grams = gram_hashes(w, least)
-        item = np.repeat(np.arange(len(items)), np.diff(per))
-        inside = np.flatnonzero(item[: len(grams)] == item[least - 1 :]) if len(grams) else np.zeros(0, np.int64)
-        order = np.argsort(grams[inside], kind="stable")
-        self.hashes, self.item = grams[inside][order], item[inside][order]
-        self.at = inside[order] - per[self.item]
-        self.ids, self.words = [i for i, _ in items], np.diff(per)
-        self.table = np.zeros(1 << 20, bool)
-        self.table[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of a text's seeds that items share: place in the text, item, place in the item."""
-        maybe = np.flatnonzero(self.table[(grams >> np.uint64(44)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.hashes, grams[maybe]), np.searchsorted(self.hashes, grams[maybe], side="right")
-        n = hi - lo
-        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        return np.repeat(maybe, n), self.item[at], self.at[at]
-
-
-def tile(text_at: np.ndarray, item_at: np.ndarray, least: int, item_words: int) -> tuple[int, int]:
-    """Greedy string tiling from shared seeds: covered words of the item, and tiles.
-
-    Seeds that follow one another on a diagonal are one maximal match. The longest is marked, in text and item;
-    of matches that run into marked words the unmarked rests compete again; below ``least`` words a match is none.
+        self.ids, self.least = [i for i, _ in items], least
+        self.one, self.two, self.per = token_hashes(data, np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64))
+        sizes = np.diff(self.per)
+        item = np.repeat(np.arange(len(items)), sizes)
+        self.by_length = {}
+        for n in sorted({min(least, int(x)) for x in sizes if x}):
+            grams = gram_hashes(self.one, n)
+            whole = (item[: len(grams)] == item[n - 1 :]) & ((sizes[item[: len(grams)]] >= least) if n == least else (sizes[item[: len(grams)]] == n))
+            at = np.flatnonzero(whole)
+            pairs = np.unique(np.stack([grams[at], item[at].astype(np.uint64)], axis=1), axis=0)
+            hashes, first = np.unique(pairs[:, 0], return_index=True)
+            table = np.zeros(1 << 20, bool)
+            table[(hashes >> np.uint64(44)).astype(np.int64)] = True
+            self.by_length[n] = (hashes, np.r_[first, len(pairs)], pairs[:, 1].astype(np.int32), table)
+
+    def pairs(self, one: np.ndarray, per: np.ndarray) -> np.ndarray:
+        """Rows (text, item) of texts and items that share a seed. Seeds that a text repeats count once."""
+        out = [np.zeros((0, 2), np.int64)]
+        for n, (hashes, first, item, table) in self.by_length.items():
+            held = [np.zeros(0, np.int64)]
+            for start in range(0, len(one), STEP):  # a very long text's seeds are looked up step by step
+                grams = gram_hashes(one[start : start + STEP + n - 1], n)
+                at = np.flatnonzero(table[(grams >> np.uint64(44)).astype(np.int64)])
+                place = np.minimum(np.searchsorted(hashes, grams[at]), len(hashes) - 1)
+                same = hashes[place] == grams[at]
+                at, place = at[same] + start, place[same]
+                doc = np.searchsorted(per, at, side="right") - 1
+                inside = at + n <= per[doc + 1]
+                held.append(np.unique(doc[inside] * len(hashes) + place[inside]))
+            doc, place = np.divmod(np.unique(np.concatenate(held)), len(hashes))
+            many = first[place + 1] - first[place]
+            spot = np.repeat(first[place] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum()) if len(place) else np.zeros(0, np.int64)
+            out.append(np.stack([np.repeat(doc, many), item[spot]], axis=1))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def numbered(self, item: int, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A text's and an item's words as numbers (those of the text that the item lacks: -1); both hashes must agree."""
+        a, b = self.per[item], self.per[item + 1]
+        kinds, first, numbers = np.unique(self.one[a:b], return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(kinds, one), len(kinds) - 1)
+        same = (kinds[place] == one) & (self.two[a:b][first][place] == two)
+        return np.where(same, place, -1).astype(np.int32), numbers.astype(np.int32)
+
+
+class _Running:
+    """Karp-Rabin hashes of all windows of a length, from prefix sums; which windows are free is told by prefix sums of marks."""
+
+    def __init__(self, numbers: np.ndarray) -> None:
+        n = len(numbers)
+        powers = np.ones(n + 1, np.uint64)
+        powers[1:] = BASE
+        self.back = np.ones(n + 1, np.uint64)
+        self.back[1:] = pow(BASE, -1, 1 << 64)
+        np.multiply.accumulate(powers, out=powers)
+        np.multiply.accumulate(self.back, out=self.back)
+        powers[1:] = powers[:-1]
+        self.sums = numbers.astype(np.uint64)
+        self.sums += np.uint64(1)
+        self.sums *= np.uint64(0xBF58476D1CE4E5B9)
+        self.sums ^= self.sums >> np.uint64(29)
+        self.sums *= powers[1:]
+        self.sums = np.r_[np.uint64(0), np.cumsum(self.sums)]
+        self.free = numbers >= 0
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the free windows of n words."""
+        taken = np.r_[0, np.cumsum(~self.free)]
+        at = np.flatnonzero(taken[n:] == taken[:-n]) if n < len(taken) else np.zeros(0, np.int64)
+        return at, (self.sums[at + n] - self.sums[at]) * self.back[at]
+
+
+def tile(text: np.ndarray, item: np.ndarray, least: int) -> tuple[int, int]:
+    """Greedy string tiling of numbered words: covered words of the item, and tiles.
+
+    The longest match of unmarked words is marked, in text and item, again and again, down to ``least`` words; of equal ones the first
+    in the item, then in the text. The longest length is found by bisection, since a match holds shorter ones; all its matches are
+    marked in one pass over the hashes, each compared word by word first. Memory goes with the words, not with the matches.
     """
-    order = np.lexsort((text_at, text_at - item_at))
-    t, p = text_at[order], item_at[order]
-    cut = np.flatnonzero(np.r_[True, (np.diff(t - p) != 0) | (np.diff(t) != 1)])
-    size = np.diff(np.r_[cut, len(t)]) + least - 1
-    heap = [(-int(n), int(p[c]), int(t[c])) for c, n in zip(cut, size, strict=True)]
-    heapq.heapify(heap)
-    item_marked, text_marked = bytearray(item_words), set()
+    own = text >= 0
+    edge = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
+    runs = edge.reshape(-1, 2)
+    runs = runs[runs[:, 1] - runs[:, 0] >= least]
+    if not len(runs):
+        return 0, 0
+    # only runs of the item's words can hold a match; one foreign word keeps them apart
+    keep = np.zeros(len(text) + 1, bool)
+    for a, b in runs.tolist():
+        keep[a : b + 1] = True
+    text = np.r_[text, np.int32(-1)][keep]
+    t, p = _Running(text), _Running(item)
     covered = tiles = 0
-    while heap and covered <= item_words - least:
-        n, p0, t0 = heapq.heappop(heap)
-        n = -n
-        runs, begin = [], None
-        for k in range(n + 1):
-            free = k < n and not item_marked[p0 + k] and t0 + k not in text_marked
-            if free and begin is None:
-                begin = k
-            elif not free and begin is not None:
-                runs.append((begin, k))
-                begin = None
-        if runs == [(0, n)]:
-            item_marked[p0 : p0 + n] = b"\1" * n
-            text_marked.update(range(t0, t0 + n))
-            covered += n
-            tiles += 1
-        else:
-            for a, b in runs:
-                if b - a >= least:
-                    heapq.heappush(heap, (a - b, p0 + a, t0 + a))
+    longest = min(len(item), int((runs[:, 1] - runs[:, 0]).max()))
+
+    def shared(n: int) -> bool:
+        return bool(np.isin(p.windows(n)[1], t.windows(n)[1]).any())
+
+    while longest >= least and covered <= len(item) - least:
+        low, high = least - 1, longest  # the longest shared length lies in [low, high]
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if shared(middle) else (low, middle - 1)
+        n = low
+        if n < least:
+            break
+        at, h = t.windows(n)
+        places, hp = p.windows(n)
+        hit = np.isin(h, hp)
+        at, h = at[hit], h[hit]
+        order = np.argsort(h, kind="stable")
+        at, h = at[order], h[order]
+        begin, end = np.searchsorted(h, hp).tolist(), np.searchsorted(h, hp, side="right").tolist()
+        next_at: dict[int, int] = {}
+        for a, lo, hi in zip(places.tolist(), begin, end, strict=True):
+            if lo == hi or not (p.free[a] and p.free[a + n - 1]):
+                continue
+            k = next_at.get(lo, lo)
+            while k < hi and not (t.free[at[k]] and t.free[at[k] + n - 1]):
+                k += 1
+            next_at[lo] = k
+            while k < hi:
+                b = int(at[k])
+                if t.free[b] and t.free[b + n - 1] and np.array_equal(text[b : b + n], item[a : a + n]):
+                    p.free[a : a + n] = False
+                    t.free[b : b + n] = False
+                    covered, tiles = covered + n, tiles + 1
+                    break
+                k += 1
+        longest = n - 1
     return covered, tiles
 
 
@@ -107,37 +185,32 @@ def find_leaks(
     """One row per document: ``doc_id, contaminated, item_id, coverage, tiles`` (its best covered item; null where none shares a seed).
 
     Texts are words of letters and digits, case folded in ASCII. Documents and items are joined by shared seeds
-    (runs of ``least`` words); each pair is tiled: the longest match free of marked words is marked again and again,
-    found by the seeds' running Karp-Rabin hashes. As tiles may lie in any order, a passage with its sentences moved about is
+    (runs of ``least`` words); each pair is tiled (``tile``): the longest match free of marked words is marked again and again,
+    found by running Karp-Rabin hashes and compared. As tiles may lie in any order, a passage with its sentences moved about is
     caught. From a share of ``coverage`` of the item's words on, the document is contaminated; ties go to the
-    smallest item. Texts are read in one narrow pass a benchmark block and not shuffled.
+    smallest item, then to the fewest tiles. Texts are read in one narrow pass a benchmark block and not shuffled.
 
-    Items below ``least`` words are too short to tell a leak and never match. Null texts are empty. Rows of the
-    benchmark that repeat an id count as items of their own. Repeated and null ids: see ``common.documents``.
+    An item of fewer than ``least`` words matches where all its words occur in a row; one without words never. Null texts are
+    empty. Rows of the benchmark that repeat an id count as items of their own; rows without an id or text are none.
+    Repeated and null ids: see ``common.documents``.
     """
     d = documents(df, id_col, text_col)
     schema = pa_schema(_FOUND)
 
-    def against(seeds: Seeds):
+    def against(told):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seeds = told.value
             for batch in batches:
                 out: dict[str, list] = {f.name: [] for f in schema}
                 for ids, data, bounds in text_chunks(batch.column(0), batch.column(1)):
-                    w, per = word_hashes(data, bounds)
-                    at, item, place = seeds.hits(gram_hashes(w, least))
-                    doc = np.searchsorted(per, at, side="right") - 1
-                    ok = at + least <= per[doc + 1] if len(at) else np.zeros(0, bool)
-                    at, item, place, doc = at[ok], item[ok], place[ok], doc[ok]
+                    one, two, per = token_hashes(data, bounds)
                     best: dict[int, tuple] = {}
-                    order = np.lexsort((item, doc))
-                    at, item, place, doc = at[order], item[order], place[order], doc[order]
-                    cut = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0)]) if len(at) else np.zeros(0, np.int64)
-                    ends = np.r_[cut[1:], len(at)][: len(cut)]
-                    for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
-                        n = int(seeds.words[item[a]])
-                        covered, tiles = tile(at[a:b], place[a:b], least, n)
-                        key = (-covered / n, seeds.ids[item[a]], tiles)
-                        best[int(doc[a])] = min(best.get(int(doc[a]), key), key)
+                    for doc, item in seeds.pairs(one, per).tolist():
+                        text, own = seeds.numbered(item, one[per[doc] : per[doc + 1]], two[per[doc] : per[doc + 1]])
+                        covered, tiles = tile(text, own, min(least, len(own)))
+                        if tiles:
+                            key = (-covered / len(own), seeds.ids[item], tiles)
+                            best[doc] = min(best.get(doc, key), key)
                     for k, doc_id in enumerate(ids.tolist()):
                         share, item_id, tiles = best.get(k, (None, None, None))
                         for name, v in zip(out, (doc_id, item_id, None if share is None else -share, tiles), strict=True):
@@ -148,7 +221,7 @@ def find_leaks(
 
     found = None
     for items in _blocks(benchmark, item_col, item_text_col):
-        one = d.mapInArrow(against(Seeds(items, least)), _FOUND)
+        one = d.mapInArrow(against(df.sparkSession.sparkContext.broadcast(Seeds(items, least))), _FOUND)
         found = one if found is None else found.unionByName(one).groupBy("doc_id").agg(F.min(F.struct(F.coalesce(-F.col("coverage"), F.lit(1.0)), "item_id", "coverage", "tiles")).alias("b")).select("doc_id", "b.item_id", "b.coverage", "b.tiles")
     return found.select("doc_id", F.coalesce(F.col("coverage") >= coverage, F.lit(False)).alias("contaminated"), "item_id", "coverage", "tiles")
 

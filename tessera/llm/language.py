@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, hold, load, pa_schema, settle_rows, text_chunks, to_batch
+from .common import documents, fresh, hold, load, pa_schema, settle_rows, slices, text_chunks, to_batch
 
-#: Labelled rows that the text model is fitted on, at most; languages it may have, at most (the most frequent ones).
-TRAIN_ROWS, MAX_LANGUAGES = 4000, 64
+#: Labelled rows that the text model is fitted on, at most. Their labels are its languages, however many.
+TRAIN_ROWS = 4000
 #: Buckets of byte trigrams.
 BITS = 15
 #: Trigrams of a text beyond which its likelihood counts no more: neighbours are not independent.
@@ -25,7 +25,7 @@ HOST_WEIGHT, DOMAIN_WEIGHT, DECLARED_WEIGHT = 8.0, 32.0, 4.0
 #: Hosts times languages that go to every task at most: with 16 bytes each, a few tens of MB.
 BROADCAST_CELLS = 2_000_000
 _FOLD = np.array([c + 32 if 65 <= c < 91 else c if c >= 128 or 97 <= c < 123 else 32 for c in range(256)], dtype=np.uint8)
-_SUMS = "lang string, grams binary, bytes binary"
+_SUMS = "lang string, gram int, n long"
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -34,10 +34,10 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 class TextModel:
-    """Log-probabilities of a byte trigram's bucket for each language, and of loose bytes."""
+    """Log-probabilities of a byte trigram's bucket for each language, and of loose bytes. ``cut``: the greatest key of the rows it was fitted on."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
-        self.languages = sorted(counts)
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], cut: int | None = None) -> None:
+        self.languages, self.cut = sorted(counts), cut
         rows, loose = [], np.zeros(256)
         for name in self.languages:
             grams, single = counts[name]
@@ -69,32 +69,46 @@ class TextModel:
         return np.stack([mean(row[used]) for row in self.table], axis=1), mean((loose[:-2] + loose[1:-1] + loose[2:])[inside]), n, n_letters
 
 
+def _key(doc_id: F.Column) -> F.Column:
+    return F.xxhash64(doc_id.cast("long"))
+
+
+def fold(name: F.Column) -> F.Column:
+    """A label or declaration as languages are named here: trimmed, in lower case; an empty one is null."""
+    name = F.lower(F.trim(name.cast("string")))
+    return F.when(name != "", name)
+
+
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
-    """Fit on ``rows`` labelled rows at most, those whose ids hash lowest: bounded, and the same at every run."""
-    labelled = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    key = F.xxhash64(F.col(id_col).cast("long"))
-    picked = labelled.select(key.alias("_k")).orderBy("_k").limit(rows)
-    sample = labelled.select(key.alias("_k"), F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sample = sample.join(F.broadcast(picked), "_k").select("lang", "text").repartition(4)
+    """Fit on ``rows`` labelled documents at most, those whose ids hash lowest: bounded, and the same at every run.
+
+    Documents with a null or empty label teach nothing. Repeated and null ids: see ``common.documents``.
+    """
+    labelled = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), fold(F.col(label_col)).alias("label"))
+    labelled = documents(labelled, keep=["label"]).where("label is not null")
+    cut = labelled.select(_key(F.col("doc_id")).alias("k")).orderBy("k").limit(rows).agg(F.max("k")).first()[0]
+    if cut is None:
+        return TextModel({})
+    sample = labelled.where(_key(F.col("doc_id")) <= cut).select("label", "text").repartition(4)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        """Trigrams by bucket, and single bytes as buckets -1 to -256."""
+        for batch in slices(batches):
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = _FOLD[np.frombuffer(text.as_buffer(), np.uint8)]
-                g, s = sums.setdefault(lang, [np.zeros(1 << BITS, np.int64), np.zeros(256, np.int64)])
-                if len(data) > 2:
-                    g += np.bincount(_grams(data), minlength=1 << BITS)
-                    s += np.bincount(data, minlength=256)
-        top = sorted(sums, key=lambda k: (-int(sums[k][0].sum()), k))[: 4 * MAX_LANGUAGES]
-        yield to_batch({"lang": top, "grams": [sums[k][0].tobytes() for k in top], "bytes": [sums[k][1].tobytes() for k in top]}, pa_schema(_SUMS))
+                kinds, n = np.unique(np.r_[_grams(data).astype(np.int32), -1 - data.astype(np.int32)] if len(data) > 2 else np.zeros(0, np.int32), return_counts=True)
+                yield to_batch({"lang": [label] * len(kinds), "gram": kinds, "n": n}, pa_schema(_SUMS))
 
     total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for r in sample.mapInArrow(count, _SUMS).toLocalIterator():
-        g, s = total.get(r["lang"], (0, 0))
-        total[r["lang"]] = (g + np.frombuffer(r["grams"], np.int64), s + np.frombuffer(r["bytes"], np.int64))
-    top = sorted(total, key=lambda k: (-int(total[k][0].sum()), k))[:MAX_LANGUAGES]
-    return TextModel({k: total[k] for k in top})
+    # at most the buckets of each language, which the sample bounds
+    for r in sample.mapInArrow(count, _SUMS).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        for lang, gram, n in zip(*(r.column(k).to_pylist() for k in range(3)), strict=True):
+            grams, single = total.setdefault(lang, (np.zeros(1 << BITS, np.int64), np.zeros(256, np.int64)))
+            if gram >= 0:
+                grams[gram] = n
+            else:
+                single[-1 - gram] = n
+    return TextModel(total, cut)
 
 
 def _smoothed(counts: F.Column, prior: F.Column, weight: float) -> F.Column:
@@ -115,6 +129,9 @@ def identify(
     and a row's own vote is taken out of its host's before it is judged. Only ids, scores and the evidence columns are
     shuffled. A very common host is partially aggregated, and its rows are few bytes each.
 
+    Labels and declarations are folded alike (``fold``). Of languages that are equally likely the first by name is given. A declaration that the
+    model does not know counts against each language as that of another language does.
+
     ``kept`` is false (and ``language`` is ``und``) for texts without letters, and for texts of MIN_GRAMS trigrams or more that loose bytes
     explain better than any language does, by MARGIN a trigram. Evidence that is missing or null says nothing. Repeated ids, null
     ids and empty tables: see ``common.documents``; of repeated ids the evidence goes with the text that stays.
@@ -127,14 +144,17 @@ def identify(
     url = F.col(url_col).cast("string") if url_col else none
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.col(host_col).cast("string") if host_col else none)
     source = df.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lower(F.col(declared_col).cast("string") if declared_col else none).alias("declared"),
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), fold(F.col(declared_col) if declared_col else none).alias("declared"),
         host.alias("host"), F.when(url.isNotNull(), F.regexp_extract(host, r"([^.]+)$", 1)).alias("suffix"),
     )
     d = documents(source, keep=["declared", "host", "suffix"])
     ddl = "doc_id long, declared string, host string, suffix string, means array<double>, loose double, n_grams long, letters long"
     schema = pa_schema(ddl)
 
+    told = df.sparkSession.sparkContext.broadcast(model)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = told.value
         for batch in batches:
             means, loose, n, letters = zip(*(model.score(data, bounds) for _, data, bounds in text_chunks(batch.column(0), batch.column(1))), strict=True)
             flat = np.concatenate(means)
@@ -182,15 +202,29 @@ def identify(
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents``: the declared language is ``lang``, the host is ``source``; they have no address."""
+    """All ``documents``: the declared language is ``lang``, the host is ``source``; they have no address.
+
+    ``lang`` is also the label that the text model is fitted on, so the documents of the sample declare nothing.
+    """
     d = load(spark, sf_dir)
-    return identify(d, fit(d), declared_col="lang", host_col="source")
+    return identify_documents(d)
+
+
+def identify_documents(d: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """``identify`` for a table with ``doc_id, text, lang, source``, fitted on ``rows`` of its own rows."""
+    model = fit(d, rows=rows)
+    declared = fresh("declared", d)
+    unseen = F.lit(True) if model.cut is None else _key(F.col("doc_id")) > model.cut
+    return identify(d.withColumn(declared, F.when(unseen, F.col("lang"))), model, declared_col=declared, host_col="source")
 
 
 def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``pages``, with all four sources: text of the markup, its ``lang`` attribute, the address suffix and the host."""
-    p = load(spark, sf_dir, "pages")
+    return identify_pages(load(spark, sf_dir, "pages"), fit(load(spark, sf_dir)))
+
+
+def identify_pages(p: DataFrame, model: TextModel) -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<!--.*?-->|<[^>]*>", " ")
-    declared = F.lower(F.regexp_extract("html", r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
-    p = p.select("page_id", "url", bare.alias("text"), F.when(declared != "", declared).alias("declared"))
-    return identify(p, fit(load(spark, sf_dir)), id_col="page_id", declared_col="declared", url_col="url").withColumnRenamed("doc_id", "page_id")
+    declared = F.regexp_extract("html", r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1)
+    p = p.select("page_id", "url", bare.alias("text"), declared.alias("declared"))
+    return identify(p, model, id_col="page_id", declared_col="declared", url_col="url").withColumnRenamed("doc_id", "page_id")

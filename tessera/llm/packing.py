@@ -3,56 +3,47 @@
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, hold, load, pa_schema, to_batch
+from .common import BROADCAST_ROWS, documents, hold, load, materialize, pa_schema, settle_rows, slices, to_batch
 
 CONTEXT = 2048
 VOCABULARY = "byte_bpe_50k"
 #: The id after each document.
 END = 0
-#: Rank buckets in a length class.
-BUCKETS = 64
-#: White-space-free runs longer than this go to the other encoder, whose time stays near linear in a word's length.
-LONG_RUN = 2000
-_LONG_SPACE = re.compile(rf"\s{{{LONG_RUN + 1}}}")
+#: Pieces of a length that one task ranks, about.
+RANKED_ROWS = 200_000
+#: Each value range of the sweeps is this many times as wide as the one below.
+WIDER = 3
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """Token ids of a byte-level BPE vocabulary. The rank file's encoder is several times faster and gives the ids of the JSON file's (tested)."""
+    """Token ids of a byte-level BPE vocabulary, as the JSON file's encoder gives them by default: the strings of its special tokens
+    become their ids, other text is split and merged. The rank file's encoder does the merging; it is four times faster."""
 
     def __init__(self, vocabulary: str = VOCABULARY) -> None:
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self._fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._path = public_tokenizers.path(f"{vocabulary}.json")
-        self._slow = None
+        with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self._encoding = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= LONG_RUN or max(map(len, text.split()), default=0) <= LONG_RUN and not _LONG_SPACE.search(text):
-            return self._fast.encode_ordinary(text)
-        if self._slow is None:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            self._slow = Tokenizer.from_file(self._path)
-            self._slow.encode_special_tokens = True
-        return self._slow.encode(text, add_special_tokens=False).ids
+        return self._encoding.encode(text, allowed_special="all")
 
 
 def cut(n: int, context: int = CONTEXT) -> list[tuple[int, int]]:
@@ -69,7 +60,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", contex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {f.name: [] for f in schema}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.array([*encoder.encode(text.as_py()), END], dtype="<u4")
@@ -81,77 +72,153 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", contex
     return documents(df, id_col, text_col).mapInArrow(run, _PIECES)
 
 
-def plan(counts: dict[int, int], context: int = CONTEXT) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit over length classes: rows (length, first rank, count, first sequence, offset).
+def sweep(docs: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]], context: int, opened: int | None = None) -> tuple[list[tuple], list[tuple], list[tuple], int | None]:
+    """Best-fit of document runs (length, first rank, count) into gap runs (gap, first sequence, count).
 
-    Documents of a length are interchangeable, and so are gaps of a size, so both sorted ranges are runs of
-    (value, count) with ranks inside. A superstep sweeps the lengths from long to short; each class goes to its
-    successor among the gap runs (the smallest gap that holds it). Rank resolves the conflict: the k-th document
-    of the class takes the k-th gap of the run, ranks beyond the run go to the next successor, and gaps are updated in
-    bulk. Only when no gap is left does a class open sequences, as many as it needs. Supersteps repeat
-    until the class is placed. The state is one entry per run: it depends on ``context``, not on the corpus.
+    Documents of a length are interchangeable, and so are gaps of a size. Lengths go from long to short; each goes to its
+    successor, the smallest gap that holds it. Rank resolves the conflict: the k-th document takes the k-th gap of the run,
+    ranks beyond it go on to the next successor, and gaps are updated in bulk. Documents without a gap are left, or, where
+    ``opened`` gives the next free sequence, open new ones. Placed rows: (length, first rank, count, first sequence, offset).
     """
-    out: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, count)
+    placed: list[tuple[int, int, int, int, int]] = []
+    left: list[tuple[int, int, int]] = []
+    runs: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, count)
     sizes: list[int] = []
-    opened = 0
 
     def put(gap: int, first: int, n: int) -> None:
         if gap and n:
-            if gap not in gaps:
+            if gap not in runs:
                 bisect.insort(sizes, gap)
-            gaps.setdefault(gap, []).append((first, n))
+            runs.setdefault(gap, []).append((first, n))
 
-    for length in sorted((k for k, n in counts.items() if n), reverse=True):
-        rank, left = 0, counts[length]
-        while left:
+    for gap, first, n in sorted(gaps, reverse=True):
+        put(gap, first, n)
+    for length, rank, n_docs in sorted(docs, reverse=True):
+        while n_docs:
             at = bisect.bisect_left(sizes, length)
             if at == len(sizes):
+                if opened is None:
+                    left.append((length, rank, n_docs))
+                    break
                 per = context // length
-                full, rest = divmod(left, per)
+                full, rest = divmod(n_docs, per)
                 for k in range(per if full else 0):
-                    out.append((length, rank, full, opened, k * length))
+                    placed.append((length, rank, full, opened, k * length))
                     rank += full
                 for k in range(rest):
-                    out.append((length, rank, 1, opened + full, k * length))
+                    placed.append((length, rank, 1, opened + full, k * length))
                     rank += 1
                 put(context - per * length, opened, full)
                 put(context - rest * length, opened + full, 1 if rest else 0)
                 opened += full + bool(rest)
                 break
             gap = sizes[at]
-            first, n = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap]
+            first, n = runs[gap].pop()
+            if not runs[gap]:
+                del runs[gap]
                 sizes.pop(at)
-            take = min(n, left)
-            if take < n:
-                put(gap, first + take, n - take)
-            out.append((length, rank, take, first, context - gap))
+            take = min(n, n_docs)
+            put(gap, first + take, n - take)
+            placed.append((length, rank, take, first, context - gap))
             put(gap - length, first, take)
-            rank, left = rank + take, left - take
+            rank, n_docs = rank + take, n_docs - take
+    return placed, left, [(gap, first, n) for gap, spots in runs.items() for first, n in spots], opened
+
+
+#: Rows of the supersteps: documents (kind 0) and gaps (1) as runs, what a superstep has placed (2), and the next free sequence (3).
+_STATE = "kind int, size long, first long, n long, seq long, at long, tried int"
+#: Where documents go that no gap can hold: to open sequences, or to wait while longer ones are left.
+OPEN, WAIT = 1000, -1
+
+
+def ranges(context: int) -> list[int]:
+    """Upper bounds of the value ranges but the last."""
+    out = [WIDER]
+    while out[-1] * WIDER < context:
+        out.append(out[-1] * WIDER)
     return out
 
 
+def _stepper(context: int, opened: int, bounds: list[int]):
+    schema = pa_schema(_STATE)
+
+    def step(key: tuple, table: pa.Table) -> pa.Table:
+        here, rows = key[0].as_py(), table.to_pylist()
+        out: dict[str, list] = {f.name: [] for f in schema}
+
+        def give(kind: int, run: tuple[int, int, int], seq: int = 0, at: int = 0, tried: int = -1) -> None:
+            for name, v in zip(out, (kind, *run, seq, at, tried), strict=True):
+                out[name].append(v)
+
+        runs = [[(r["size"], r["first"], r["n"]) for r in rows if r["kind"] == k] for k in (0, 1)]
+        if here == WAIT:
+            for r in rows:
+                give(0, (r["size"], r["first"], r["n"]), tried=r["tried"])
+            return pa.table(out, schema=schema)
+        placed, left, gaps, last = sweep(*runs, context, opened if here == OPEN else None)
+        for length, rank, n, seq, at in placed:
+            give(2, (length, rank, n), seq, at)
+        for run in left:
+            give(0, run, tried=here)
+        for run in gaps:
+            give(1, run, tried=int(bisect.bisect_left(bounds, run[0]) != here))  # 1: new to its range
+        if last is not None:
+            give(3, (0, 0, 0), last)
+        return pa.table(out, schema=schema)
+
+    return step
+
+
+def supersteps(lengths: DataFrame, context: int = CONTEXT) -> DataFrame:
+    """Bulk-synchronous best-fit of ``length, n``: placements ``length, rank, n, seq, offset``.
+
+    Document runs and gap runs are sorted into value ranges. In a superstep every range sweeps its documents over its gaps
+    (``sweep``), all ranges at once; gaps that have shrunk go down to their range, and documents that found none climb to the next
+    range that has gaps, or back to one that got new gaps. Documents that no range can hold open new sequences if they are in the highest range
+    that still has documents, and wait otherwise. Each superstep writes its state to the shared folder; the
+    driver sees a row a pair of ranges. State and placements are runs, so their size depends on ``context``, not on the corpus.
+    """
+    bounds = ranges(context)
+    zero = F.lit(0).cast("long")
+    state = lengths.select(F.lit(0).alias("kind"), F.col("length").cast("long").alias("size"), zero.alias("first"), F.col("n").cast("long").alias("n"), zero.alias("seq"), zero.alias("at"), F.lit(-1).alias("tried"))
+    home = sum(((F.col("size") > b).cast("int") for b in bounds), F.lit(0))
+    done, opened = [], 0
+    while True:
+        state = materialize(state, "packing")
+        done.append(state.where("kind = 2"))
+        summary = state.where("kind <> 2").groupBy("kind", home.alias("r"), "tried").agg(F.max("seq").alias("seq")).collect()  # bounded by the pairs of ranges
+        opened = max([opened] + [r["seq"] for r in summary if r["kind"] == 3])
+        waiting = sorted({(r["r"], r["tried"]) for r in summary if r["kind"] == 0})
+        if not waiting:
+            break
+        held = {r["r"] for r in summary if r["kind"] == 1}
+        new = {r["r"] for r in summary if r["kind"] == 1 and r["tried"] == 1}
+        place = F.when(F.col("kind") == 1, home)
+        for r, tried in waiting:
+            open_or_wait = OPEN if r == waiting[-1][0] else WAIT
+            at = min([g for g in new if r <= g <= tried] + [g for g in held if g >= r and g > tried], default=open_or_wait)
+            place = place.when((home == r) & (F.col("tried") == tried), at)
+        moving = state.where("kind < 2").withColumn("place", place.cast("int")).repartition(len(bounds) + 1, "place")
+        state = moving.groupBy("place").applyInArrow(_stepper(context, opened, bounds), _STATE)
+    return reduce(DataFrame.unionByName, done).select(F.col("size").alias("length"), F.col("first").alias("rank"), "n", "seq", F.col("at").alias("offset"))
+
+
 _PACKED = _PIECES + ", sequence_id long, offset long"
 
 
-def pack(df: DataFrame, context: int = CONTEXT, buckets: int = BUCKETS) -> DataFrame:
+def pack(df: DataFrame, context: int = CONTEXT, ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """Place pieces (``doc_id, piece, start, length, ids_crc32``, stored, since they are read twice) into sequences.
 
-    Lengths are whole numbers up to ``context``, so the range sort of documents is a rank in a length class: counts
-    by (length, hash bucket), a table of at most ``context * buckets`` rows whatever the input, give each bucket
-    its first rank, and a class that holds a third of all rows is ranked by ``buckets`` tasks. ``plan`` matches
-    classes with gaps; its rows, bounded by ``context`` too, go to every task, which looks up (length, rank).
+    Lengths are whole numbers up to ``context``, so the range sort of documents is a rank in a length class. A class is ranked in buckets of about
+    ``ranked_rows`` pieces, whose counts (a row a bucket) give each its first rank, so a class with a third of all rows spreads over many tasks.
+    ``supersteps`` places runs of ranks; its rows, bounded by ``context``, go to every task, which looks up (length, rank).
     """
-    spread = df.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    # bounded by context * buckets
-    counts = spread.groupBy("length", "_b").agg(F.count("*").alias("n")).orderBy("length", "_b").collect()
-    spark, totals, firsts = df.sparkSession, {}, []
-    for r in counts:
-        firsts.append((r["length"], r["_b"], totals.get(r["length"], 0)))
-        totals[r["length"]] = totals.get(r["length"], 0) + r["n"]
-    rows = sorted(plan(totals, context))
+    lengths, n = settle_rows(df.groupBy("length").agg(F.count("*").alias("n")), "lengths")  # bounded by context
+    of = F.broadcast(lengths.select("length", F.ceil(F.col("n") / ranked_rows).cast("long").alias("buckets")))
+    spread = df.join(of, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), "buckets"))
+    counts = spread.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    first, n = settle_rows(counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("first")), "buckets")
+    rows = sorted(map(tuple, supersteps(lengths, context).collect()))
     keys = np.array([r[0] << 40 | r[1] for r in rows], dtype=np.int64)
     rank0, seq0, off = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 3, 4))
     schema = pa_schema(_PACKED)
@@ -163,10 +230,9 @@ def pack(df: DataFrame, context: int = CONTEXT, buckets: int = BUCKETS) -> DataF
             at = np.searchsorted(keys, cols["length"].to_numpy() << 40 | rank, side="right") - 1
             yield to_batch(cols | {"sequence_id": seq0[at] + rank - rank0[at], "offset": off[at]}, schema)
 
-    first = spark.createDataFrame(firsts, "length long, _b int, _first long")
-    ranked = spread.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece")))
-    ranked = ranked.join(F.broadcast(first), ["length", "_b"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_r") - 1).alias("rank"))
-    return ranked.mapInArrow(look_up, _PACKED)
+    ranked = spread.withColumn("no", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")))
+    ranked = ranked.join(F.broadcast(first) if n <= BROADCAST_ROWS else first, ["length", "bucket"])
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("no") - 1).alias("rank")).mapInArrow(look_up, _PACKED)
 
 
 def best_fit_packing(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -7,11 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, load, mix
+from .common import BROADCAST_ROWS, documents, fresh, load, mix, settle_rows
 
 SHARDS = 16
-#: Rank buckets in a shard: with them a shard's slots are numbered by this many tasks, not one.
-BUCKETS = 256
+#: Rows that one task numbers, about.
+RANKED_ROWS = 200_000
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -40,22 +40,26 @@ def shard_column(key: F.Column, shards: int) -> F.Column:
     return jump(key)
 
 
-def assign_shards(df: DataFrame, shards: int = SHARDS, key_col: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
+def assign_shards(df: DataFrame, shards: int = SHARDS, key_col: str = "doc_id", ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """Add ``shard``, ``slot`` (gapless from 0 in each shard, in order of bucket and key) and ``grown_shard`` (with one shard more).
 
     The key alone and the number of shards decide; when a shard is appended a row stays or moves into the new one.
-    Slots need no task that sees a whole shard: rows are ranked in ``shards * buckets`` groups, and the groups'
-    counts (a table of that fixed size, so broadcast is bounded) give each group its first slot. Null keys are
+    Slots need no task that sees a whole shard: rows are ranked in buckets of about ``ranked_rows`` rows, and the
+    buckets' counts give each bucket its first slot (broadcast if they are few). Null keys are
     not addressable and are left out. An empty table gives an empty table. Rows that repeat a key share a shard
-    and take neighbouring slots.
+    and take neighbouring slots. Columns of ``df`` named as the added ones give way to them; other columns stay, whatever their names.
     """
     key = F.col(key_col)
+    df = df.drop(*({"shard", "slot", "grown_shard"} - {key_col}))
+    bucket, before, no = (fresh(c, df) for c in ("bucket", "before", "no"))
     s = df.where(key.isNotNull()).withColumn("shard", shard_column(key, shards)).withColumn("grown_shard", shard_column(key, shards + 1))
-    s = s.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    counts = s.groupBy("shard", "_b").agg(F.count("*").alias("_n"))
-    first = counts.select("shard", "_b", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_b")) - F.col("_n")).alias("_first"))
-    ranked = s.withColumn("_r", F.row_number().over(Window.partitionBy("shard", "_b").orderBy(key)))
-    return ranked.join(F.broadcast(first), ["shard", "_b"]).withColumn("slot", F.col("_first") + F.col("_r") - 1).drop("_b", "_r", "_first")
+    rows = df.where(key.isNotNull()).count()
+    s = s.withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(rows // (shards * ranked_rows) + 1)))
+    counts = s.groupBy("shard", bucket).agg(F.count("*").alias(no))
+    first, n = settle_rows(counts.select("shard", bucket, (F.sum(no).over(Window.partitionBy("shard").orderBy(bucket)) - F.col(no)).alias(before)), "buckets")
+    ranked = s.withColumn(no, F.row_number().over(Window.partitionBy("shard", bucket).orderBy(key)))
+    ranked = ranked.join(F.broadcast(first) if n <= BROADCAST_ROWS else first, ["shard", bucket])
+    return ranked.withColumn("slot", F.col(before) + F.col(no) - 1).drop(bucket, before, no)
 
 
 def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators 2, 3, 7, 8, 9 and the pipeline."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -10,8 +11,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import decontamination, language, packing, secrets, sharding
-from tessera.llm.common import documents, without
+from tessera.llm import decontamination, exact_dedup, language, packing, secrets, sharding
+from tessera.llm.common import discard, documents, materialize, passing, shared_dir, without
 from tessera.llm.queries import oracle_sql, queries
 from tests.llm.test_dedup import by_doc, linked
 
@@ -41,7 +42,7 @@ def test_jump_hash():
 
 def test_shards(spark, frame, odd):
     d = spark.range(-500, 3000).withColumnRenamed("id", "doc_id").withColumn("shard", __import__("pyspark.sql.functions", fromlist=["x"]).lit("clash"))
-    rows = sharding.assign_shards(d, shards=7, buckets=5).collect()
+    rows = sharding.assign_shards(d, shards=7, ranked_rows=40).collect()
     slots = defaultdict(list)
     for r in rows:
         slots[r.shard].append(r.slot)
@@ -52,6 +53,8 @@ def test_shards(spark, frame, odd):
     assert again == {r.doc_id: r.shard for r in rows}
     repeated = sharding.assign_shards(frame([(5, "a"), (5, "b"), (None, "c")]).select("doc_id"), shards=3).collect()
     assert sorted(r.slot for r in repeated) == [0, 1] and sharding.assign_shards(frame([]).select("doc_id")).collect() == []
+    clash = sharding.assign_shards(frame(["a", "b", None]), shards=2).collect()
+    assert len(clash) == 3 and {"_b", "_first", "bucket", "before", "no"} <= set(clash[0].asDict()) and all(r.shard in (0, 1) for r in clash)
     with pytest.raises(ValueError):
         sharding.assign_shards(d, shards=0)
 
@@ -89,7 +92,7 @@ def test_secrets(frame):
         spans = found(t or "")
         text = lambda xs: ",".join(f"{kind}:{s}:{e}" for s, _, e, kind, *_ in xs)
         n = Counter(x[3] for x in spans)
-        live = [(s, 3, e, "live") for s, _, e, _, v in spans if len(owners[v]) < 2]
+        live = [(s, 3, e, "live") for s, _, e, _, v in spans if len(owners[v]) < 2 and len(repos[v]) < 4]
         r = got[i]
         assert (r.n_assign, r.n_access, r.n_hex) == (n["assign"], n["access"], n["hex"]), (i, t)
         assert r.base_sha256 == hashlib.sha256(text(spans).encode()).hexdigest()
@@ -99,6 +102,29 @@ def test_secrets(frame):
     assert len(secrets.scan_secrets(frame([(None, "x"), (1, "a"), (1, "token=abcdefghij")])).collect()) == 1
 
 
+def test_secret_evidence(spark):
+    """Owners and repositories decide; rows that repeat an id are all evidence, whatever their order."""
+    t, u, v = "token=abcdefghij", "token=klmnopqrst", "token=uvwxyz0123"
+    rows = [(5, t, "A", "r"), (5, t, "B", "r"), (6, t, "A", "r"), (7, u, "A", "r"), (8, u, "A", "s"), (9, "a", "C", None), (9, u, "A", "r"), (10, None, None, None), (None, v, "Z", None), (11, v, "A", "r")]
+    rows += [(20 + k, "secret: 0123456789", "A", f"r{k}") for k in range(4)]
+    for order in (rows, rows[::-1]):
+        got = {r.doc_id: (r.n_live, r.n_example) for r in secrets.scan_secrets(spark.createDataFrame(order, "doc_id long, text string, source string, lang string")).collect()}
+        assert got == {5: (0, 1), 6: (0, 1), 7: (1, 0), 8: (1, 0), 9: (1, 0), 10: (0, 0), 11: (1, 0)} | {20 + k: (0, 1) for k in range(4)}
+    few = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), example_repos=9)
+    assert few.where("doc_id = 20").first().n_live == 1
+
+
+def test_secret_sql_on_repeated_ids(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [(5, "token=abcdefghij x", "A", "r"), (5, "token=abcdefghij x", "B", "r"), (5, "password: ABCDEFGHIJ", None, None), (6, "token=abcdefghij", "A", "r"), (7, None, "A", None), (8, "0123456789abcdef" * 3 + " 'APIKEY' = qqqqqqqqqq", None, None)]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source", "lang"])  # noqa: F841  read by the SQL
+    want = duckdb.sql(oracle_sql()["op8_secret_ownership"]).df()
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).toPandas()[want.columns]
+    assert sorted(got.values.tolist()) == sorted(want.values.tolist())
+
+
 def test_secrets_stay_in_the_jvm(frame, capsys):
     secrets.scan_secrets(frame(["token=abcdefghij"])).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
@@ -111,12 +137,27 @@ def test_cut():
     assert packing.cut(5, 4) == [(0, 1), (1, 4)] and packing.cut(8, 4) == [(0, 4), (4, 4)] and packing.cut(4, 4) == [(0, 4)] and packing.cut(1, 4) == [(0, 1)]
 
 
+def best_fit(counts, context):
+    """Best-fit, longest first, one document after the other: the number of sequences."""
+    gaps, n = [], 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            at = bisect.bisect_left(gaps, length)
+            if at == len(gaps):
+                n, gap = n + 1, context
+            else:
+                gap = gaps.pop(at)
+            if gap > length:
+                bisect.insort(gaps, gap - length)
+    return n
+
+
 @pytest.mark.parametrize("seed", range(6))
-def test_plan(seed):
+def test_supersteps(spark, seed):
     rng = random.Random(seed)
     context = rng.choice([8, 50, 2048])
-    counts = Counter(rng.randint(1, context) if seed % 2 else min(context, int(rng.expovariate(6 / context)) + 1) for _ in range(3000))
-    rows = packing.plan(dict(counts), context)
+    counts = Counter(rng.randint(1, context) if seed % 2 else min(context, int(rng.expovariate(6 / context)) + 1) for _ in range(2000))
+    rows = packing.supersteps(spark.createDataFrame(list(counts.items()), "length long, n long"), context).collect()
     ranks, fill = defaultdict(list), defaultdict(list)
     for length, rank, n, first, offset in rows:
         ranks[length] += range(rank, rank + n)
@@ -129,9 +170,12 @@ def test_plan(seed):
             assert offset == at
             at += length
         assert at <= context
-    total = sum(k * n for k, n in counts.items())
-    assert sorted(fill) == list(range(len(fill))) and len(fill) <= 1.02 * total / context + 2
-    assert packing.plan({}, context) == []
+    assert sorted(fill) == list(range(len(fill))) and len(fill) <= 1.01 * best_fit(counts, context) + 1
+
+
+def test_supersteps_of_nothing(spark):
+    assert packing.supersteps(spark.createDataFrame([], "length long, n long")).collect() == []
+    assert [tuple(r) for r in packing.supersteps(spark.createDataFrame([(1, 3)], "length long, n long"), 1).collect()] == [(1, 0, 3, 0, 0)]
 
 
 def check_packing(rows, texts, context=packing.CONTEXT):
@@ -139,7 +183,6 @@ def check_packing(rows, texts, context=packing.CONTEXT):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     by, spots = defaultdict(list), defaultdict(list)
     for r in rows:
         by[r.doc_id].append(r)
@@ -160,11 +203,13 @@ def check_packing(rows, texts, context=packing.CONTEXT):
 
 
 def test_packing(corpus, odd, frame):
-    texts = [*corpus, "<|endoftext|> is text", "z" * 6000, " " * 5000, "é" * 3000]
+    texts = [*corpus, "<|endoftext|> is a token", "x <|endoftext|> y<|endoftext|><|endoftext|> \n", "<|endoftext", "z" * 6000, " " * 5000, "é" * 3000]
     rows = packing.best_fit_packing(frame(texts)).collect()
     n = check_packing(rows, by_doc(texts))
     assert n <= 1.05 * sum(r.length for r in rows) / packing.CONTEXT + 1
     check_packing(packing.best_fit_packing(frame(odd), context=3).collect(), by_doc(odd), 3)
+    few = packing.pack(packing.pieces(frame(texts)), ranked_rows=2).collect()
+    assert check_packing(few, by_doc(texts)) == n
     assert packing.best_fit_packing(frame([])).collect() == []
 
 
@@ -176,14 +221,15 @@ def test_leaks(frame, spark):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     prose = lambda n: [word() for _ in range(n)]
     item, other = prose(40), prose(30)
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, "too short"), (4, None), (None, "x y z u v w")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, "too short"), (4, None), (None, "x y z u v w"), (5, "--")], "item_id long, text string")
     a, b, c = item[:14], item[14:27], item[27:]
     texts = [
         " ".join(prose(50) + item + prose(50)), " ".join(prose(30) + c + prose(9) + a + prose(5) + b), ", ".join(item).upper() + "!", " ".join(prose(100)), "", None,
         " ".join(prose(20) + item[:10] + prose(20)), " ".join(x for p in zip(item, prose(40)) for x in p), " ".join(other + item), " ".join(item[:20] * 2), "too short",
     ]
     got = {r.doc_id: r for r in decontamination.find_leaks(frame(texts), bench).collect()}
-    assert [i for i in range(len(texts)) if got[i].contaminated] == [0, 1, 2, 8]
+    assert [i for i in range(len(texts)) if got[i].contaminated] == [0, 1, 2, 8, 10]
+    assert (got[10].item_id, got[10].coverage, got[10].tiles) == (3, 1.0, 1)
     assert got[1].coverage == 1.0 and got[1].tiles == 3 and got[8].item_id == 1 and got[6].coverage == 0.25 and got[9].coverage == 0.5 and got[3].item_id is None
     none = decontamination.find_leaks(frame(texts), bench.limit(0)).collect()
     assert len(none) == len(texts) and not any(r.contaminated for r in none)
@@ -219,13 +265,45 @@ def tiled(text, item, least):
 
 def test_tiling():
     rng = random.Random(4)
-    for _ in range(150):
+    for _ in range(300):
         item = [rng.choice("abc") for _ in range(rng.randint(3, 14))]
-        text = [rng.choice("abc") for _ in range(rng.randint(3, 25))]
-        seeds = [(t, p) for t in range(len(text) - 2) for p in range(len(item) - 2) if text[t : t + 3] == item[p : p + 3]]
-        if seeds:
-            t, p = map(np.array, zip(*seeds))
-            assert decontamination.tile(t, p, 3, len(item))[0] == tiled(text, item, 3)[0]
+        text = [rng.choice("abcd") for _ in range(rng.randint(0, 25))]
+        kinds = {w: k for k, w in enumerate(sorted(set(item)))}
+        assert decontamination.tile(np.array([kinds.get(w, -1) for w in text], np.int32), np.array([kinds[w] for w in item], np.int32), 3) == tiled(text, item, 3)
+
+
+def leaks_by_hand(texts, items, least=5, coverage=0.6):
+    cut = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = {}
+    for i, t in by_doc(texts).items():
+        best = None
+        for item_id, text in items:
+            item = cut(text)
+            if item_id is not None and item:
+                covered, tiles = tiled(cut(t), item, min(least, len(item)))
+                if tiles:
+                    best = min(best or (0,), (-covered / len(item), item_id, tiles))
+        out[i] = (bool(best) and -best[0] >= coverage, *((best[1], -best[0], best[2]) if best else (None, None, None)))
+    return out
+
+
+def test_leaks_by_hand(frame, spark, odd):
+    rng = random.Random(12)
+    prose = lambda n: " ".join(rng.choice(["red", "Red,", "blue", "tree", "Ärger", "9", "go-to"]) for _ in range(n))
+    items = [(k, prose(rng.randint(1, 18))) for k in range(12)] + [(3, prose(9)), (None, "red red red red red"), (40, None), (41, ""), (42, "red " * 30)]
+    texts = [prose(rng.randint(0, 40)) for _ in range(40)] + [items[k][1] for k in range(5)] + [None, "", "red " * 70] + [(900 + (i or 0) if i is not None else None, t) for i, t in odd]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.find_leaks(frame(texts), bench).collect()
+    want = leaks_by_hand(texts, items)
+    assert {r.doc_id: (r.contaminated, r.item_id, r.coverage, r.tiles) for r in got} == want and len(got) == len(want)
+    assert sum(w[0] for w in want.values()) > 5
+
+
+def test_leaks_of_one_word(spark):
+    """A very long text of one word against items of that word: memory goes with the words."""
+    docs = spark.createDataFrame([(1, "w " * 3_000_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "w " * 200), (2, "v " * 9)], "item_id long, text string")
+    assert [tuple(r) for r in decontamination.find_leaks(docs, bench).collect()] == [(1, True, 1, 1.0, 1)]
 
 
 # --- language
@@ -269,6 +347,107 @@ def test_language_evidence(spark, prose):
     assert not language.identify(junk, language.fit(d, label_col="declared")).first().kept
 
 
+def fused(rows, sample):
+    """The fusion, row by row. ``rows``: id, text, declared, host, suffix; ``sample``: labelled texts."""
+    fold = lambda t: bytes(c + 32 if 65 <= c < 91 else c if c >= 128 or 97 <= c < 123 else 32 for c in (t or "").encode())
+    bucket = lambda x: ((x[0] | x[1] << 8 | x[2] << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 17
+    grams, loose = defaultdict(Counter), Counter()
+    for text, label in sample:
+        b = fold(text)
+        grams[label]  # a label without trigrams is a language all the same where its text has three bytes
+        if len(b) > 2:
+            grams[label].update(bucket(b[k : k + 3]) for k in range(len(b) - 2))
+            loose.update(b)
+        elif not grams[label]:
+            del grams[label]
+    names = sorted(grams)
+    size, total = len(names), {n: sum(grams[n].values()) for n in names}
+    seen = {}
+    for i, text, declared, host, suffix in rows:
+        b = fold(text)
+        used = [b[k : k + 3] for k in range(len(b) - 2) if b[k : k + 3] != b"   "]
+        n = len(used)
+        means = [sum(np.log((grams[x][bucket(g)] + 0.05) / (total[x] + 0.05 * (1 << 15))) for g in used) / max(n, 1) for x in names]
+        raw = [np.exp((m - max(means)) * min(n, 60)) for m in means]
+        even = sum(np.log((loose[c] + 0.5) / (sum(loose.values()) + 128)) for g in used for c in g) / max(n, 1)
+        vote = np.array([x / sum(raw) for x in raw]) if n else np.zeros(size)
+        seen[i] = (means, min(n, 60), vote, declared, host, suffix, sum(c != 32 for c in b), n, even)
+    corpus = sum(s[2] for s in seen.values()) + 1.0
+    corpus = corpus / corpus.sum()
+    smooth = lambda c, p, w: (c + w * p) / (c.sum() + w)
+    known = sum((s[2] for s in seen.values() if s[3] is not None), np.zeros(size))
+    trust = [(sum(s[2][k] for s in seen.values() if s[3] == x) + 2) / (known[k] + 4) for k, x in enumerate(names)]
+    hosts, domains, suffixes = defaultdict(lambda: np.zeros(size)), defaultdict(lambda: np.zeros(size)), defaultdict(lambda: np.zeros(size))
+    domain = lambda h: ".".join(h.split(".")[-2:]) if re.search(r"[^.]+\.[^.]+$", h) else ""
+    for s in seen.values():
+        if s[4] is not None:
+            hosts[s[4]] += s[2]
+            domains[domain(s[4])] += s[2]
+        if s[5] is not None:
+            suffixes[s[5]] += s[2]
+    out = {}
+    for i, (means, weight, vote, declared, host, suffix, letters, n, even) in seen.items():
+        prior = corpus if host is None else smooth(np.maximum(hosts[host] - vote, 0), smooth(domains[domain(host)], corpus, 32), 8)
+        by_suffix = np.ones(size) if suffix is None else smooth(suffixes[suffix], corpus, 32) / corpus
+        told = [0 if declared is None else np.log(t) if declared == x else np.log((1 - t) / max(1, size - 1)) for x, t in zip(names, trust, strict=True)]
+        logs = np.array(means) * weight + told + np.log(prior * by_suffix)
+        kept = letters > 0 and (n < language.MIN_GRAMS or max(means) - even > language.MARGIN)
+        out[i] = (names[int(np.argmax(logs))] if kept else "und", 1 / np.exp(logs - logs.max()).sum() if kept else 0.0, kept)
+    return out
+
+
+def same_languages(got, want):
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert (r.language, r.kept) == (want[i][0], want[i][2]) and abs(r.confidence - want[i][1]) < 1e-4, i
+
+
+def test_document_fusion_by_hand(spark):
+    """op2's query, fitted on some rows, with the declarations of the others."""
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = d.selectExpr("doc_id", "text", "lang", "source", "xxhash64(doc_id) as k").collect()
+    for limit in (60, language.TRAIN_ROWS):
+        cut = sorted(r.k for r in rows if r.lang)[:limit][-1]
+        sample = [(r.text, r.lang) for r in rows if r.k <= cut]
+        want = fused([(r.doc_id, r.text, r.lang if r.k > cut else None, r.source, None) for r in rows], sample)
+        found = language.identify_documents(d, limit) if limit < 100 else queries()["op2_language_id"](spark, DATA)
+        same_languages({r.doc_id: r for r in found.collect()}, want)
+
+
+def test_page_fusion_by_hand(spark):
+    d, pages = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/pages.parquet")
+    rows = []
+    for r in pages.collect():
+        bare = re.sub(r"(?s)<!--.*?-->|<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", r.html or ""))
+        declared = re.search(r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z]{2,3})""", r.html or "")
+        host = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", r.url or "")
+        host = host[1].lower() if host else ""
+        rows.append((r.page_id, bare, declared[1].lower() if declared else None, host, host.split(".")[-1] if r.url else None))
+    want = fused(rows, [(r.text, r.lang) for r in d.collect()])
+    same_languages({r.page_id: r for r in queries()["page_language_id"](spark, DATA).collect()}, want)
+
+
+def test_labels_and_declarations_fold_alike(spark, prose):
+    rows = [(k, prose("aa" if k % 2 else "bb", 20), " AA" if k % 2 else "Bb") for k in range(60)] + [(100, "x", "bB "), (101, "x", "zz"), (102, "x", " ")] + [(7, prose("aa", 5), "AA")] * 30
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(d)
+    assert model.languages == ["aa", "bb", "zz"][: len(model.languages)] and "aa" in model.languages
+    got = {r.doc_id: r for r in language.identify(d, model, declared_col="lang").collect()}
+    assert got[100].language == "bb" and got[100].confidence > 0.8 and len(got) == 63
+
+
+def test_many_languages(spark):
+    """More languages than a fixed table would hold, and a very long text."""
+    rng = random.Random(2)
+    tongues = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 5)) for _ in range(90)]
+    rows = [(k * 10 + j, " ".join("".join(rng.choice(t) for _ in range(6)) for _ in range(30)), f"l{k:02}") for k, t in enumerate(tongues) for j in range(3)]
+    rows.append((5000, (rows[-1][1] + " ") * 20_000, None))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(d)
+    got = {r.doc_id: r.language for r in language.identify(d, model).collect()}
+    assert len(model.languages) == 90 and sum(got[i] == x for i, _, x in rows) >= 265 and got[5000] == "l89"
+
+
 def test_language_odd(frame, odd):
     d = frame(odd)
     rows = language.identify(d, language.fit(d), declared_col="lang", host_col="source").collect()
@@ -283,10 +462,47 @@ def test_language_odd(frame, odd):
 def test_documents_and_without(frame, odd):
     d = frame(odd)
     assert {r.doc_id: r.text for r in documents(d).collect()} == {1: "same same same same", 2: "b", 3: "", 4: "same same same same"}
+    ties = d.sparkSession.createDataFrame([(1, "t", "a", None), (1, "t", "b", "x"), (1, "t", "b", "y"), (1, "s", "z", "z")], "doc_id long, text string, source string, lang string")
+    assert [tuple(r) for r in documents(ties, keep=["source", "lang"]).collect()] == [(1, "t", "b", "y")]
     left = without(d, d.where("doc_id in (1, 2)").select("doc_id").distinct())
+    assert {"_gone", "gone"} <= set(left.columns)
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 3, 3, 4]
 
 
+class _Cluster:
+    """A session on a cluster that names no shared folder."""
+
+    class conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class sparkContext:
+        master, applicationId = "spark://host:7077", "x"
+        getCheckpointDir = staticmethod(lambda: None)
+
+
+def test_shared_folder(spark):
+    with pytest.raises(ValueError):
+        shared_dir(_Cluster)
+    assert shared_dir(spark) and shared_dir(spark) == shared_dir(spark)
+
+
+def test_sessions_stay_as_they_are(spark, frame, corpus):
+    before = {k: v for k, v in spark.conf.getAll.items()}
+    for run in (exact_dedup.content_sort_dedup, language.identify_documents, secrets.scan_secrets):
+        run(frame(corpus[:8])).collect()
+    assert {k: v for k, v in spark.conf.getAll.items()} == before
+
+
+def test_what_is_freed(spark, frame, corpus):
+    with passing() as keep:
+        kept = keep(materialize(frame(corpus[:3]), "kept"))
+        lost = materialize(frame(corpus[:3]), "lost")
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file|not_exist"):
+        lost.count()
+    discard(kept)
+
+
 # --- pipeline
 
 
