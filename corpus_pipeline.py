@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, exact_dedup, jaccard_join, language, packing
-from tessera.llm.common import load, materialize, without
+from tessera.llm.common import discard, load, materialize, passing, without
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language go."""
-    found = language.identify(docs, language.fit(docs), declared_col="lang", host_col="source")
+    found = language.identify_documents(docs)
     return without(docs, found.where("not kept").select("doc_id"))
 
 
@@ -54,5 +54,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result stored in the shared folder and read again."""
     docs = load(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before = docs
+        with passing() as keep:  # what a stage holds besides its result is freed
+            docs = keep(materialize(stage(spark, before, sf_dir), name))
+        if name != STAGES[0][0]:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
