@@ -18,7 +18,7 @@ from .components import components
 GRAM, PERCENT = 4, 85
 DEPTH = 2
 #: A unit of the search holds about this many documents, and n-grams, at most (a longer document meets each other one alone).
-UNIT_DOCS, UNIT_GRAMS = 256, 1 << 20
+UNIT_DOCS, UNIT_GRAMS = 200, 1 << 20
 #: DivideSkip's weight of a long list's length.
 MU = 0.01
 #: Short lists with fewer entries than this are merged by a heap, larger ones by a sort of the same entries.
@@ -196,58 +196,59 @@ def _search(units: DataFrame, live: DataFrame, percent: int) -> DataFrame:
     return hold(units.join(live.select("doc_id", "grams"), "doc_id").groupBy("unit").applyInArrow(run, _FOUND))
 
 
-def _open_tokens(posts: DataFrame, turn: str) -> tuple[DataFrame, int]:
-    """Tokens that documents of several labels share, with what their lists hold and a digest of the list."""
-    lists = posts.groupBy("token").agg(
-        F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"), F.min("label").alias("lo"), F.max("label").alias("hi"),
-        F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("d1"), F.bit_xor(F.xxhash64("doc_id", F.lit(2))).alias("d2"),
-    )
-    return settle_rows(lists.where("lo <> hi").drop("lo", "hi"), "tokens" + turn)
-
-
 def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: Quick turns at most; what they leave is searched whole.
+TURNS = 2
+
+
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """``a, b``: verified links that connect whatever all links would.
 
-    Two similar sets share a token (n-gram) of their prefixes. First two quick turns: each document goes with one of its shared tokens,
-    the rarest and then the commonest, to a unit of at most UNIT_DOCS, and what the search verifies there is joined under one label.
-    This settles nearly all groups at a set's cost a turn. Then the whole job: every list of documents with a token in common that
-    still holds several labels is searched, each distinct list once; a list beyond a unit is dealt by bands of size and
-    pairs of blocks. Only verified links join documents.
+    Two similar sets share a token (n-gram) of their prefixes, so a list of all documents with a token in their prefix holds all its partners.
+    Lists beyond a unit are thinned first: in each quick turn a document goes with one of its long lists to a unit of UNIT_DOCS, and what
+    the search verifies there gets one label, until no long list holds several labels or the turns are over. Then the whole job: lists that still hold
+    several labels are searched, those with the same head (the document whose id hashes lowest) together in one unit, so that documents
+    with many tokens in common meet once. A unit beyond the bounds is dealt by bands of size and
+    pairs of blocks. Only verified links join documents; shared tokens alone never do.
     """
     live = sets.where("prefix is not null").select("doc_id", "n_shingles", "grams", "prefix")
     labels = live.select("doc_id", F.col("doc_id").alias("label"))
     posts = live.select("doc_id", "n_shingles", F.col("doc_id").alias("label"), F.explode("prefix").alias("token"))
     found = [live.sparkSession.createDataFrame([], _FOUND)]
-    for turn, sign in (("rare", 1), ("common", -1)):
-        tokens, rows = _open_tokens(posts, turn)
+    over = (F.col("docs") > UNIT_DOCS) | (F.col("grams") > UNIT_GRAMS)
+    for turn in range(TURNS + 1):
+        lists = posts.groupBy("token").agg(
+            F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"), F.min(F.struct(F.xxhash64("doc_id").alias("mixed"), "doc_id"))["doc_id"].alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi")
+        )
+        tokens, rows = settle_rows(lists.where("lo <> hi").select("token", "head", "docs", over.alias("long")), "tokens")
         if not rows:
             return _pairs(found)
-        shared = posts.join(_few(tokens.select("token", "docs"), rows), "token")
-        choice = shared.groupBy("doc_id", "label").agg(F.min(F.struct((F.col("docs") * sign).alias("order"), F.xxhash64("token").alias("mixed"), "token", "docs")).alias("c"))
+        long_ = tokens.where("long").count() if turn < TURNS else 0
+        if not long_:
+            break
+        shared = posts.join(_few(tokens.where("long").select("token", "docs"), long_), "token")
+        order = -F.col("docs") if turn == 0 else F.xxhash64("token", F.lit(turn))
+        choice = shared.groupBy("doc_id", "label").agg(F.min(F.struct(order.alias("order"), "token", "docs")).alias("c"))
         part = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.ceil(F.col("c.docs") / UNIT_DOCS))
         found.append(_search(choice.select("doc_id", "label", F.xxhash64("c.token", part).alias("unit")), live, percent))
-        moved, rows = settle_rows(found[-1].where("least < label").groupBy("label").agg(F.min("least").alias("least")), "labels" + turn)
-        labels = labels.join(_few(moved, rows), "label", "left").select("doc_id", F.coalesce("least", "label").alias("label"))
+        moved, n = settle_rows(found[-1].where("least < label").groupBy("label").agg(F.min("least").alias("least")), "labels")
+        labels = labels.join(_few(moved, n), "label", "left").select("doc_id", F.coalesce("least", "label").alias("label"))
         posts = live.join(labels, "doc_id").select("doc_id", "n_shingles", "label", F.explode("prefix").alias("token"))
-    tokens, rows = _open_tokens(posts, "whole")
-    if not rows:
-        return _pairs(found)
-    lists, rows = settle_rows(tokens.groupBy("d1", "d2", "docs", "grams").agg(F.min("token").alias("token")).drop("d1", "d2"), "lists")
+    met = posts.join(_few(tokens.select("token", "head"), rows), "token").select("head", "doc_id", "label", "n_shingles").distinct()
+    units, rows = settle_rows(met.groupBy("head").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams")).select("head", over.alias("big")), "units")
     step = math.log(100 / percent) * 1.0001 + 1e-6  # sets whose sizes differ by more are no partners
     band = F.floor(F.log("n_shingles") / step).cast("int")
-    over = (F.col("docs") > UNIT_DOCS) | (F.col("grams") > UNIT_GRAMS)
-    banded = posts.join(_few(lists, rows), "token").select("token", "doc_id", "label", "n_shingles", F.explode(F.when(over, F.array(band, band - 1)).otherwise(F.array(F.lit(-9)))).alias("band"))
-    # a list beyond the bounds is dealt into blocks of half a unit, and each pair of them meets
-    splits = banded.groupBy("token", "band").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"))
+    banded = met.join(_few(units, rows), "head").select("head", "doc_id", "label", "n_shingles", F.explode(F.when(F.col("big"), F.array(band, band - 1)).otherwise(F.array(F.lit(-9)))).alias("band"))
+    # a unit beyond the bounds is dealt into blocks of half a unit, and each pair of them meets
+    splits = banded.groupBy("head", "band").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"))
     blocks = F.when(over, F.ceil(2 * F.greatest(F.col("docs") / UNIT_DOCS, F.col("grams") / UNIT_GRAMS))).otherwise(1).cast("int")
-    splits, rows = settle_rows(splits.select("token", "band", blocks.alias("s")), "splits")
+    splits, rows = settle_rows(splits.select("head", "band", blocks.alias("s")), "splits")
     i = F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")
-    placed = banded.join(_few(splits, rows), ["token", "band"]).select("token", "band", "doc_id", "label", "s", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"))
-    unit = F.xxhash64("token", "band", F.least("i", "j"), F.greatest("i", "j")).alias("unit")
+    placed = banded.join(_few(splits, rows), ["head", "band"]).select("head", "band", "doc_id", "label", "s", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"))
+    unit = F.xxhash64("head", "band", F.least("i", "j"), F.greatest("i", "j")).alias("unit")
     found.append(_search(placed.where("s = 1 or i <> j").select("doc_id", "label", unit), live, percent))
     return _pairs(found)
 
