@@ -26,6 +26,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows that one task ranks at least.
+RANKED_ROWS = 250
+
+
+def ranked_rows(spark: SparkSession, rows: int) -> int:
+    """Rows of a bucket whose ranks one task gives: an eighth of a partition's share."""
+    return max(RANKED_ROWS, rows // (8 * partitions(spark)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it. Only where all run in one process may it be unset; a local folder then serves."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -12,14 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, documents, hold, load, materialize, pa_schema, settle_rows, slices, to_batch
+from .common import BROADCAST_ROWS, documents, hold, load, materialize, pa_schema, ranked_rows, settle_rows, slices, to_batch
 
 CONTEXT = 2048
 VOCABULARY = "byte_bpe_50k"
 #: The id after each document.
 END = 0
-#: Pieces of a length that one task ranks, about.
-RANKED_ROWS = 200_000
 #: Each value range of the sweeps is this many times as wide as the one below.
 WIDER = 3
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -206,15 +204,16 @@ def supersteps(lengths: DataFrame, context: int = CONTEXT) -> DataFrame:
 _PACKED = _PIECES + ", sequence_id long, offset long"
 
 
-def pack(df: DataFrame, context: int = CONTEXT, ranked_rows: int = RANKED_ROWS) -> DataFrame:
+def pack(df: DataFrame, context: int = CONTEXT) -> DataFrame:
     """Place pieces (``doc_id, piece, start, length, ids_crc32``, stored, since they are read twice) into sequences.
 
-    Lengths are whole numbers up to ``context``, so the range sort of documents is a rank in a length class. A class is ranked in buckets of about
-    ``ranked_rows`` pieces, whose counts (a row a bucket) give each its first rank, so a class with a third of all rows spreads over many tasks.
+    Lengths are whole numbers up to ``context``, so the range sort of documents is a rank in a length class. A class is ranked in buckets
+    (``common.ranked_rows``), whose counts give each its first rank, so a class with a third of all rows spreads over many tasks.
     ``supersteps`` places runs of ranks; its rows, bounded by ``context``, go to every task, which looks up (length, rank).
     """
-    lengths, n = settle_rows(df.groupBy("length").agg(F.count("*").alias("n")), "lengths")  # bounded by context
-    of = F.broadcast(lengths.select("length", F.ceil(F.col("n") / ranked_rows).cast("long").alias("buckets")))
+    lengths, _ = settle_rows(df.groupBy("length").agg(F.count("*").alias("n")), "lengths")  # bounded by context
+    each = ranked_rows(df.sparkSession, lengths.agg(F.sum("n")).first()[0] or 0)
+    of = F.broadcast(lengths.select("length", F.ceil(F.col("n") / each).cast("long").alias("buckets")))
     spread = df.join(of, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), "buckets"))
     counts = spread.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     first, n = settle_rows(counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("first")), "buckets")

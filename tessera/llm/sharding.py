@@ -7,11 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, documents, fresh, load, mix, settle_rows
+from .common import BROADCAST_ROWS, documents, fresh, load, mix, ranked_rows, settle_rows
 
 SHARDS = 16
-#: Rows that one task numbers, about.
-RANKED_ROWS = 200_000
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -40,11 +38,11 @@ def shard_column(key: F.Column, shards: int) -> F.Column:
     return jump(key)
 
 
-def assign_shards(df: DataFrame, shards: int = SHARDS, key_col: str = "doc_id", ranked_rows: int = RANKED_ROWS) -> DataFrame:
+def assign_shards(df: DataFrame, shards: int = SHARDS, key_col: str = "doc_id") -> DataFrame:
     """Add ``shard``, ``slot`` (gapless from 0 in each shard, in order of bucket and key) and ``grown_shard`` (with one shard more).
 
     The key alone and the number of shards decide; when a shard is appended a row stays or moves into the new one.
-    Slots need no task that sees a whole shard: rows are ranked in buckets of about ``ranked_rows`` rows, and the
+    Slots need no task that sees a whole shard: rows are ranked in buckets (``common.ranked_rows``), and the
     buckets' counts give each bucket its first slot (broadcast if they are few). Null keys are
     not addressable and are left out. An empty table gives an empty table. Rows that repeat a key share a shard
     and take neighbouring slots. Columns of ``df`` named as the added ones give way to them; other columns stay, whatever their names.
@@ -54,7 +52,7 @@ def assign_shards(df: DataFrame, shards: int = SHARDS, key_col: str = "doc_id",
     bucket, before, no = (fresh(c, df) for c in ("bucket", "before", "no"))
     s = df.where(key.isNotNull()).withColumn("shard", shard_column(key, shards)).withColumn("grown_shard", shard_column(key, shards + 1))
     rows = df.where(key.isNotNull()).count()
-    s = s.withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(rows // (shards * ranked_rows) + 1)))
+    s = s.withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(rows // (shards * ranked_rows(df.sparkSession, rows)) + 1)))
     counts = s.groupBy("shard", bucket).agg(F.count("*").alias(no))
     first, n = settle_rows(counts.select("shard", bucket, (F.sum(no).over(Window.partitionBy("shard").orderBy(bucket)) - F.col(no)).alias(before)), "buckets")
     ranked = s.withColumn(no, F.row_number().over(Window.partitionBy("shard", bucket).orderBy(key)))

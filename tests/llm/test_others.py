@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import decontamination, exact_dedup, language, packing, secrets, sharding
+from tessera.llm import common, decontamination, exact_dedup, language, packing, secrets, sharding
 from tessera.llm.common import discard, documents, materialize, passing, shared_dir, without
 from tessera.llm.queries import oracle_sql, queries
 from tests.llm.test_dedup import by_doc, linked
@@ -40,9 +40,10 @@ def test_jump_hash():
     assert sharding.jump_hash(np.zeros(0, np.uint64), 4).tolist() == []
 
 
-def test_shards(spark, frame, odd):
+def test_shards(spark, frame, odd, monkeypatch):
+    monkeypatch.setattr(common, "RANKED_ROWS", 40)
     d = spark.range(-500, 3000).withColumnRenamed("id", "doc_id").withColumn("shard", __import__("pyspark.sql.functions", fromlist=["x"]).lit("clash"))
-    rows = sharding.assign_shards(d, shards=7, ranked_rows=40).collect()
+    rows = sharding.assign_shards(d, shards=7).collect()
     slots = defaultdict(list)
     for r in rows:
         slots[r.shard].append(r.slot)
@@ -202,13 +203,14 @@ def check_packing(rows, texts, context=packing.CONTEXT):
     return len(spots)
 
 
-def test_packing(corpus, odd, frame):
+def test_packing(corpus, odd, frame, monkeypatch):
     texts = [*corpus, "<|endoftext|> is a token", "x <|endoftext|> y<|endoftext|><|endoftext|> \n", "<|endoftext", "z" * 6000, " " * 5000, "é" * 3000]
     rows = packing.best_fit_packing(frame(texts)).collect()
     n = check_packing(rows, by_doc(texts))
     assert n <= 1.05 * sum(r.length for r in rows) / packing.CONTEXT + 1
     check_packing(packing.best_fit_packing(frame(odd), context=3).collect(), by_doc(odd), 3)
-    few = packing.pack(packing.pieces(frame(texts)), ranked_rows=2).collect()
+    monkeypatch.setattr(common, "RANKED_ROWS", 2)
+    few = packing.pack(packing.pieces(frame(texts))).collect()
     assert check_packing(few, by_doc(texts)) == n
     assert packing.best_fit_packing(frame([])).collect() == []
 
