@@ -208,37 +208,33 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     """``a, b``: verified links that connect whatever all links would.
 
     Two similar sets share a token (n-gram) of their prefixes, so a list of all documents with a token in their prefix holds all its partners.
-    Lists beyond a unit are thinned first: in each quick turn a document goes with one of its long lists to a unit of UNIT_DOCS, and what
-    the search verifies there gets one label, until no long list holds several labels or the turns are over. Then the whole job: lists that still hold
-    several labels are searched, those with the same head (the document whose id hashes lowest) together in one unit, so that documents
-    with many tokens in common meet once. A unit beyond the bounds is dealt by bands of size and
-    pairs of blocks. Only verified links join documents; shared tokens alone never do.
+    Lists with the same head (the document whose id hashes lowest) are searched together in one unit, so that documents with many tokens in
+    common meet once. Long lists are thinned first: in a quick turn a document goes with one of its long lists to a unit of UNIT_DOCS, and what
+    the search verifies there gets one label. Then the whole job: units that still hold several labels are searched; one beyond the bounds is
+    dealt by bands of size and pairs of blocks. Only verified links join documents; shared tokens alone never do.
     """
     live = sets.where("prefix is not null").select("doc_id", "n_shingles", "grams", "prefix")
-    labels = live.select("doc_id", F.col("doc_id").alias("label"))
-    posts = live.select("doc_id", "n_shingles", F.col("doc_id").alias("label"), F.explode("prefix").alias("token"))
+    posts = live.select("doc_id", "n_shingles", F.explode("prefix").alias("token"))
+    heads = posts.groupBy("token").agg(F.count("*").alias("docs"), F.min(F.struct(F.xxhash64("doc_id").alias("mixed"), "doc_id"))["doc_id"].alias("head"))
+    tokens, rows = settle_rows(heads.where("docs > 1").select("token", "docs", "head"), "tokens")
     found = [live.sparkSession.createDataFrame([], _FOUND)]
-    over = (F.col("docs") > UNIT_DOCS) | (F.col("grams") > UNIT_GRAMS)
-    for turn in range(TURNS + 1):
-        lists = posts.groupBy("token").agg(
-            F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"), F.min(F.struct(F.xxhash64("doc_id").alias("mixed"), "doc_id"))["doc_id"].alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi")
-        )
-        tokens, rows = settle_rows(lists.where("lo <> hi").select("token", "head", "docs", over.alias("long")), "tokens")
-        if not rows:
-            return _pairs(found)
-        long_ = tokens.where("long").count() if turn < TURNS else 0
-        if not long_:
-            break
-        shared = posts.join(_few(tokens.where("long").select("token", "docs"), long_), "token")
+    labels = live.select("doc_id", F.col("doc_id").alias("label"))
+    long_ = tokens.where(F.col("docs") > UNIT_DOCS)
+    n_long = long_.count()
+    for turn in range(TURNS if n_long else 0):
+        shared = posts.join(_few(long_.select("token", "docs"), n_long), "token").join(labels, "doc_id")
+        several = shared.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
         order = -F.col("docs") if turn == 0 else F.xxhash64("token", F.lit(turn))
-        choice = shared.groupBy("doc_id", "label").agg(F.min(F.struct(order.alias("order"), "token", "docs")).alias("c"))
+        choice = shared.join(_few(several, n_long), "token").groupBy("doc_id", "label").agg(F.min(F.struct(order.alias("order"), "token", "docs")).alias("c"))
         part = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.ceil(F.col("c.docs") / UNIT_DOCS))
         found.append(_search(choice.select("doc_id", "label", F.xxhash64("c.token", part).alias("unit")), live, percent))
         moved, n = settle_rows(found[-1].where("least < label").groupBy("label").agg(F.min("least").alias("least")), "labels")
         labels = labels.join(_few(moved, n), "label", "left").select("doc_id", F.coalesce("least", "label").alias("label"))
-        posts = live.join(labels, "doc_id").select("doc_id", "n_shingles", "label", F.explode("prefix").alias("token"))
-    met = posts.join(_few(tokens.select("token", "head"), rows), "token").select("head", "doc_id", "label", "n_shingles").distinct()
-    units, rows = settle_rows(met.groupBy("head").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams")).select("head", over.alias("big")), "units")
+    met = posts.join(_few(tokens.select("token", "head"), rows), "token").select("head", "doc_id", "n_shingles").distinct()
+    met = met.join(labels, "doc_id") if n_long else met.withColumn("label", F.col("doc_id"))
+    over = (F.col("docs") > UNIT_DOCS) | (F.col("grams") > UNIT_GRAMS)
+    units = met.groupBy("head").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    units, rows = settle_rows(units.where("lo <> hi").select("head", over.alias("big")), "units")
     step = math.log(100 / percent) * 1.0001 + 1e-6  # sets whose sizes differ by more are no partners
     band = F.floor(F.log("n_shingles") / step).cast("int")
     banded = met.join(_few(units, rows), "head").select("head", "doc_id", "label", "n_shingles", F.explode(F.when(F.col("big"), F.array(band, band - 1)).otherwise(F.array(F.lit(-9)))).alias("band"))
