@@ -149,10 +149,6 @@ def _stepper(context: int, opened: int, bounds: list[int]):
                 out[name].append(v)
 
         runs = [[(r["size"], r["first"], r["n"]) for r in rows if r["kind"] == k] for k in (0, 1)]
-        if here == WAIT:
-            for r in rows:
-                give(0, (r["size"], r["first"], r["n"]), tried=r["tried"])
-            return pa.table(out, schema=schema)
         placed, left, gaps, last = sweep(*runs, context, opened if here == OPEN else None)
         for length, rank, n, seq, at in placed:
             give(2, (length, rank, n), seq, at)
@@ -191,13 +187,16 @@ def supersteps(lengths: DataFrame, context: int = CONTEXT) -> DataFrame:
             break
         held = {r["r"] for r in summary if r["kind"] == 1}
         new = {r["r"] for r in summary if r["kind"] == 1 and r["tried"] == 1}
-        place = F.when(F.col("kind") == 1, home)
+        place, busy = F.when(F.col("kind") == 1, home), set()
         for r, tried in waiting:
             open_or_wait = OPEN if r == waiting[-1][0] else WAIT
             at = min([g for g in new if r <= g <= tried] + [g for g in held if g >= r and g > tried], default=open_or_wait)
             place = place.when((home == r) & (F.col("tried") == tried), at)
-        moving = state.where("kind < 2").withColumn("place", place.cast("int")).repartition(len(bounds) + 1, "place")
-        state = moving.groupBy("place").applyInArrow(_stepper(context, opened, bounds), _STATE)
+            busy.add(at)
+        moving = state.where("kind < 2").withColumn("place", place.cast("int"))
+        swept = moving.where(F.col("place").isin(*busy - {WAIT})).repartition(len(bounds) + 1, "place").groupBy("place").applyInArrow(_stepper(context, opened, bounds), _STATE)
+        still = moving.where(~F.col("place").isin(*busy - {WAIT})).withColumn("tried", F.when(F.col("kind") == 1, 0).otherwise(F.col("tried")))
+        state = swept.unionByName(still.drop("place"))
     return reduce(DataFrame.unionByName, done).select(F.col("size").alias("length"), F.col("first").alias("rank"), "n", "seq", F.col("at").alias("offset"))
 
 
