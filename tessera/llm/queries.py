@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_jump_sharding": sharding.OP3_SQL,
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op5_line_dedup": line_dedup.OP5_SQL,
         "op6_jaccard_join": jaccard_join.OP6_SQL,
