@@ -17,6 +17,8 @@ from .. import values
 from ..plans.schema import FieldDef, Schema, TypeDef
 from ..values import DEFAULT, NO_TABULAR, Options
 
+#: Multiples of the least double whose text is listed.
+LEAST = 24
 _CONTROL = [c for c in range(32) if c not in (9, 10, 13)]
 
 
@@ -32,28 +34,49 @@ def int_text(c: Column) -> Column:
     return c.cast("string")
 
 
-def float_text(c: Column, exact: bool = False) -> Column:
-    """Shortest digits; an exponent from 1e6 and below 1e-4. NaN and infinities are their own words.
+def shortest_digits(c: Column) -> Column:
+    """A double's shortest digits that read back, as the JVM writes numbers (``1.0E23``): Schubfach, from the JSON library that Spark ships.
 
-    From 1e-3 to 1e6 the JVM's own digits are the shortest. Beyond, the fewest digits that read back are taken: equal to
-    the shortest form but, rarely, for a last digit as near. ``exact`` computes all values in Arrow batches instead.
+    Called as a static method in generated code where the session runs in this process, else by ``reflect``.
+    """
+    owner, method = "com.fasterxml.jackson.core.io.schubfach.DoubleToDecimal", "toString"
+    session = SparkSession.getActiveSession()
+    jvm = getattr(session, "_jvm", None)
+    if jvm is None:
+        return F.when(c.isNotNull(), F.reflect(F.lit(owner), F.lit(method), c))
+    made = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    invoke = jvm.org.apache.spark.sql.catalyst.expressions.objects.StaticInvoke
+    named = lambda n: jvm.org.apache.spark.util.Utils.classForName(n, True, True)
+    seq = lambda *x: jvm.PythonUtils.toSeq(list(x))
+    none, text = getattr(getattr(jvm.scala, "None$"), "MODULE$"), getattr(getattr(jvm.org.apache.spark.sql.types, "StringType$"), "MODULE$")
+    java = invoke(named(owner), jvm.org.apache.spark.sql.types.ObjectType(named("java.lang.String")), method, seq(made.expression(c._jc)), seq(), True, True, True, none)
+    return Column(made.column(invoke(named("org.apache.spark.unsafe.types.UTF8String"), text, "fromString", seq(java), seq(), True, True, True, none)))
+
+
+def float_text(c: Column, exact: bool = True) -> Column:
+    """Shortest digits that read back; an exponent from 1e6 and below 1e-4. NaN and infinities are their own words.
+
+    Digits are exact, without leaving the JVM. ``exact=False`` takes the JVM's own digits, which have one too many for a few doubles of 16 digits and more.
     """
     c = c.cast("double")
-    if exact:
-        return exact_float(c)
     size = F.abs(c)
-    # a value of 15 digits or fewer is its 15-digit form without trailing zeros; else 16 digits may do, and 17 always do
-    fifteen, sixteen = F.format_string("%.14e", c), F.format_string("%.15e", c)
-    digits = F.when(fifteen.cast("double") == c, fifteen).when(sixteen.cast("double") == c, sixteen).otherwise(F.format_string("%.16e", c))
-    e = F.regexp_replace(digits, r"\.?0+e", "e")
-    small = F.concat(F.when(c < 0, "-0.000").otherwise("0.000"), F.regexp_replace(F.substring_index(e, "e", 1), "[-.]", ""))
+    digits = shortest_digits(c) if exact else c.cast("string")
+    re = lambda x, pattern, to: F.regexp_replace(x, pattern, to)
+    e = re(re(digits, r"\A(-?\d)(\d{6})\.(\d+)\z", "$1.$2$3E6"), r"\.?0+E", "E")  # 1e6 to 1e7 is written plain
+    e = re(re(re(e, r"E(-?)(\d)\z", "E$10$2"), r"E(\d)", "e+$1"), "E", "e")
+    small = re(re(digits, r"\A(-?)(\d)\.(\d+)E-4\z", "$10.000$2$3"), r"0+\z", "")
+    if exact:  # the JVM wants two digits, which the few least numbers do not need
+        least = F.array(*(F.lit(values.float_text(k * 5e-324)) for k in range(1, LEAST)))
+        e = F.when(size < LEAST * 5e-324, F.concat(F.when(c < 0, "-").otherwise(""), F.element_at(least, F.round(size / 5e-324).cast("int")))).otherwise(e)
     return (
-        F.when(c == 0, "0.0").when(F.isnan(c), "NaN").when(size == F.lit(float("inf")), F.when(c > 0, "Inf").otherwise("-Inf"))
-        .when((size >= 1e-3) & (size < 1e6), c.cast("string")).when((size >= 1e-4) & (size < 1e-3), small).otherwise(e)
+        F.when((size >= 1e-3) & (size < 1e6), digits).when(c == 0, "0.0").when(F.isnan(c), "NaN").when(size == F.lit(float("inf")), F.when(c > 0, "Inf").otherwise("-Inf"))
+        .when((size >= 1e-4) & (size < 1e-3), small).when(c.isNotNull(), e)
     )
 
 
 def exact_float(c: Column) -> Column:
+    """``float_text`` by the untyped road, in Arrow batches."""
+
     @F.pandas_udf("string")
     def text(x: pd.Series) -> pd.Series:
         return x.map(values.float_text, na_action="ignore")
@@ -116,7 +139,7 @@ def time_text(c: Column, t: T.DataType = T.TimestampType()) -> Column:
     return F.concat(F.replace(utc.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
-def scalar_text(c: Column, t: T.DataType, upper: bool = True, exact: bool = False) -> Column:
+def scalar_text(c: Column, t: T.DataType, upper: bool = True, exact: bool = True) -> Column:
     """A scalar that is not null."""
     if isinstance(t, T.BooleanType):
         return bool_text(c)
@@ -141,7 +164,7 @@ def _sorted_fields(t: T.StructType) -> list[T.StructField]:
     return sorted(t.fields, key=lambda f: values.string_text(f.name).encode())
 
 
-def loose_text(c: Column, t: T.DataType, options: Options = DEFAULT, kind: str = "", absent_when_null: bool = False, exact: bool = False) -> Column:
+def loose_text(c: Column, t: T.DataType, options: Options = DEFAULT, kind: str = "", absent_when_null: bool = False, exact: bool = True) -> Column:
     """Canonical loose text of a column of type ``t``. A null struct field is null, or with ``absent_when_null`` not there.
 
     NaN and infinities, which have no loose form, raise.
@@ -185,7 +208,7 @@ def _variant(c: Column, t: T.StructType, down, options: Options) -> Column:
     return whens
 
 
-def table_text(c: Column, e: T.StructType, options: Options = DEFAULT, exact: bool = False) -> Column:
+def table_text(c: Column, e: T.StructType, options: Options = DEFAULT, exact: bool = True) -> Column:
     """An array of structs as a table: header with numbers of rows and columns, a piped row each, ``@end``."""
     index = {k: i for i, k in enumerate(options.keys)}
     fields = _sorted_fields(e)
@@ -198,7 +221,7 @@ def table_text(c: Column, e: T.StructType, options: Options = DEFAULT, exact: bo
     return F.concat(F.lit("@tab _ rows="), F.size(c).cast("string"), F.lit(f" cols={len(fields)} [{names}]\n"), F.array_join(F.transform(c, row), ""), F.lit("@end"))
 
 
-def typed_text(c: Column, t: T.DataType, kind: str = "", name: str = "", wire: bool = False, exact: bool = False) -> Column:
+def typed_text(c: Column, t: T.DataType, kind: str = "", name: str = "", wire: bool = False, exact: bool = True) -> Column:
     """Typed text: structs carry a name and sort by raw key, maps are ``{k:v}``, null is ``∅``."""
     down = lambda x, u, k="", n="": typed_text(x, u, k, n, wire, exact)
     if isinstance(t, T.StructType) and kind == "id":
@@ -233,7 +256,7 @@ def mask_bits(text: Column, n: int) -> Column:
     return F.transform(F.split(padded, ""), lambda x: x == "1") if n else F.array().cast("array<boolean>")
 
 
-def packed_text(c: Column, t: T.StructType, kind: TypeDef, schema: Schema, bitmap: bool = True, exact: bool = False) -> Column:
+def packed_text(c: Column, t: T.StructType, kind: TypeDef, schema: Schema, bitmap: bool = True, exact: bool = True) -> Column:
     """``T@(v …)`` in order of field ids or, where an optional field is null, ``T@{bm=0b…}(v …)``. A null required field raises."""
     fields = kind.by_fid()
     optional = [f for f in fields if f.optional]
@@ -267,7 +290,7 @@ def _packed_value(x: Column, t: T.DataType, spec, schema: Schema, bitmap: bool,
     return F.when(x.isNotNull(), typed_text(x, t, exact=exact))
 
 
-def tabular_text(c: Column, e: T.StructType, kind: TypeDef, schema: Schema, wire: bool = True, inline: bool = False, exact: bool = False) -> Column:
+def tabular_text(c: Column, e: T.StructType, kind: TypeDef, schema: Schema, wire: bool = True, inline: bool = False, exact: bool = True) -> Column:
     """An array of structs as a typed table ``@tab T [columns]`` with rows on lines, or between bars on one line."""
     fields = kind.by_fid()
     names = " ".join(wire and f.wire or f.name for f in fields)
@@ -280,23 +303,17 @@ def tabular_text(c: Column, e: T.StructType, kind: TypeDef, schema: Schema, wire
 # --- rows of a DataFrame
 
 
-def compiled(df: DataFrame) -> DataFrame:
-    """Keep generated methods within what HotSpot compiles (8000 bytes of code). A wide row's text in one method of whole-stage
-    code would be interpreted; beyond the limit Spark splits the projection into small methods, about twice as fast."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.codegen.hugeMethodLimit")) > 8000:
-        conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    return df
-
-
 def row_struct(df: DataFrame, cols: list[str] | None = None) -> tuple[Column, T.StructType]:
     cols = cols or df.columns
     return F.struct(*(F.col(f"`{c}`") for c in cols)), T.StructType([df.schema[c] for c in cols])
 
 
 def canon_row(df: DataFrame, cols: list[str] | None = None, options: Options = DEFAULT, **how) -> Column:
-    """A row's columns as one canonical map."""
-    compiled(df)
+    """A row's columns as one canonical map.
+
+    A wide row's text in one method of whole-stage code is longer than HotSpot compiles (8000 bytes). With ``spark.sql.codegen.hugeMethodLimit``
+    at 8000 Spark splits the projection into small methods, about twice as fast; that is the session's to set.
+    """
     cols = cols or df.columns
     t = T.StructType([df.schema[c] for c in cols])
     index = {k: i for i, k in enumerate(options.keys)}

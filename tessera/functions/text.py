@@ -135,27 +135,33 @@ def token_estimate(c: Column) -> Column:
     return pieces.cast("long")
 
 
+def fnv_text(s: str) -> str:
+    """FNV-1a of a text's bytes, 16 hex digits."""
+    h = 0xCBF29CE484222325
+    for b in s.encode():
+        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return f"{h:016x}"
+
+
 def fnv_hash(c: Column) -> Column:
-    """FNV-1a of a text's bytes, 16 hex digits. Kept for old data; SHA-256 identifies."""
-
-    def one(s: str) -> str:
-        h = 0xCBF29CE484222325
-        for b in s.encode():
-            h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        return f"{h:016x}"
-
-    return mapped(one)(c)
-
-
-def register(spark: SparkSession) -> None:
-    """The text functions for SQL."""
-    for name, fn, kind in (
-        ("canon_json", lambda s: values.loose(values.from_json(s)), "string"),
-        ("canon_text", lambda s: values.loose(values.parse(s)), "string"),
-        ("to_json_text", lambda s: values.to_json(values.parse(s)), "string"),
-        ("fingerprint_json", lambda s: values.fingerprint(values.from_json(s)), "string"),
-        ("fingerprint_text", lambda s: values.fingerprint(values.parse(s)), "string"),
-        ("patch_base_json", lambda s: values.patch_base(values.from_json(s)), "string"),
-        ("key_dict", lambda s: values.key_dictionary(values.from_json(s)), "array<string>"),
-    ):
-        spark.udf.register(name, mapped(fn, kind))
+    """``fnv_text`` of a column. Kept for old data; SHA-256 identifies."""
+    return mapped(fnv_text)(c)
+
+
+def schema_directive(c: Column) -> Column:
+    """A directive line ``@schema#id @keys=[...]``, ``@schema#id`` or ``@schema.clear`` as a struct of ``id``, ``keys`` and ``clear``; null for other lines."""
+
+    def one(s: str) -> dict | None:
+        try:
+            return values.parse_schema_directive(s)
+        except ValueError:
+            return None
+
+    return _struct(one, "id string, keys array<string>, clear boolean")(c)
+
+
+def register(spark: SparkSession) -> list[str]:
+    """All functions for SQL."""
+    from .sql import register as all_of_them
+
+    return all_of_them(spark)

@@ -14,7 +14,7 @@ POOL_MIN_LENGTH, POOL_MIN_COUNT, DICT_LIMIT, LEARN_FRAMES = 20, 2, 4096, 10
 
 
 def _in_order(keys: DataFrame) -> DataFrame:
-    n = numbered(keys, {"_c": F.substring("key", 1, 2)}, [F.col("key")], "idx")
+    n = numbered(keys, [F.col("key")], "idx")
     return n.select(F.col("idx").cast("int").alias("idx"), "key", "n")
 
 
@@ -45,7 +45,7 @@ def pool_candidates(df: DataFrame, column: str, min_length: int = POOL_MIN_LENGT
     """Strings worth pooling, most frequent first, then longest, then in order: ``idx, value, n, saved``."""
     c = F.col(column)
     n = df.where(F.octet_length(c) >= min_length).groupBy(c.alias("value")).agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
-    out = numbered(n, {"_k": F.col("n"), "_l": F.octet_length("value")}, [F.col("value")], "idx", descending=("_k", "_l"))
+    out = numbered(n, [-F.col("n"), -F.octet_length("value"), F.col("value")], "idx")
     return out.select(F.col("idx").cast("int").alias("idx"), "value", "n", ((F.col("n") - 1) * F.octet_length("value")).cast("long").alias("saved"))
 
 
@@ -73,7 +73,7 @@ def intern_first_seen(df: DataFrame, column: str, order: str, min_length: int =
     """Strings in order of first sight (``order`` is a number) in pools of ``limit``: ``pool, idx, value``."""
     first = df.where(F.octet_length(column) >= min_length).groupBy(F.col(column).alias("value")).agg(F.min(order).alias("_at"))
     n = F.col("_n")
-    first = numbered(first, {"_c": F.floor(F.col("_at") / 100_000)}, [F.col("_at"), F.col("value")], "_n")
+    first = numbered(first, [F.col("_at"), F.col("value")], "_n")
     return first.select(F.concat(F.lit("S"), (F.floor(n / limit) + 1).cast("string")).alias("pool"), (n % limit).cast("int").alias("idx"), "value")
 
 

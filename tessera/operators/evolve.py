@@ -8,7 +8,9 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.text import to_json_text
 from ..values import ValueError_
 
 SPARK_TYPES = {"str": "string", "int": "bigint", "float": "double", "bool": "boolean", "list": "array<string>", "decimal": "decimal(38,10)"}
@@ -86,6 +88,13 @@ class VersionedSchema:
         return spark.createDataFrame(rows, "pos int, version string, description string, added array<string>, deprecated array<string>, renamed array<string>")
 
 
+def availability(spark: SparkSession, s: VersionedSchema) -> DataFrame:
+    """Whether each field is there, and deprecated, in each version: ``pos, version, field, available, deprecated``."""
+    names = sorted({f.name for v in s.versions for f in s.versions[v]})
+    rows = [(k, v, n, s.available(n, v), s.deprecated(n, v)) for k, v in enumerate(s.ordered()) for n in names]
+    return spark.createDataFrame(rows, "pos int, version string, field string, available boolean, deprecated boolean")
+
+
 def problem(s: VersionedSchema, version: str, df: DataFrame) -> Column:
     """The first fault of a row under a version, or null."""
     checks = [F.when(F.col(f"`{f.name}`").isNull() if f.name in df.columns else F.lit(True), f"Missing required field: {f.name}") for f in s.fields(version) if f.required]
@@ -129,11 +138,44 @@ def migrate(df: DataFrame, s: VersionedSchema, source: str, target: str | None =
 
 
 def migrate_mixed(df: DataFrame, s: VersionedSchema, version_col: str, target: str | None = None) -> DataFrame:
-    """Rows of several versions in one table: a migration for each known version, put together. Unknown versions are left out."""
-    parts = [migrate(df.where(F.col(version_col) == v).select(*(c for c in df.columns if c in {f.name for f in s.fields(v)})), s, v, target) for v in s.ordered() if version_compare(v, target or s.latest()) <= 0]
+    """Rows of several versions in one table as rows of ``target``, with ``problem``: a migration for each known version, put together.
+
+    Rows of an unknown version, of none, or of one above the target are kept, with what columns they share with the target and ``problem`` naming the fault.
+    """
+    target = target or s.latest()
+    known = [v for v in s.ordered() if version_compare(v, target) <= 0]
+    parts = [migrate(df.where(F.col(version_col) == v).select(*(c for c in df.columns if c in {f.name for f in s.fields(v)})), s, v, target).withColumn("problem", F.lit(None).cast("string")) for v in known]
+    odd = df.where(F.col(version_col).isNull() | ~F.col(version_col).isin(*known))
+    shared = [c for c in parts[0].columns if c in df.columns and c != "problem"]
+    parts.append(odd.select(*shared, F.concat(F.lit("no way from version "), F.coalesce(F.col(version_col).cast("string"), F.lit("(none)")), F.lit(f" to {target}")).alias("problem")))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def parse_versions(df: DataFrame, s: VersionedSchema, text: str, target: str | None = None) -> DataFrame:
+    """``df`` of documents that begin with ``@version X`` (the earliest where none is named) as rows of ``target``, with ``problem``.
+
+    The body is read once as JSON of all versions' fields; ``migrate_mixed`` does the rest. In ``strict`` mode a row's fault is its ``problem``.
+    """
+    fields: dict[str, VersionField] = {}
+    for v in s.ordered():
+        for f in s.fields(v):
+            fields.setdefault(f.name, f)
+    types = T.StructType([T.StructField(f.name, T._parse_datatype_string(SPARK_TYPES[f.type])) for f in fields.values()])
+    body = to_json_text(F.regexp_replace(F.col(text), r"\A\s*@version\s+\S+\s*", ""))
+    at = F.coalesce(parse_version_header(F.col(text)), F.lit(s.ordered()[0]))
+    others = [c for c in df.columns if c != text]
+    d = df.select(*others, at.alias("_version"), F.from_json(body, types).alias("_r")).select(*others, "_version", "_r.*")
+    key = VersionedSchema(s.name, s.mode if s.mode != "strict" else "tolerant", {v: [*(VersionField(c, required=False) for c in others), *fs] for v, fs in s.versions.items()}, s.descriptions)
+    if s.mode != "strict":
+        return migrate_mixed(d, key, "_version", target)
+    faults = F.coalesce(*(F.when(F.col("_version") == v, problem(s, v, d)) for v in s.ordered()))
+    d = d.withColumn("_fault", faults)
+    for v in key.versions:
+        key.versions[v] = [VersionField("_fault"), *key.versions[v]]
+    out = migrate_mixed(d, key, "_version", target)
+    return out.withColumn("problem", F.coalesce("problem", "_fault")).drop("_fault")
+
+
 def version_header(version: str) -> str:
     return f"@version {version}"
 

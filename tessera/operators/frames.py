@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import values
 
 #: The kinds by code, and the limits of a header and of a payload.
 KINDS = ("doc", "patch", "row", "ui", "ack", "err", "ping", "pong")
 MAX_HEADER, MAX_PAYLOAD = 64 << 10, 64 << 20
+#: The machine-readable codes of err payloads and resync requests.
+ERROR_CODES = ("BASE_MISMATCH", "SEQ_GAP", "SEQ_DUP", "NO_STATE", "CRC_MISMATCH", "VERSION_UNSUPPORTED", "PAYLOAD_TOO_LARGE", "HEADER_TOO_LARGE", "FRAME_INVALID")
 FRAME = "sid decimal(20,0), seq decimal(20,0), kind string, kind_code int, len bigint, payload binary, crc bigint, base string, flags int, final boolean, error string"
 
 
@@ -64,7 +69,7 @@ def split_frames(data: bytes, start: int = 0, strict: bool = False, max_payload:
         end = data.find(b"\n", at, at + MAX_HEADER + 1)
         if end < 0:
             if len(data) - at > MAX_HEADER:
-                return out + [_faulty(data[at : at + 64], "FRAME_INVALID: header too long", strict)], len(data)
+                return out + [_faulty(data[at : at + 64], "HEADER_TOO_LARGE", strict)], len(data)
             return out, at
         line = data[at:end].strip()
         if not line.startswith(b"@frame{") or not line.endswith(b"}"):
@@ -108,11 +113,8 @@ def _faulty(raw: bytes, error: str, strict: bool) -> tuple:
 
 def decode(df: DataFrame, column: str, **how: Any) -> DataFrame:
     """A row for each frame of each value of a binary column: the other columns, ``pos`` and FRAME. A cut-off last frame is a faulty row."""
-    from collections.abc import Iterator
     from decimal import Decimal
 
-    import pandas as pd
-
     others = [c for c in df.columns if c != column]
     ddl = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others), "pos int", FRAME])
     names = [*others, "pos", *(x.split()[0] for x in re.sub(r"\(20,0\)", "", FRAME).split(", "))]
@@ -140,27 +142,116 @@ def verify_crc(payload: Column, crc: Column) -> Column:
 
 # --- cursors over a table of frames
 
+#: Code of each status that is a fault.
+STATUS_CODES = {"gap": "SEQ_GAP", "duplicate": "SEQ_DUP", "stale": "SEQ_DUP", "no_state": "NO_STATE", "base_mismatch": "BASE_MISMATCH"}
+_STATUS = "status string, accepted boolean, last_seq long, missing long"
+
 
-def cursor(df: DataFrame, sid: str = "sid", seq: str = "seq", arrival: str | None = None, base: str | None = None, state: str | None = None) -> DataFrame:
-    """Frames with ``status``: ``ok``, ``duplicate`` or ``stale`` (not above the last), ``gap`` (above the next), ``base_mismatch``, ``no_state``.
+class Cursor:
+    """Where one stream stands: the last accepted number, the last acknowledged one, the state's hash, and whether it has ended.
 
-    Strict rules: in order of ``arrival`` (or of ``seq``) the sequence of each stream rises by one. The highest number so far is a running
-    maximum, so one shuffle by stream serves; no loop, no Python.
+    Strict: a number not above the last, or above the next, is refused and changes nothing; so is a patch whose base is not the state's hash, or that
+    names one where there is no state. Lenient: numbers not above the last are skipped, a gap is told and the frame taken, and a
+    base is compared only where there is a state. A stream that stands at 0 takes any number; 0 is no duplicate.
+    """
+
+    def __init__(self, lenient: bool = False, last: int = 0, acked: int = 0, state: str | None = None, final: bool = False) -> None:
+        self.lenient, self.last, self.acked, self.state, self.final = lenient, last, acked, state, final
+
+    def step(self, seq: int, kind: str | None = None, base: str | None = None, final: bool = False, state: str | None = None) -> tuple[str, bool, int, int]:
+        """``status, accepted``, the last number before, and how many are missing. ``state``: the hash after the frame, if it is accepted."""
+        before, status, missing = self.last, "ok", 0
+        if before and (seq or not self.lenient):
+            if seq and seq <= before:
+                return ("duplicate" if seq == before else "stale"), False, before, 0
+            if seq != before + 1:
+                status, missing = "gap", max(0, seq - before - 1)
+                if not self.lenient:
+                    return status, False, before, missing
+        if kind in (None, "patch") and base:
+            if self.state is None and not self.lenient:
+                return "no_state", False, before, 0
+            if self.state is not None and self.state != base:
+                return "base_mismatch", False, before, 0
+        self.last, self.final = seq, self.final or final
+        self.state = state or self.state
+        if kind == "ack":
+            self.acked = max(self.acked, seq)
+        return status, True, before, missing
+
+
+def cursor(
+    df: DataFrame, sid: str = "sid", seq: str = "seq", arrival: str | None = None, kind: str | None = None, base: str | None = None, state: str | None = None, final: str | None = None, lenient: bool = False
+) -> DataFrame:
+    """Frames with ``status`` (``ok``, ``duplicate``, ``stale``, ``gap``, ``base_mismatch``, ``no_state``), ``accepted``, ``last_seq`` before it, and ``missing``.
+
+    The rules are those of ``Cursor``, in order of ``arrival`` (or of ``seq``); only accepted frames move a stream on. ``state`` is the
+    hash of the document after a frame. One shuffle by stream and a sort; a stream is read row by row, never held.
     """
     order = [F.col(arrival)] if arrival else [F.col(seq)]
-    w = Window.partitionBy(sid).orderBy(*order)
-    last = F.max(seq).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    status = F.when(last.isNotNull() & (F.col(seq) == last), "duplicate").when(last.isNotNull() & (F.col(seq) < last), "stale").when(last.isNotNull() & (F.col(seq) > last + 1), "gap")
-    if base and state:
-        before = F.last(state, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        status = status.when(F.col(base).isNotNull() & before.isNull(), "no_state").when(F.col(base).isNotNull() & (F.col(base) != before), "base_mismatch")
-    return df.withColumn("last_seq", last).withColumn("status", status.otherwise("ok")).withColumn("missing", F.when(F.col("status") == "gap", F.col(seq) - F.col("last_seq") - 1).otherwise(0).cast("long"))
+    ddl = T.StructType([*df.schema.fields, *T._parse_datatype_string(_STATUS).fields])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, c = None, Cursor(lenient)
+        get = lambda part, name, null: [null if pd.isna(x) else x for x in part[name]] if name else [null] * len(part)
+        for part in parts:
+            out = []
+            for k, *x in zip(part[sid], get(part, seq, 0), get(part, kind, None), get(part, base, None), get(part, final, False), get(part, state, None), strict=True):
+                if at is None or k != at[0]:
+                    at, c = (k,), Cursor(lenient)
+                out.append(c.step(int(x[0]), *x[1:]))
+            yield part.assign(**dict(zip(("status", "accepted", "last_seq", "missing"), (list(v) for v in zip(*out, strict=True)), strict=True)) if out else {"status": [], "accepted": [], "last_seq": [], "missing": []})
+
+    return df.repartition(sid).sortWithinPartitions(sid, *order).mapInPandas(run, ddl)
+
+
+def cursor_states(statuses: DataFrame, sid: str = "sid", seq: str = "seq", kind: str | None = None, state: str | None = None, final: str | None = None) -> DataFrame:
+    """Where each stream stands after its frames: ``last_seq, last_acked, state, final, needs_resync`` (no state is known) and ``pending`` (numbers not acknowledged).
+
+    In order of ``seq``; a row a stream, so this is also the list of all streams. Partial aggregation, no sort.
+    """
+    ok = lambda c: F.when(F.col("accepted"), c)
+    last = F.coalesce(F.max(ok(F.col(seq))), F.lit(0)).cast("long")
+    acked = F.coalesce(F.max(F.when(F.col("accepted") & (F.col(kind) == "ack"), F.col(seq))), F.lit(0)).cast("long") if kind else F.lit(0).cast("long")
+    held = F.max_by(state, F.when(F.col("accepted") & F.col(state).isNotNull(), F.col(seq))) if state else F.lit(None).cast("string")
+    over = F.coalesce(F.bool_or(ok(F.col(final))), F.lit(False)) if final else F.lit(False)
+    d = statuses.groupBy(sid).agg(last.alias("last_seq"), acked.alias("last_acked"), held.alias("state"), over.alias("final"))
+    return d.withColumn("needs_resync", F.col("state").isNull()).withColumn("pending", F.greatest(F.col("last_seq") - F.col("last_acked"), F.lit(0).cast("long")))
+
+
+def dispatch(statuses: DataFrame, handlers: dict[str, Callable[[DataFrame], Any]], kind: str = "kind", final: str = "final") -> dict[str, Any]:
+    """What each handler makes of the accepted frames of its kind; the handlers ``gap`` and ``base_mismatch`` get those frames, ``final`` the ended streams' last.
+
+    Works on streams as well: every handler gets a filter of the same frames.
+    """
+    out = {}
+    for name, handle in handlers.items():
+        if name in STATUS_CODES:
+            d = statuses.where(F.col("status") == name)
+        elif name == "final":
+            d = statuses.where(F.col("accepted") & F.col(final))
+        elif name in KINDS:
+            d = statuses.where(F.col("accepted") & (F.col(kind) == name))
+        else:
+            raise values.ValueError_(f"no frames of the kind {name}")
+        out[name] = handle(d)
+    return out
+
+
+def status_code(status: Column) -> Column:
+    """The error code of a status; null for ``ok``."""
+    return F.coalesce(*(F.when(status == k, v) for k, v in STATUS_CODES.items()))
+
+
+#: Numbers that one row of ``pending_acks`` spreads at once.
+ACK_CHUNK = 10_000
 
 
 def pending_acks(df: DataFrame, sid: str = "sid", last_acked: str = "last_acked", last_seq: str = "last_seq") -> DataFrame:
-    """The numbers of each stream that were sent and not acknowledged."""
+    """The numbers of each stream that were sent and not acknowledged. Far ranges are cut into chunks first, so no row holds a long list."""
     a, b = F.col(last_acked).cast("long"), F.col(last_seq).cast("long")
-    return df.select(sid, F.explode(F.when(b > a, F.sequence(a + 1, b)).otherwise(F.array().cast("array<bigint>"))).alias("seq"))
+    chunks = df.where(b > a).select(sid, a.alias("a"), b.alias("b")).select(sid, "b", F.explode(F.sequence("a", F.col("b") - 1, F.lit(ACK_CHUNK).cast("long"))).alias("at"))
+    return chunks.select(sid, F.explode(F.sequence(F.col("at") + 1, F.least(F.col("at") + ACK_CHUNK, F.col("b")))).alias("seq"))
 
 
 def resync_requests(statuses: DataFrame, sid: str = "sid", seq: str = "seq") -> DataFrame:
@@ -171,7 +262,7 @@ def resync_requests(statuses: DataFrame, sid: str = "sid", seq: str = "seq") ->
     )
 
 
-def ui_event(name: str, **fields: Column) -> Column:
+def ui_event(name: str, /, **fields: Column) -> Column:
     """A typed struct for ui and err payloads: ``Progress{msg=… pct=…}``. Strings are written canonically; unsigned numbers beyond a long as strings."""
     from ..functions.canon import string_text
 

@@ -29,15 +29,24 @@ def by_key(df: DataFrame, key: str, order: str, value: str, fn: Callable[[Any, I
     return df.select(key, order, value).repartition(key).sortWithinPartitions(key, order).mapInPandas(run, ddl)
 
 
-def numbered(df: DataFrame, classes: dict[str, Column], within: list[Column], name: str, descending: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with gapless numbers from 0 in the order of ``classes`` (``descending`` ones from the top), then ``within``.
+#: Keys that are sampled for each splitter.
+SAMPLED = 20
 
-    Rows are ranked inside their class, and the classes' counts, a small table, give each class its first number: no
-    task sorts all rows. Classes must split the whole order into runs (a string's first letters do).
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with gapless numbers from 0 in ascending order of ``order`` (which should leave no ties).
+
+    A bounded sample of the keys, those that hash lowest, gives splitters; rows are ranked inside the ranges between them, and the ranges'
+    counts, a row a range, give each its first number. No task sorts all rows, and the splitters are constants of the plan.
     """
-    d = df.withColumns(classes)
-    order = [F.col(c).desc() if c in descending else F.col(c) for c in classes]
-    counts = d.groupBy(*classes).agg(F.count("*").alias("_n"))
-    first = counts.withColumn("_first", F.sum("_n").over(Window.orderBy(*order)) - F.col("_n")).drop("_n")
-    ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy(*classes).orderBy(*within)))
-    return ranked.join(first, list(classes)).withColumn(name, F.col("_first") + F.col("_r") - 1).drop("_first", "_r", *classes)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.withColumn("_k", F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order))))
+    sample = sorted(tuple(r["_k"]) for r in d.select("_k").orderBy(F.xxhash64("_k"), "_k").limit(SAMPLED * n).collect())  # bounded by the partitions
+    kinds = [f.dataType for f in d.schema["_k"].dataType.fields]
+    literal = lambda k: F.struct(*(F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(k, kinds, strict=True))))
+    splitters = sorted(set(sample[SAMPLED::SAMPLED]))
+    d = d.withColumn("_range", sum(((F.col("_k") >= literal(k)).cast("int") for k in splitters), F.lit(0)))
+    counts = d.groupBy("_range").agg(F.count("*").alias("_n"))
+    first = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_first"))
+    ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy("_range").orderBy("_k")))
+    return ranked.join(F.broadcast(first), "_range").withColumn(name, F.col("_first") + F.col("_r") - 1).drop("_range", "_r", "_first", "_k")

@@ -311,21 +311,47 @@ def _one_patch(doc: str | None, texts: list[str | None], schema: Schema | None,
 
 
 def fold(docs: DataFrame, patches: DataFrame, target: str = "target", seq: str = "seq", text: str = "text", value: str = "value", verify: bool = False) -> DataFrame:
-    """Every document with all its patches, in order of ``seq``: ``target, value, error, n_patches``.
+    """Every document with all its patches, in order of ``seq`` (and of the text at ties): ``target, value, error, n_patches``.
 
-    Patches are grouped by target on the executors (sorted by ``seq``, and by text at ties), so a document and its patches meet in one
-    shuffle. A document without patches comes back in canonical form.
+    Documents and patches are dealt by target in one shuffle and sorted, a document before its patches; a target is then read as a
+    stream, patch after patch, so a document with very many is never gathered in a row. A document without patches comes back in canonical
+    form; patches without a document are left out.
     """
-    order = patches.groupBy(target).agg(F.array_sort(F.collect_list(F.struct(seq, text))).alias("_p"))
+    d = docs.select(target, F.lit(0).alias("_kind"), F.lit(None).cast(patches.schema[seq].dataType).alias("_seq"), F.col(value).alias("_text"))
+    p = patches.select(target, F.lit(1).alias("_kind"), F.col(seq).alias("_seq"), F.col(text).alias("_text"))
+    ddl = f"{target} {docs.schema[target].dataType.simpleString()}, value string, error string, n_patches int"
 
-    @F.pandas_udf("value string, error string")
-    def run(v: pd.Series, ps: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_one_patch(d, [] if p is None else [x[text] for x in p], None, None, verify, "loose") for d, p in zip(v, ps, strict=True)], columns=["value", "error"], dtype=object)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, v, error, n, null, open_ = None, None, None, 0, False, False
+
+        def closed() -> tuple:
+            return (key, None if error or null else values.loose(v), error, n)
+
+        for part in parts:
+            out = []
+            for k, kind, t in zip(part[target], part["_kind"], part["_text"], strict=True):
+                if kind == 0:
+                    if open_:
+                        out.append(closed())
+                    key, error, n, null, open_ = k, None, 0, t is None, True
+                    try:
+                        v = None if null else values.parse(t)
+                    except ValueError as e:
+                        error = str(e)
+                elif open_ and k == key:
+                    n += 1
+                    if not error and not null and t is not None:
+                        try:
+                            v = apply(v, parse(t), verify)
+                        except ValueError as e:
+                            error = str(e)
+            yield pd.DataFrame(out, columns=[target, "value", "error", "n_patches"], dtype=object)
+        if open_:
+            yield pd.DataFrame([closed()], columns=[target, "value", "error", "n_patches"], dtype=object)
 
     # dealt by number, so that a short table is still parsed by as many tasks
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    j = docs.repartition(n, target).join(order, target, "left").withColumn("_r", run(F.col(value), F.col("_p")))
-    return j.select(target, F.col("_r.value").alias("value"), F.col("_r.error").alias("error"), F.coalesce(F.size("_p"), F.lit(0)).alias("n_patches"))
+    return d.unionByName(p).repartition(n, target).sortWithinPartitions(target, "_kind", "_seq", "_text").mapInPandas(run, ddl)
 
 
 def verify_base(docs: DataFrame, patches: DataFrame, base_of_doc: Column, target: str = "target", base: str = "base") -> DataFrame:

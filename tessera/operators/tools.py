@@ -32,6 +32,9 @@ ALL_TOOLS = SAFE_TOOLS + (
     ("write_file", "content", "string", True, None, None, None, None),
 )
 MAX_BUFFER, MAX_FIELDS, MAX_ERRORS = 1 << 20, 1000, 100
+#: Faults after which a call is not read on.
+FATAL = ("UNKNOWN_TOOL", "INVALID_SYNTAX", "LIMIT_EXCEEDED")
+_NO_TOOL = "no tool is named"
 
 
 def registry(spark: SparkSession, tools: tuple = SAFE_TOOLS) -> DataFrame:
@@ -58,7 +61,7 @@ def parse_calls(df: DataFrame, key: str, text: str) -> DataFrame:
             elif isinstance(v, dict) and (k := next((k for k in ("action", "tool") if k in v), None)):
                 name, args = v[k], {a: x for a, x in v.items() if a != k}
             else:
-                return None, None, "no tool is named"
+                return None, None, _NO_TOOL
             return str(name), {a: values.loose(x, values.NO_TABULAR) for a, x in args.items()}, None
         except ValueError as e:
             return None, None, str(e)
@@ -103,7 +106,7 @@ def validate_calls(calls: DataFrame, tools: DataFrame, key: str) -> DataFrame:
     needed = tools.where("required").select("tool", "arg")
     missing = c.where("_known").join(needed, "tool").where(~F.coalesce(F.array_contains(F.map_keys("args"), F.col("arg")), F.lit(False))).select(key, F.concat(F.lit("MISSING_REQUIRED:"), "arg").alias("e"))
     unknown = calls.where("problem is null").join(names, "tool", "left_anti").select(key, F.lit("UNKNOWN_TOOL").alias("e"))
-    bad = calls.where("problem is not null").select(key, F.lit("INVALID_SYNTAX").alias("e"))
+    bad = calls.where("problem is not null").select(key, F.when(F.col("problem") == _NO_TOOL, "MISSING_TOOL").otherwise("INVALID_SYNTAX").alias("e"))
     errors = wrong.unionByName(missing).unionByName(unknown).unionByName(bad).groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("errors"))
     out = calls.select(key, "tool").join(errors, key, "left")
     return out.select(key, "tool", F.col("errors").isNull().alias("valid"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
@@ -131,7 +134,8 @@ class Verdict:
 
     @property
     def should_stop(self) -> bool:
-        return bool(self.errors)
+        """Whether nothing that follows can make the call good: only faults of ``FATAL`` end a call early, others are gathered."""
+        return any(e.split(":")[0] in FATAL for e in self.errors)
 
 
 class TokenValidator:
@@ -159,7 +163,7 @@ class TokenValidator:
         self.v.tokens += 1
         for c in token:
             self.v.chars += 1
-            if self.v.errors and self.v.errors[-1].split(":")[0] in ("UNKNOWN_TOOL", "INVALID_SYNTAX", "LIMIT_EXCEEDED"):
+            if self.v.should_stop:
                 continue
             if self.v.chars > self.max_buffer:
                 self._error("LIMIT_EXCEEDED")
@@ -241,7 +245,7 @@ class TokenValidator:
         self.v.complete, self.v.complete_token = True, self.v.tokens
         self.v.timeline.append(f"COMPLETE@{self.v.tokens}")
         if self.v.tool is None:
-            return self._error("INVALID_SYNTAX")
+            return self._error("MISSING_TOOL")
         for arg, rule in self.tools.get(self.v.tool, {}).items():
             if rule.get("required") and self.fields.get(arg) is None:
                 self._error(f"MISSING_REQUIRED:{arg}")

@@ -116,6 +116,9 @@ class Schema:
 
         ``tag`` leads the preimage; give the producer's own to compare with hashes made elsewhere.
         """
+        return hashlib.sha256(self.preimage(tag).encode()).hexdigest()[:32]
+
+    def preimage(self, tag: str = "tessera-schema-hash-v1") -> str:
         b = lambda x: "true" if x else "false"
         out = [tag]
         for name in sorted(self.types):
@@ -126,7 +129,7 @@ class Schema:
                 line += f" constraints=[{','.join(sorted(map(str, f.constraints)))}]" if f.constraints else ""
                 out.append(line + (f" default={values.typed(f.default)}" if f.default is not None else ""))
             out += [f"  variant tag={tag_} type={spec}" for tag_, spec in sorted(t.variants, key=lambda v: v[0])]
-        return hashlib.sha256(("\n".join(out) + "\n").encode()).hexdigest()[:32]
+        return "\n".join(out) + "\n"
 
     def ref(self) -> str:
         return f"@schema#{self.hash()}"

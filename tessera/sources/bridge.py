@@ -10,11 +10,12 @@ from collections import OrderedDict
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import values
-from ..functions.text import mapped
+from ..functions.text import _struct, mapped
 from ..plans.schema import Schema, TypeSpec
 
 # --- typed JSON
@@ -139,6 +140,28 @@ def load_dictionary(data: bytes) -> tuple[list[str], int, int]:
     return [k.decode() for k in raw], session, version
 
 
+def dictionary_blob(keys: Column, session: Column) -> Column:
+    """Key lists as dictionary blobs, in Arrow batches."""
+
+    @F.pandas_udf("binary")
+    def run(ks: pd.Series, ids: pd.Series) -> pd.Series:
+        return pd.Series([None if k is None else dump_dictionary(list(k), int(i)) for k, i in zip(ks, ids, strict=True)], dtype=object)
+
+    return run(keys, session)
+
+
+def blob_dictionary(blob: Column) -> Column:
+    """A dictionary blob's ``keys``, ``session`` and ``version``; null for a damaged one."""
+
+    def one(b: bytes) -> dict | None:
+        try:
+            return dict(zip(("keys", "session", "version"), load_dictionary(bytes(b)), strict=True))
+        except ValueError:
+            return None
+
+    return _struct(one, "keys array<string>, session long, version int")(blob)
+
+
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +17,33 @@ from ..plans.schema import Schema
 from .. import values
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder that driver and executors share, deleted when the session's process ends. Only where all run in one process may the cluster's setting be missing."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        base = "file://" + tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _made:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session is gone; the folder's owner clears it
+            return
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """``path, text``: a row a file, whole (UTF-8)."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -144,10 +144,23 @@ class _TableReader(_FileReader):
 
 
 class _TableWriter(_FileWriter):
+    """Rows go to the file as they come: the header names the columns and gives no number of rows, which is not known yet."""
+
     def write(self, rows: Iterator[Any]) -> WriterCommitMessage:
-        items = [{k: _plain(x) for k, x in r.asDict(recursive=True).items()} for r in rows]
-        options = values.DEFAULT.replace(min_rows=1, max_cols=1 << 20)
-        return _Done(_write(self.options["path"], self._name("tab"), (values.loose(items, options) + "\n").encode()), len(items))
+        store, at = _open(self.options["path"])
+        store.create_dir(at, recursive=True)
+        name, n, cols = f"{at}/{self._name('tab')}", 0, None
+        with store.open_output_stream(name) as f:
+            for r in rows:
+                d = r.asDict(recursive=True)
+                if cols is None:
+                    cols = sorted(d, key=lambda k: values.string_text(k).encode())
+                    f.write(f"@tab _ [{' '.join(map(values.string_text, cols))}]\n".encode())
+                cells = (values.loose(_plain(d[c])).replace("|", "\\|") for c in cols)
+                f.write(f"|{'|'.join(cells)}|\n".encode())
+                n += 1
+            f.write(b"@end\n" if n else b"[]\n")
+        return _Done(name, n)
 
 
 def _plain(x: Any) -> Any:
@@ -233,19 +246,31 @@ class _FrameReader(_FileReader):
 
 
 class _FrameStream(DataSourceStreamReader):
-    """The offset is the list of files seen: files are whole when they appear."""
+    """The offset is a mark in the files' order of arrival: the newest time of change and the names at it, so it stays short however many files were read.
+
+    Files are whole when they appear, and none appears with an earlier time than those read before.
+    """
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
 
+    def _found(self) -> list[tuple[int, str]]:
+        return sorted((_changed(f), f) for f in _existing(self.path))
+
     def initialOffset(self) -> dict:
-        return {"files": []}
+        return {"time": -1, "files": []}
 
     def latestOffset(self) -> dict:
-        return {"files": _existing(self.path)}
+        found = self._found()
+        if not found:
+            return self.initialOffset()
+        newest = found[-1][0]
+        return {"time": newest, "files": [f for t, f in found if t == newest]}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Part(f) for f in end["files"] if f not in set(start["files"])]
+        after = lambda t, f: t > start["time"] or t == start["time"] and f not in start["files"]
+        until = lambda t, f: t < end["time"] or t == end["time"] and f in end["files"]
+        return [_Part(f) for t, f in self._found() if after(t, f) and until(t, f)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         yield from _rows(partition.path)
@@ -254,6 +279,12 @@ class _FrameStream(DataSourceStreamReader):
         pass
 
 
+def _changed(path: str) -> int:
+    """A file's time of change, in nanoseconds."""
+    store, at = _open(path)
+    return store.get_file_info(at).mtime_ns or 0
+
+
 class _FrameWriter(_FileWriter):
     def write(self, rows: Iterator[Any]) -> WriterCommitMessage:
         import zlib

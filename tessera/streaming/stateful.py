@@ -12,51 +12,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import values
+from ..operators import frames
 from ..operators import patch as patches
 from ..operators.tools import VERDICT, TokenValidator, rules, verdict_row
 
-_STATUS = "seq long, kind string, status string, missing long, final boolean"
+_STATUS = "seq long, kind string, status string, accepted boolean, missing long, final boolean"
 
 
-def cursor_stream(df: DataFrame, sid: str = "sid", seq: str = "seq", kind: str = "kind", final: str = "final", lenient: bool = False, timeout: str | None = None) -> DataFrame:
-    """Each frame's ``status`` against its stream's last number, kept between batches: ``ok``, ``duplicate``, ``stale`` or ``gap``.
+def cursor_stream(
+    df: DataFrame, sid: str = "sid", seq: str = "seq", kind: str = "kind", final: str = "final", base: str | None = None, state_hash: str | None = None, lenient: bool = False, timeout: str | None = None
+) -> DataFrame:
+    """Each frame's ``status`` by the rules of ``frames.Cursor``, kept between batches; ``frames.dispatch`` deals the accepted ones to handlers.
 
-    Inside a batch frames come in any order, so they are sorted by number. ``lenient`` lets a stream that stands at 0 jump, and takes a gap's
-    frame as the new last. A final frame clears the state.
+    Inside a batch frames come in any order, so they are sorted by number. ``base`` names the column with a patch's base and ``state_hash`` the one with the
+    document's hash after a frame. An accepted final frame ends the stream and clears its state.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
+        last, acked, held = state.get if state.exists else (0, 0, None)
+        c = frames.Cursor(lenient, last, acked, held)
         out = []
-        frames = pd.concat(list(parts)).sort_values(seq)
-        for r in frames.itertuples(index=False):
-            n = int(getattr(r, seq))
-            over = bool(getattr(r, final))
-            if last is not None and n <= last:
-                status, missing = ("duplicate" if n == last else "stale"), 0
-            elif last is not None and n > last + 1 and not (lenient and last == 0):
-                status, missing = "gap", n - last - 1
-                last = n
-            else:
-                status, missing, last = "ok", 0, n
-            out.append((key[0], n, getattr(r, kind), status, missing, over))
-            if over:
-                last = None
-        if last is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((last,))
+        batch = pd.concat(list(parts)).sort_values(seq)
+        null = lambda r, name: None if name is None or pd.isna(getattr(r, name)) else getattr(r, name)
+        for r in batch.itertuples(index=False):
+            n, over = int(getattr(r, seq)), bool(getattr(r, final))
+            status, accepted, _, missing = c.step(n, getattr(r, kind), null(r, base), over, null(r, state_hash))
+            out.append((key[0], n, getattr(r, kind), status, accepted, missing, over))
+            if c.final:
+                c = frames.Cursor(lenient)
+        if c.last or c.state is not None:
+            state.update((c.last, c.acked, c.state))
             if timeout:
                 state.setTimeoutDuration(timeout)
-        yield pd.DataFrame(out, columns=[sid, "seq", "kind", "status", "missing", "final"])
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[sid, "seq", "kind", "status", "accepted", "missing", "final"])
 
     key_type = df.schema[sid].dataType.simpleString()
     conf = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
-    return df.select(sid, seq, kind, final).groupBy(sid).applyInPandasWithState(run, f"{sid} {key_type}, {_STATUS}", "last long", "append", conf)
+    cols = list(dict.fromkeys(c for c in (sid, seq, kind, final, base, state_hash) if c))
+    return df.select(*cols).groupBy(sid).applyInPandasWithState(run, f"{sid} {key_type}, {_STATUS}", "last long, acked long, state string", "append", conf)
 
 
 def document_stream(df: DataFrame, sid: str = "sid", seq: str = "seq", kind: str = "kind", payload: str = "payload") -> DataFrame:

@@ -1,5 +1,6 @@
 """Files, data sources and streams."""
 
+import os
 from datetime import UTC, datetime
 
 import pytest
@@ -67,7 +68,30 @@ def _run(spark, tmp_path, batches, schema, make, name):
 def test_cursor_stream(spark, tmp_path):
     batches = [[(1, 2, "row", False), (1, 1, "doc", False), (2, 1, "doc", False)], [(1, 2, "row", False), (1, 5, "row", False)], [(1, 6, "row", True), (2, 2, "row", False)], [(1, 1, "doc", False)]]
     got = _run(spark, tmp_path, batches, "sid long, seq long, kind string, final boolean", stateful.cursor_stream, "cur").collect()
-    assert sorted((r.sid, r.seq, r.status, r.missing) for r in got) == sorted([(1, 1, "ok", 0), (1, 2, "ok", 0), (2, 1, "ok", 0), (1, 2, "duplicate", 0), (1, 5, "gap", 2), (1, 6, "ok", 0), (2, 2, "ok", 0), (1, 1, "ok", 0)])
+    first = [(1, 1, "ok", 0), (1, 2, "ok", 0), (2, 1, "ok", 0), (1, 2, "duplicate", 0), (1, 5, "gap", 2), (2, 2, "ok", 0)]
+    assert sorted((r.sid, r.seq, r.status, r.missing) for r in got) == sorted([*first, (1, 6, "gap", 3), (1, 1, "stale", 0)])
+    got = _run(spark, tmp_path, batches, "sid long, seq long, kind string, final boolean", lambda d: stateful.cursor_stream(d, lenient=True), "lax").collect()
+    assert sorted((r.sid, r.seq, r.status, r.missing, r.accepted) for r in got) == sorted([(*x, x[2] != "duplicate") for x in [*first, (1, 6, "ok", 0), (1, 1, "ok", 0)]])
+
+
+def test_cursor_stream_checks_bases(spark, tmp_path):
+    batches = [[(1, 1, "doc", None, "a", False), (1, 2, "patch", "a", "b", False)], [(1, 3, "patch", "a", "c", False)], [(1, 3, "patch", "b", "c", True), (2, 1, "patch", "q", None, False)]]
+    make = lambda d: stateful.cursor_stream(d, base="base", state_hash="hash")
+    got = _run(spark, tmp_path, batches, "sid long, seq long, kind string, base string, hash string, final boolean", make, "bases").collect()
+    assert sorted((r.sid, r.seq, r.status) for r in got) == [(1, 1, "ok"), (1, 2, "ok"), (1, 3, "base_mismatch"), (1, 3, "ok"), (2, 1, "no_state")]
+
+
+def test_frame_stream_offsets_stay_short(tmp_path):
+    source = formats._FrameStream({"path": str(tmp_path)})
+    start, seen = source.initialOffset(), []
+    for n in range(5):
+        (tmp_path / f"{9 - n}.bin").write_bytes(b"")
+        os.utime(tmp_path / f"{9 - n}.bin", ns=(1000 + n // 2, 1000 + n // 2))
+        end = source.latestOffset()
+        seen += [p.path[-5:] for p in source.partitions(start, end)]
+        assert len(end["files"]) <= 2
+        start = end
+    assert seen == [f"{9 - n}.bin" for n in range(5)] and source.partitions(start, source.latestOffset()) == []
 
 
 def test_document_stream(spark, tmp_path):
@@ -118,4 +142,4 @@ def test_command_line(tmp_path, capsys):
 def test_frames_beyond_limits():
     with pytest.raises(ValueError):
         frames.split_frames(b"@frame{v=2 len=0}\n\n", strict=True)
-    assert frames.split_frames(b"@frame{" + b" " * (70 << 10))[0][0][10].startswith("FRAME_INVALID")
+    assert frames.split_frames(b"@frame{" + b" " * (70 << 10))[0][0][10] == "HEADER_TOO_LARGE"
