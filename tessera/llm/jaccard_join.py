@@ -193,7 +193,8 @@ def _search(units: DataFrame, live: DataFrame, percent: int) -> DataFrame:
             least[y] = x
         return pa.table({"doc_id": docs, "label": labels, "least": [find(x) for x in labels], "partners": partners}, schema=schema)
 
-    return hold(units.join(live.select("doc_id", "grams"), "doc_id").groupBy("unit").applyInArrow(run, _FOUND))
+    units, rows = settle_rows(units.select("unit", "doc_id", "label"), "units")  # thin; while it is short, sets that no unit asks for are not shuffled
+    return hold(live.select("doc_id", "grams").join(_few(units, rows), "doc_id").groupBy("unit").applyInArrow(run, _FOUND))
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
@@ -214,7 +215,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     dealt by bands of size and pairs of blocks. Only verified links join documents; shared tokens alone never do.
     """
     live = sets.where("prefix is not null").select("doc_id", "n_shingles", "grams", "prefix")
-    posts = live.select("doc_id", "n_shingles", F.explode("prefix").alias("token"))
+    posts = hold(live.select("doc_id", "n_shingles", F.explode("prefix").alias("token")))
     heads = posts.groupBy("token").agg(F.count("*").alias("docs"), F.min(F.struct(F.xxhash64("doc_id").alias("mixed"), "doc_id"))["doc_id"].alias("head"))
     tokens, rows = settle_rows(heads.where("docs > 1").select("token", "docs", "head"), "tokens")
     found = [live.sparkSession.createDataFrame([], _FOUND)]
