@@ -38,14 +38,71 @@ def mapped(fn: Callable[[Any], Any], kind: str = "string", errors: str = "null")
     return run
 
 
+# Flat objects of plain scalars, which most records are, are read and written by Spark's own expressions; all else goes through the readers.
+_PLAIN = r'"[^"\\\x00-\x1f]*"'
+_INT = r"(?!-0(?![0-9]))-?(?:0|[1-9][0-9]{0,14})(?![0-9.eE])"
+_JSON_VALUE = rf"(?:{_PLAIN}|{_INT}|true|false|null)"
+_JSON_PAIR = rf"{_PLAIN}[ \t\n\r]*:[ \t\n\r]*{_JSON_VALUE}"
+_FLAT_JSON = rf"\A[ \t\n\r]*\{{[ \t\n\r]*(?:{_JSON_PAIR}(?:[ \t\n\r]*,[ \t\n\r]*{_JSON_PAIR})*+)?[ \t\n\r]*\}}[ \t\n\r]*\z"
+_WORD = r"[A-Za-z_][A-Za-z0-9_]*"
+_TEXT_VALUE = rf"(?:{_PLAIN}|{_INT}|∅|{_WORD})(?=[ }}])"
+_TEXT_PAIR = rf"(?:{_PLAIN}|{_WORD})={_TEXT_VALUE}"
+_FLAT_TEXT = rf"\A\{{(?:{_TEXT_PAIR}(?: {_TEXT_PAIR})*+)?\}}\z"
+_NULLS, _TRUES, _FALSES = ("null", "none", "nil", "_", "∅"), ("t", "true"), ("f", "false")
+
+
+def inner(c: Column) -> Column:
+    """What lies between the quotes of a plain quoted string."""
+    return F.substr(c, F.lit(2), F.length(c) - 2)
+
+
+def pairs(c: Column, key: str, sep: str, value: str) -> tuple[Column, Column]:
+    """Keys and values, as written, of all pairs in a text whose form has been checked."""
+    pattern = F.lit(rf"({key}){sep}({value})")
+    return F.regexp_extract_all(c, pattern, F.lit(1)), F.regexp_extract_all(c, pattern, F.lit(2))
+
+
+def _known_once(keys: Column) -> Column:
+    return F.size(F.array_distinct(keys)) == F.size(keys)
+
+
+def _flat_from_json(c: Column, options: Options) -> tuple[Column, Column]:
+    from .canon import string_text
+
+    keys, raw = pairs(c, _PLAIN, r"[ \t\n\r]*:[ \t\n\r]*", _JSON_VALUE)
+    value = lambda v: F.when(v.startswith('"'), string_text(inner(v))).when(v == "true", "t").when(v == "false", "f").when(v == "null", options.null).otherwise(v)
+    entries = F.array_sort(F.zip_with(keys, raw, lambda k, v: F.struct(string_text(inner(k)).alias("k"), value(v).alias("v"))))
+    out = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(e["k"], F.lit("="), e["v"])), " "), F.lit("}"))
+    return c.rlike(_FLAT_JSON) & _known_once(keys), out
+
+
+def _flat_to_json(c: Column) -> tuple[Column, Column]:
+    keys, raw = pairs(c, rf"{_PLAIN}|{_WORD}", "=", _TEXT_VALUE)
+    bare = lambda k: F.when(k.startswith('"'), inner(k)).otherwise(k)
+    quoted = lambda v: F.concat(F.lit('"'), v, F.lit('"'))
+    value = lambda v: F.when(v.startswith('"'), v).when(v.isin(*_TRUES), "true").when(v.isin(*_FALSES), "false").when(v.isin(*_NULLS), "null").when(v.rlike(r"\A-?[0-9]"), v).otherwise(quoted(v))
+    keys = F.transform(keys, bare)
+    entries = F.array_sort(F.zip_with(keys, raw, lambda k, v: F.struct(k.alias("k"), value(v).alias("v"))))
+    out = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
+    return c.rlike(_FLAT_TEXT) & _known_once(keys), out
+
+
+def _first(flat: tuple[Column, Column], c: Column, slow: Callable[[Column], Column]) -> Column:
+    """The flat form where it fits; only other texts are sent to Python."""
+    ok, fast = flat
+    return F.when(ok, fast).otherwise(slow(F.when(~ok, c)))
+
+
 def from_json_text(c: Column, options: Options = DEFAULT, marker: str | None = None, errors: str = "null") -> Column:
     """JSON text as canonical loose text."""
-    return mapped(lambda s: values.loose(values.from_json(s, marker), options), errors=errors)(c)
+    slow = mapped(lambda s: values.loose(values.from_json(s, marker), options), errors=errors)
+    return slow(c) if marker or options.keys else _first(_flat_from_json(c, options), c, slow)
 
 
 def to_json_text(c: Column, schema: Schema | None = None, marker: str | None = None, errors: str = "null") -> Column:
     """Loose, typed or packed text as JSON."""
-    return mapped(lambda s: values.to_json(values.parse(s, schema=schema), marker), errors=errors)(c)
+    slow = mapped(lambda s: values.to_json(values.parse(s, schema=schema), marker), errors=errors)
+    return slow(c) if marker else _first(_flat_to_json(c), c, slow)
 
 
 def canon_text(c: Column, options: Options = DEFAULT, typed_mode: bool = False, errors: str = "null") -> Column:

@@ -29,9 +29,10 @@ class KeyDict:
         return {v: k for k, v in self.short.items()}.get(key, key)
 
     def merge(self, other: KeyDict) -> KeyDict:
+        """Both; of the other's entries only those whose key and short form are free."""
         out = KeyDict(dict(self.short))
         for k, v in other.short.items():
-            if k not in out.short:
+            if k not in out.short and v not in out.short.values():
                 out.add(k, v)
         return out
 
@@ -50,6 +51,29 @@ class KeyDict:
         return out
 
 
+#: The short forms that writers and readers of the format agree on, by domain.
+LLM_KEYS = KeyDict({
+    "content": "c", "role": "r", "messages": "m", "assistant": "a", "system": "s", "user": "u", "function": "fn", "tool": "tl",
+    "model": "md", "temperature": "tp", "max_tokens": "mx", "top_p": "pp", "frequency_penalty": "fp", "presence_penalty": "pr", "stop": "st", "stream": "sm", "n": "n",
+    "tool_calls": "tc", "tool_call_id": "ti", "function_call": "fc", "name": "nm", "arguments": "ag", "type": "ty",
+    "choices": "ch", "message": "mg", "finish_reason": "fr", "usage": "us", "prompt_tokens": "pt", "completion_tokens": "ct", "total_tokens": "tt", "index": "ix", "delta": "dt",
+    "id": "id", "object": "ob", "created": "cr", "timestamp": "ts",
+})
+TOOL_KEYS = KeyDict({
+    "type": "ty", "properties": "p", "required": "rq", "description": "d", "default": "df", "enum": "en", "items": "it", "minimum": "mn", "maximum": "mx", "minLength": "ml", "maxLength": "xl", "pattern": "pt", "format": "fm",
+    "oneOf": "oo", "anyOf": "ao", "allOf": "al", "additionalProperties": "ap",
+    "string": "s", "number": "n", "integer": "i", "boolean": "b", "array": "a", "object": "o", "null": "z",
+    "name": "nm", "parameters": "pm", "returns": "rt",
+})
+ML_KEYS = KeyDict({
+    "shape": "sh", "dtype": "dt", "data": "da", "strides": "st", "offset": "of", "device": "dv",
+    "float32": "f32", "float64": "f64", "float16": "f16", "bfloat16": "bf16", "int32": "i32", "int64": "i64", "int8": "i8", "uint8": "u8",
+    "weights": "w", "bias": "bi", "input": "in", "output": "ou", "hidden": "hi", "embedding": "em", "attention": "at", "layer": "ly", "norm": "no", "activation": "ac", "dropout": "dr", "gradient": "gr", "loss": "lo", "optimizer": "op",
+    "learning_rate": "lr", "batch_size": "bs", "epochs": "ep",
+})
+ALL_KEYS = LLM_KEYS.merge(TOOL_KEYS).merge(ML_KEYS)
+
+
 def _renamed(v, name):
     if isinstance(v, dict):
         return {name(k): _renamed(x, name) for k, x in v.items()}

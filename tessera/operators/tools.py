@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import values
+from ..functions.canon import is_bare, string_text
+from ..functions.text import inner, pairs
 from .events import EventReader
 from .ordered import by_key
 
@@ -50,12 +52,23 @@ def _kind(value: Column) -> Column:
     )
 
 
+_WORD = r"[A-Za-z_][A-Za-z0-9_]*"
+_VALUE = r'(?:"[^"\\\x00-\x1f]*"|(?!-0(?![0-9]))-?(?:0|[1-9][0-9]{0,17})|[A-Za-z_][A-Za-z0-9_]*)(?=[\s}])'
+#: A call of plain words, whole numbers and strings without escapes; others go to the reader.
+_FLAT_CALL = rf"\A(?:{_WORD})?\{{(?:\s*{_WORD}[=:]\s*{_VALUE})*+\s*\}}\z"
+
+
 def parse_calls(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Calls ``tool{arg=value …}`` or ``{action=tool arg=value …}`` as ``key, tool, args`` (map of canonical text), or ``problem``."""
+    """Calls ``tool{arg=value …}`` or ``{action=tool arg=value …}`` as ``key, tool, args`` (map of canonical text), or ``problem``.
+
+    Flat calls are read by Spark's own expressions; only others are sent to Python.
+    """
 
     def one(t: str | None) -> tuple:
+        if t is None:
+            return None, None, None
         try:
-            v = values.parse(t or "")
+            v = values.parse(t)
             if isinstance(v, values.Struct):
                 name, args = v.name, v.fields
             elif isinstance(v, dict) and (k := next((k for k in ("action", "tool") if k in v), None)):
@@ -71,8 +84,23 @@ def parse_calls(df: DataFrame, key: str, text: str) -> DataFrame:
         rows = [one(t) for t in s]
         return pd.DataFrame([(a, None if b is None else json.dumps(b), c) for a, b, c in rows], columns=["tool", "args", "problem"], dtype=object)
 
-    d = df.withColumn("_c", run(F.col(text)))
-    return d.select(key, F.col("_c.tool").alias("tool"), F.from_json("_c.args", "map<string,string>").alias("args"), F.col("_c.problem").alias("problem"))
+    c = F.coalesce(F.col(text), F.lit(""))
+    name = F.regexp_extract(c, rf"\A({_WORD})\{{", 1)
+    keys, raw = pairs(c, _WORD, r"[=:]\s*", _VALUE)
+    canonical = lambda v: (
+        F.when(v.startswith('"'), string_text(inner(v))).when(v.isin("t", "true"), "t").when(v.isin("f", "false"), "f").when(v.isin("null", "none", "nil", "_"), "∅").when(v.rlike(r"\A-?[0-9]"), v).otherwise(string_text(v))
+    )
+    said = F.coalesce(*(F.try_element_at(raw, F.nullif(F.array_position(keys, k), F.lit(0)).cast("int")) for k in ("action", "tool")))
+    said = F.when(said.startswith('"'), inner(said)).when(is_bare(said), said)  # a word of another kind is none
+    flat = c.rlike(_FLAT_CALL) & (F.size(F.array_distinct(keys)) == F.size(keys)) & ((name != "") | said.isNotNull())
+    led = F.when(F.array_contains(keys, "action"), "action").otherwise("tool")
+    args = F.map_from_arrays(keys, F.transform(raw, canonical))
+    d = df.withColumn("_flat", F.coalesce(flat, F.lit(False))).withColumn("_c", run(F.when(~F.col("_flat"), c)))
+    return d.select(
+        key, F.when(F.col("_flat"), F.when(name != "", name).otherwise(said)).otherwise(F.col("_c.tool")).alias("tool"),
+        F.when(F.col("_flat"), F.when(name != "", args).otherwise(F.map_filter(args, lambda k, v: k != led))).otherwise(F.from_json("_c.args", "map<string,string>")).alias("args"),
+        F.col("_c.problem").alias("problem"),
+    )
 
 
 def unquoted(c: Column) -> Column:
@@ -81,35 +109,45 @@ def unquoted(c: Column) -> Column:
     return F.when(c.startswith('"'), F.replace(F.replace(inner, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))).otherwise(c)
 
 
+#: Rows of a registry that go to every task at most.
+REGISTRY_ROWS = 100_000
+
+
 def validate_calls(calls: DataFrame, tools: DataFrame, key: str) -> DataFrame:
     """``key, tool, valid, errors`` (sorted codes with their argument) of parsed calls.
 
-    Arguments meet the registry in one join, required arguments in another, and tools unknown are an anti join's rows; the registry
-    is small, so Spark broadcasts it by its size.
+    Each call meets its tool's rules, gathered in an array, in one join (broadcast while the registry is short), and is checked in one
+    projection: nothing is shuffled.
     """
-    names = tools.select("tool").distinct()
-    c = calls.join(names.withColumn("_known", F.lit(True)), "tool", "left")
-    args = c.where("_known").select(key, "tool", F.explode("args").alias("arg", "value"))
-    spec = tools.select("tool", "arg", *(F.col(x).alias(f"_{x}") for x in ("type", "min", "max", "min_len", "max_len", "pattern", "enum")))
-    a = args.join(spec, ["tool", "arg"], "left")
-    kind, num, text = _kind(F.col("value")), F.col("value").try_cast("double"), unquoted(F.col("value"))
-    string = F.col("_type") == "string"
-    code = (
-        F.when(F.col("_type").isNull(), "UNKNOWN_FIELD")
-        .when((kind != "null") & ~((kind == F.col("_type")) | (F.col("_type") == "float") & (kind == "int")), "INVALID_TYPE")
-        .when(num < F.col("_min"), "CONSTRAINT_MIN").when(num > F.col("_max"), "CONSTRAINT_MAX")
-        .when(string & ((F.length(text) < F.col("_min_len")) | (F.length(text) > F.col("_max_len"))), "CONSTRAINT_LEN")
-        .when(string & F.col("_pattern").isNotNull() & ~F.rlike(text, F.col("_pattern")), "CONSTRAINT_PATTERN")
-        .when(string & F.col("_enum").isNotNull() & ~F.array_contains("_enum", text), "CONSTRAINT_ENUM")
+    columns = ("arg", "type", "required", "min", "max", "min_len", "max_len", "pattern", "enum")
+    rules_of = tools.groupBy("tool").agg(F.collect_list(F.when(F.col("arg").isNotNull(), F.struct(*columns))).alias("_rules"))
+    rules_of = F.broadcast(rules_of) if tools.count() <= REGISTRY_ROWS else rules_of
+    j = calls.join(rules_of, "tool", "left")
+
+    def fault(e: Column) -> Column:
+        r = F.try_element_at(F.filter("_rules", lambda r: r["arg"] == e["key"]), F.lit(1))
+        value = e["value"]
+        kind, num, text = _kind(value), value.try_cast("double"), unquoted(value)
+        string = r["type"] == "string"
+        code = (
+            F.when(r.isNull(), "UNKNOWN_FIELD")
+            .when((kind != "null") & ~((kind == r["type"]) | (r["type"] == "float") & (kind == "int")), "INVALID_TYPE")
+            .when(num < r["min"], "CONSTRAINT_MIN").when(num > r["max"], "CONSTRAINT_MAX")
+            .when(string & ((F.length(text) < r["min_len"]) | (F.length(text) > r["max_len"])), "CONSTRAINT_LEN")
+            .when(string & r["pattern"].isNotNull() & ~F.rlike(text, r["pattern"]), "CONSTRAINT_PATTERN")
+            .when(string & r["enum"].isNotNull() & ~F.array_contains(r["enum"], text), "CONSTRAINT_ENUM")
+        )
+        return F.concat(code, F.lit(":"), e["key"])
+
+    none = F.array().cast("array<string>")
+    wrong = F.filter(F.transform(F.map_entries("args"), fault), lambda x: x.isNotNull())
+    missing = F.transform(F.filter("_rules", lambda r: r["required"] & ~F.map_contains_key(F.col("args"), r["arg"])), lambda r: F.concat(F.lit("MISSING_REQUIRED:"), r["arg"]))
+    errors = (
+        F.when(F.col("problem").isNotNull(), F.array(F.when(F.col("problem") == _NO_TOOL, "MISSING_TOOL").otherwise("INVALID_SYNTAX")))
+        .when(F.col("_rules").isNull(), F.array(F.lit("UNKNOWN_TOOL")))
+        .otherwise(F.sort_array(F.concat(F.coalesce(wrong, none), F.coalesce(missing, none))))
     )
-    wrong = a.select(key, F.concat_ws(":", code, F.when(code.isNotNull(), F.col("arg"))).alias("e")).where("e <> ''")
-    needed = tools.where("required").select("tool", "arg")
-    missing = c.where("_known").join(needed, "tool").where(~F.coalesce(F.array_contains(F.map_keys("args"), F.col("arg")), F.lit(False))).select(key, F.concat(F.lit("MISSING_REQUIRED:"), "arg").alias("e"))
-    unknown = calls.where("problem is null").join(names, "tool", "left_anti").select(key, F.lit("UNKNOWN_TOOL").alias("e"))
-    bad = calls.where("problem is not null").select(key, F.when(F.col("problem") == _NO_TOOL, "MISSING_TOOL").otherwise("INVALID_SYNTAX").alias("e"))
-    errors = wrong.unionByName(missing).unionByName(unknown).unionByName(bad).groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("errors"))
-    out = calls.select(key, "tool").join(errors, key, "left")
-    return out.select(key, "tool", F.col("errors").isNull().alias("valid"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
+    return j.withColumn("errors", errors).select(key, "tool", (F.size("errors") == 0).alias("valid"), "errors")
 
 
 # --- token by token
@@ -247,7 +285,7 @@ class TokenValidator:
         if self.v.tool is None:
             return self._error("MISSING_TOOL")
         for arg, rule in self.tools.get(self.v.tool, {}).items():
-            if rule.get("required") and self.fields.get(arg) is None:
+            if rule.get("required") and arg not in self.fields:
                 self._error(f"MISSING_REQUIRED:{arg}")
         return None
 

@@ -165,6 +165,15 @@ def abbreviated_orders(spark, sf_dir):
     return d.select("o_orderkey", short.alias("short"), abbreviate.expand_text(short, _ABBREVIATIONS).alias("long"))
 
 
+@query(f"""SELECT conv_id, turn, '{{c=' || {_str('text')} || ' ix=' || turn || ' r=' || {_str('role')} || '}}' AS short, '{{content=' || {_str('text')} || ' index=' || turn || ' role=' || {_str('role')} || '}}' AS long FROM conversations""")
+def abbreviated_messages(spark, sf_dir):
+    """Messages by the dictionary of their domain, and back."""
+    d = table(spark, sf_dir, "conversations")
+    t = canon.loose_text(F.struct(F.col("text").alias("content"), F.col("turn").alias("index"), F.col("role").alias("role")), T.StructType([T.StructField("content", T.StringType()), T.StructField("index", T.LongType()), T.StructField("role", T.StringType())]))
+    short = abbreviate.abbreviate_text(t, abbreviate.ALL_KEYS)
+    return d.select("conv_id", "turn", short.alias("short"), abbreviate.expand_text(short, abbreviate.ALL_KEYS).alias("long"))
+
+
 @query("""SELECT n_nationkey, '@doc v2' || CASE n_nationkey % 3 WHEN 1 THEN ' @mode=tab' WHEN 2 THEN ' @mode=packed @keys=fid' ELSE '' END || ' @target=n' || n_nationkey AS head, 'v2' AS version,
 CASE n_nationkey % 3 WHEN 1 THEN 'tabular' WHEN 2 THEN 'packed' ELSE 'auto' END AS mode, CASE n_nationkey % 3 WHEN 2 THEN 'fid' ELSE 'wire' END AS keys, 'n' || n_nationkey AS target FROM nation""")
 def document_headers(spark, sf_dir):
