@@ -210,9 +210,10 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
 
     Two similar sets share a token (n-gram) of their prefixes, so a list of all documents with a token in their prefix holds all its partners.
     Lists with the same head (the document whose id hashes lowest) are searched together in one unit, so that documents with many tokens in
-    common meet once. Long lists are thinned first: in a quick turn a document goes with one of its long lists to a unit of UNIT_DOCS, and what
-    the search verifies there gets one label. Then the whole job: units that still hold several labels are searched; one beyond the bounds is
-    dealt by bands of size and pairs of blocks. Only verified links join documents; shared tokens alone never do.
+    common meet once. Long lists are thinned first, in quick turns: a document goes with one of its long lists to a unit of UNIT_DOCS, and what
+    the search verifies there gets one label; in the second turn the list's document with the most links goes to all its units, since many
+    copies of one document are often linked through it alone. Then the whole job: units that still hold several labels are searched, those beyond
+    the bounds in parts (``_dealt``). Only verified links join documents; shared tokens alone never do.
     """
     live = sets.where("prefix is not null").select("doc_id", "n_shingles", "grams", "prefix")
     posts = hold(live.select("doc_id", "n_shingles", F.explode("prefix").alias("token")))
@@ -223,31 +224,56 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     long_ = tokens.where(F.col("docs") > UNIT_DOCS)
     n_long = long_.count()
     for turn in range(TURNS if n_long else 0):
-        shared = posts.join(_few(long_.select("token", "docs"), n_long), "token").join(labels, "doc_id")
-        several = shared.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+        shared = posts.join(_few(long_.select("token", "docs"), n_long), "token").join(labels, "doc_id").withColumn("parts", F.ceil(F.col("docs") / UNIT_DOCS).cast("int"))
+        lists = shared.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        if turn:
+            links_of = _pairs(found).select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("links"))
+            linked = shared.join(links_of, "doc_id")
+            hubs = linked.groupBy("token", "parts").agg(F.max(F.struct("links", "doc_id", "label")).alias("hub"))
         order = -F.col("docs") if turn == 0 else F.xxhash64("token", F.lit(turn))
-        choice = shared.join(_few(several, n_long), "token").groupBy("doc_id", "label").agg(F.min(F.struct(order.alias("order"), "token", "docs")).alias("c"))
-        part = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.ceil(F.col("c.docs") / UNIT_DOCS))
-        found.append(_search(choice.select("doc_id", "label", F.xxhash64("c.token", part).alias("unit")), live, percent))
+        choice = shared.join(_few(lists.where("lo <> hi").select("token"), n_long), "token").groupBy("doc_id", "label").agg(F.min(F.struct(order.alias("order"), "token", "parts")).alias("c"))
+        units = choice.select("doc_id", "label", "c.token", F.pmod(F.xxhash64("doc_id", F.lit(turn)), "c.parts").cast("int").alias("part"))
+        if turn:
+            units = units.unionByName(hubs.select("hub.doc_id", "hub.label", "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))).distinct()
+        found.append(_search(units.select("doc_id", "label", F.xxhash64("token", "part").alias("unit")), live, percent))
         moved, n = settle_rows(found[-1].where("least < label").groupBy("label").agg(F.min("least").alias("least")), "labels")
         labels = labels.join(_few(moved, n), "label", "left").select("doc_id", F.coalesce("least", "label").alias("label"))
     met = posts.join(_few(tokens.select("token", "head"), rows), "token").select("head", "doc_id", "n_shingles").distinct()
     met = met.join(labels, "doc_id") if n_long else met.withColumn("label", F.col("doc_id"))
-    over = (F.col("docs") > UNIT_DOCS) | (F.col("grams") > UNIT_GRAMS)
-    units = met.groupBy("head").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    units, rows = settle_rows(units.where("lo <> hi").select("head", over.alias("big")), "units")
+    heads = met.groupBy("head").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    heads, rows = settle_rows(heads.where("lo <> hi").select("head", ((F.col("docs") > UNIT_DOCS) | (F.col("grams") > UNIT_GRAMS)).alias("big")), "heads")
+    whole = met.join(_few(heads.where("not big").select("head"), rows), "head").select("doc_id", "label", F.xxhash64("head").alias("unit"))
+    n_big = heads.where("big").count()
+    if n_big:
+        whole = whole.unionByName(_dealt(met.join(_few(heads.where("big").select("head"), n_big), "head"), percent))
+    found.append(_search(whole, live, percent))
+    return _pairs(found)
+
+
+def _dealt(met: DataFrame, percent: int) -> DataFrame:
+    """Units (``doc_id, label, unit``) in which all documents meet that share a head and may be partners, of heads beyond the bounds.
+
+    Bands of size come first: partners lie in one of two neighbouring bands. A band's documents are dealt into blocks of half a unit, and each
+    pair of blocks is a unit. Documents of one label are joined already, so a large label gets blocks of its own, and blocks of one label do not meet:
+    one large group of copies with a few others costs its documents one unit each.
+    """
     step = math.log(100 / percent) * 1.0001 + 1e-6  # sets whose sizes differ by more are no partners
     band = F.floor(F.log("n_shingles") / step).cast("int")
-    banded = met.join(_few(units, rows), "head").select("head", "doc_id", "label", "n_shingles", F.explode(F.when(F.col("big"), F.array(band, band - 1)).otherwise(F.array(F.lit(-9)))).alias("band"))
-    # a unit beyond the bounds is dealt into blocks of half a unit, and each pair of them meets
-    splits = banded.groupBy("head", "band").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"))
-    blocks = F.when(over, F.ceil(2 * F.greatest(F.col("docs") / UNIT_DOCS, F.col("grams") / UNIT_GRAMS))).otherwise(1).cast("int")
-    splits, rows = settle_rows(splits.select("head", "band", blocks.alias("s")), "splits")
-    i = F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")
-    placed = banded.join(_few(splits, rows), ["head", "band"]).select("head", "band", "doc_id", "label", "s", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("j"))
-    unit = F.xxhash64("head", "band", F.least("i", "j"), F.greatest("i", "j")).alias("unit")
-    found.append(_search(placed.where("s = 1 or i <> j").select("doc_id", "label", unit), live, percent))
-    return _pairs(found)
+    banded = met.select("head", "doc_id", "label", "n_shingles", F.explode(F.array(band, band - 1)).alias("band"))
+    size = F.greatest(F.col("docs") / UNIT_DOCS, F.col("grams") / UNIT_GRAMS)
+    sums = (F.sum("docs").alias("docs"), F.sum("grams").alias("grams"))
+    by_label = banded.groupBy("head", "band", "label").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"))
+    by_label = by_label.withColumn("owned", size >= 0.5).withColumn("owner", F.when(F.col("owned"), F.col("label")).otherwise(0))
+    groups, rows = settle_rows(by_label.groupBy("head", "band", "owned", "owner").agg(*sums).select("head", "band", "owned", "owner", F.ceil(2 * size).cast("int").alias("parts")), "blocks")
+    every = groups.groupBy("head", "band").agg(F.collect_list(F.struct("owned", "owner", "parts")).alias("every"), F.sum("parts").alias("n"))  # an entry a group of blocks
+    large = groups.where("owned").select("head", "band", F.col("owner").alias("label"), "owned", "owner")
+    placed = banded.join(_few(large, rows), ["head", "band", "label"], "left").na.fill({"owned": False, "owner": 0})
+    placed = placed.join(_few(groups, rows), ["head", "band", "owned", "owner"]).join(_few(every, rows), ["head", "band"])
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    others = F.filter("every", lambda o: ~F.col("owned") | ~o["owned"] | (o["owner"] != F.col("owner")))
+    blocks = F.flatten(F.transform(others, lambda o: F.transform(F.sequence(F.lit(0), o["parts"] - 1), lambda q: F.xxhash64(o["owned"], o["owner"], q))))
+    pair = placed.select("head", "band", "doc_id", "label", "n", F.xxhash64("owned", "owner", "part").alias("i"), F.explode(blocks).alias("j"))
+    return pair.where("n = 1 or i <> j").select("doc_id", "label", F.xxhash64("head", "band", F.least("i", "j"), F.greatest("i", "j")).alias("unit"))
 
 
 def _pairs(found: list[DataFrame]) -> DataFrame:
