@@ -19,7 +19,7 @@ VOCABULARY = "byte_bpe_50k"
 #: The id after each document.
 END = 0
 #: Each value range of the sweeps is this many times as wide as the one below.
-WIDER = 3
+WIDER = 8
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -187,16 +187,17 @@ def supersteps(lengths: DataFrame, context: int = CONTEXT) -> DataFrame:
             break
         held = {r["r"] for r in summary if r["kind"] == 1}
         new = {r["r"] for r in summary if r["kind"] == 1 and r["tried"] == 1}
-        place, busy = F.when(F.col("kind") == 1, home), set()
+        busy: set[int] = set()
+        place = [[WAIT] * (len(bounds) + 2) for _ in range(len(bounds) + 1)]  # of a range's documents, by the range they have tried last
         for r, tried in waiting:
             open_or_wait = OPEN if r == waiting[-1][0] else WAIT
-            at = min([g for g in new if r <= g <= tried] + [g for g in held if g >= r and g > tried], default=open_or_wait)
-            place = place.when((home == r) & (F.col("tried") == tried), at)
-            busy.add(at)
-        moving = state.where("kind < 2").withColumn("place", place.cast("int"))
-        swept = moving.where(F.col("place").isin(*busy - {WAIT})).repartition(len(bounds) + 1, "place").groupBy("place").applyInArrow(_stepper(context, opened, bounds), _STATE)
-        still = moving.where(~F.col("place").isin(*busy - {WAIT})).withColumn("tried", F.when(F.col("kind") == 1, 0).otherwise(F.col("tried")))
-        state = swept.unionByName(still.drop("place"))
+            place[r][tried + 1] = min([g for g in new if r <= g <= tried] + [g for g in held if g >= r and g > tried], default=open_or_wait)
+            busy.add(place[r][tried + 1])
+        at = F.when(F.col("kind") == 1, home).otherwise(F.element_at(F.lit([x for row in place for x in row]), (home * (len(bounds) + 2) + F.col("tried") + 2).cast("int")))
+        moving = state.where("kind < 2").withColumn("place", at.cast("int")).withColumn("busy", F.array_contains(F.lit(sorted(busy - {WAIT})), F.col("place")))
+        swept = moving.where("busy").repartition(len(bounds) + 1, "place").groupBy("place").applyInArrow(_stepper(context, opened, bounds), _STATE)
+        still = moving.where("not busy").withColumn("tried", F.when(F.col("kind") == 1, 0).otherwise(F.col("tried")))
+        state = swept.unionByName(still.drop("place", "busy"))
     return reduce(DataFrame.unionByName, done).select(F.col("size").alias("length"), F.col("first").alias("rank"), "n", "seq", F.col("at").alias("offset"))
 
 
