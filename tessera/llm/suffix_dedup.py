@@ -188,6 +188,7 @@ _SPOT = np.dtype([("doc", "<i8"), ("start", "<i8")])
 def suspects(b: DataFrame, sketch: DataFrame, at, length: int) -> DataFrame:
     """The strings around anchors that the sketch holds for repeated; equal ones of a block are one row with all their places."""
     schema = pa_schema(_PIECES)
+    hot_bits = max(at.segment_bits, (2 * partitions(b.sparkSession) - 1).bit_length())  # digests are dealt at least as finely as anchors
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.name: [] for f in schema}
@@ -217,7 +218,7 @@ def suspects(b: DataFrame, sketch: DataFrame, at, length: int) -> DataFrame:
         for (anchor, content), spots in seen.items():
             for name, v in zip(out, (anchor, block, len(spots), np.array(spots, _SPOT).tobytes(), content), strict=True):
                 out[name].append(v)
-        for row in _by_segment(windows, at.segment_bits):
+        for row in _by_segment(windows, hot_bits):
             for name, v in zip(out, (row[0], block, *row[1:]), strict=True):
                 out[name].append(v)
         return pa.table(out, schema=schema)
