@@ -208,17 +208,22 @@ def _variant(c: Column, t: T.StructType, down, options: Options) -> Column:
     return whens
 
 
-def table_text(c: Column, e: T.StructType, options: Options = DEFAULT, exact: bool = True) -> Column:
-    """An array of structs as a table: header with numbers of rows and columns, a piped row each, ``@end``."""
+def table_row(x, e: T.StructType, options: Options = DEFAULT, exact: bool = True) -> Column:
+    """A struct's line in a table; ``x`` gives a column for a name."""
+    cells = [F.replace(loose_text(x[f.name], f.dataType, options, _kind(f), exact=exact), F.lit("|"), F.lit("\\|")) for f in _sorted_fields(e)]
+    return F.concat(F.lit("|"), F.concat_ws("|", *cells), F.lit("|\n"))
+
+
+def table_lines(n: Column, lines: Column, e: T.StructType, options: Options = DEFAULT) -> Column:
+    """A table of ``n`` rows whose lines are put together."""
     index = {k: i for i, k in enumerate(options.keys)}
-    fields = _sorted_fields(e)
-    names = " ".join(f"#{index[f.name]}" if f.name in index else values.string_text(f.name) for f in fields)
+    names = " ".join(f"#{index[f.name]}" if f.name in index else values.string_text(f.name) for f in _sorted_fields(e))
+    return F.concat(F.lit("@tab _ rows="), n.cast("string"), F.lit(f" cols={len(e.fields)} [{names}]\n"), lines, F.lit("@end"))
 
-    def row(x: Column) -> Column:
-        cells = [F.replace(loose_text(x[f.name], f.dataType, options, _kind(f), exact=exact), F.lit("|"), F.lit("\\|")) for f in fields]
-        return F.concat(F.lit("|"), F.concat_ws("|", *cells), F.lit("|\n"))
 
-    return F.concat(F.lit("@tab _ rows="), F.size(c).cast("string"), F.lit(f" cols={len(fields)} [{names}]\n"), F.array_join(F.transform(c, row), ""), F.lit("@end"))
+def table_text(c: Column, e: T.StructType, options: Options = DEFAULT, exact: bool = True) -> Column:
+    """An array of structs as a table: header with numbers of rows and columns, a piped row each, ``@end``."""
+    return table_lines(F.size(c), F.array_join(F.transform(c, lambda x: table_row(x, e, options, exact)), ""), e, options)
 
 
 def typed_text(c: Column, t: T.DataType, kind: str = "", name: str = "", wire: bool = False, exact: bool = True) -> Column:

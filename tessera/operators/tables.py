@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import values
-from ..functions.canon import loose_text, table_text
+from ..functions.canon import loose_text, table_lines, table_row, table_text
 from ..plans.schema import Schema
 from ..values import DEFAULT, Options
 
@@ -21,10 +21,16 @@ def tab_aggregate(df: DataFrame, keys: list[str], cols: list[str], order: list[s
     A group's text is one string in one row, so this is for groups of bounded size; write a whole table with the table sink.
     """
     e = T.StructType([df.schema[c] for c in cols])
-    row = F.struct(*(F.col(c) for c in cols))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), row.alias("r")))), lambda x: x["r"])
-    g = df.groupBy(*keys).agg(rows.alias("_rows"))
-    return g.select(*keys, loose_text(F.col("_rows"), T.ArrayType(e), options).alias(name))
+    tabular = options.auto_tabular and 0 < len(cols) <= options.max_cols
+    # a row's line is made before the groups meet, in generated code; inside an array it would be interpreted
+    line = table_row({c: F.col(f"`{c}`") for c in cols}, e, options) if tabular else F.lit(None).cast("string")
+    item = F.struct(F.struct(*order).alias("o"), F.struct(*(F.col(f"`{c}`") for c in cols)).alias("r"), line.alias("line"))
+    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
+    rows = F.transform("_rows", lambda x: x["r"])
+    listed = loose_text(rows, T.ArrayType(e), options)
+    if tabular:
+        listed = F.when(F.size("_rows") >= options.min_rows, table_lines(F.size("_rows"), F.array_join(F.transform("_rows", lambda x: x["line"]), ""), e, options)).otherwise(listed)
+    return g.select(*keys, listed.alias(name))
 
 
 def table_header(text: Column) -> dict[str, Column]:
