@@ -210,42 +210,40 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
 
     Two similar sets share a token (n-gram) of their prefixes, so a list of all documents with a token in their prefix holds all its partners.
     Lists with the same head (the document whose id hashes lowest) are searched together in one unit, so that documents with many tokens in
-    common meet once. Long lists are thinned first, in quick turns: a document goes with one of its long lists to a unit of UNIT_DOCS, and what
-    the search verifies there gets one label; in the second turn the list's document with the most links goes to all its units, since many
+    common meet once. Large units are thinned first, in quick turns: a document goes with one of its large units to a part of it of UNIT_DOCS, and what
+    the search verifies there gets one label; in the second turn the unit's document with the most links goes to all its parts, since many
     copies of one document are often linked through it alone. Then the whole job: units that still hold several labels are searched, those beyond
     the bounds in parts (``_dealt``). Only verified links join documents; shared tokens alone never do.
     """
     live = sets.where("prefix is not null").select("doc_id", "n_shingles", "grams", "prefix")
     posts = hold(live.select("doc_id", "n_shingles", F.explode("prefix").alias("token")))
-    heads = posts.groupBy("token").agg(F.count("*").alias("docs"), F.min(F.struct(F.xxhash64("doc_id").alias("mixed"), "doc_id"))["doc_id"].alias("head"))
-    tokens, rows = settle_rows(heads.where("docs > 1").select("token", "docs", "head"), "tokens")
+    tokens = posts.groupBy("token").agg(F.count("*").alias("docs"), F.min(F.struct(F.xxhash64("doc_id").alias("mixed"), "doc_id"))["doc_id"].alias("head"))
+    tokens, rows = settle_rows(tokens.where("docs > 1").select("token", "head"), "tokens")
+    # thin from here on: a row for each head that a document meets under
+    met, _ = settle_rows(posts.join(_few(tokens, rows), "token").select("head", "doc_id", "n_shingles").distinct(), "met")
+    heads = met.groupBy("head").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"))
+    heads, n_heads = settle_rows(heads.select("head", ((F.col("docs") > UNIT_DOCS) | (F.col("grams") > UNIT_GRAMS)).alias("big"), F.greatest(F.ceil(F.col("docs") / UNIT_DOCS), F.ceil(F.col("grams") / UNIT_GRAMS)).cast("int").alias("parts")), "heads")
     found = [live.sparkSession.createDataFrame([], _FOUND)]
-    labels = live.select("doc_id", F.col("doc_id").alias("label"))
-    long_ = tokens.where(F.col("docs") > UNIT_DOCS)
-    n_long = long_.count()
-    for turn in range(TURNS if n_long else 0):
-        shared = posts.join(_few(long_.select("token", "docs"), n_long), "token").join(labels, "doc_id").withColumn("parts", F.ceil(F.col("docs") / UNIT_DOCS).cast("int"))
-        lists = shared.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    n_big = heads.where("big").count()
+    labelled = met.withColumn("label", F.col("doc_id"))
+    for turn in range(TURNS if n_big else 0):
+        shared, _ = settle_rows(labelled.join(_few(heads.where("big").drop("big"), n_big), "head"), "shared")
+        several = shared.groupBy("head").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("head")
+        order = -F.col("parts") if turn == 0 else F.xxhash64("head", F.lit(turn))
+        choice = shared.join(_few(several, n_big), "head").groupBy("doc_id", "label").agg(F.min(F.struct(order.alias("order"), "head", "parts")).alias("c"))
+        units = choice.select("doc_id", "label", "c.head", F.pmod(F.xxhash64("doc_id", F.lit(turn)), "c.parts").cast("int").alias("part"))
         if turn:
             links_of = _pairs(found).select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("links"))
-            linked = shared.join(links_of, "doc_id")
-            hubs = linked.groupBy("token", "parts").agg(F.max(F.struct("links", "doc_id", "label")).alias("hub"))
-        order = -F.col("docs") if turn == 0 else F.xxhash64("token", F.lit(turn))
-        choice = shared.join(_few(lists.where("lo <> hi").select("token"), n_long), "token").groupBy("doc_id", "label").agg(F.min(F.struct(order.alias("order"), "token", "parts")).alias("c"))
-        units = choice.select("doc_id", "label", "c.token", F.pmod(F.xxhash64("doc_id", F.lit(turn)), "c.parts").cast("int").alias("part"))
-        if turn:
-            units = units.unionByName(hubs.select("hub.doc_id", "hub.label", "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))).distinct()
-        found.append(_search(units.select("doc_id", "label", F.xxhash64("token", "part").alias("unit")), live, percent))
+            hubs = shared.join(links_of, "doc_id").groupBy("head", "parts").agg(F.max(F.struct("links", "doc_id", "label")).alias("hub"))
+            units = units.unionByName(hubs.select("hub.doc_id", "hub.label", "head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))).distinct()
+        found.append(_search(units.select("doc_id", "label", F.xxhash64("head", "part").alias("unit")), live, percent))
         moved, n = settle_rows(found[-1].where("least < label").groupBy("label").agg(F.min("least").alias("least")), "labels")
-        labels = labels.join(_few(moved, n), "label", "left").select("doc_id", F.coalesce("least", "label").alias("label"))
-    met = posts.join(_few(tokens.select("token", "head"), rows), "token").select("head", "doc_id", "n_shingles").distinct()
-    met = met.join(labels, "doc_id") if n_long else met.withColumn("label", F.col("doc_id"))
-    heads = met.groupBy("head").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("grams"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    heads, rows = settle_rows(heads.where("lo <> hi").select("head", ((F.col("docs") > UNIT_DOCS) | (F.col("grams") > UNIT_GRAMS)).alias("big")), "heads")
-    whole = met.join(_few(heads.where("not big").select("head"), rows), "head").select("doc_id", "label", F.xxhash64("head").alias("unit"))
-    n_big = heads.where("big").count()
+        labelled = labelled.join(_few(moved, n), "label", "left").select("head", "doc_id", "n_shingles", F.coalesce("least", "label").alias("label"))
+    several = labelled.groupBy("head").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("head")
+    open_ = heads.join(_few(several, n_heads), "head")
+    whole = labelled.join(_few(open_.where("not big").select("head"), n_heads), "head").select("doc_id", "label", F.xxhash64("head").alias("unit"))
     if n_big:
-        whole = whole.unionByName(_dealt(met.join(_few(heads.where("big").select("head"), n_big), "head"), percent))
+        whole = whole.unionByName(_dealt(labelled.join(_few(open_.where("big").select("head"), n_big), "head"), percent))
     found.append(_search(whole, live, percent))
     return _pairs(found)
 
