@@ -111,51 +111,29 @@ def _faulty(raw: bytes, error: str, strict: bool) -> tuple:
     return (None, None, None, -1, len(raw), raw, None, None, 0, False, error)
 
 
-#: One whole frame as senders write it; the JVM reads such values, other ones go to ``split_frames``.
-_ONE_FRAME = rf"\A@frame\{{v=1 sid=[0-9]{{1,18}} seq=[0-9]{{1,18}} kind=(?:{'|'.join(KINDS)}) len=[0-9]{{1,7}}(?: crc=[0-9a-f]{{8}})?(?: base=sha256:[0-9a-f]{{64}})?(?: final=true)?\}}\z"
-
-
 def decode(df: DataFrame, column: str, **how: Any) -> DataFrame:
-    """A row for each frame of each value of a binary column: the other columns, ``pos`` and FRAME. A cut-off last frame is a faulty row.
-
-    Values of one plain frame are read by Spark's own expressions; only others are sent to Python.
-    """
+    """A row for each frame of each value of a binary column: the other columns, ``pos`` and FRAME. A cut-off last frame is a faulty row."""
     from decimal import Decimal
 
     others = [c for c in df.columns if c != column]
-    kind = f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in re.split(r', (?=[a-z])', FRAME))}>>"
-    names = [x.split()[0] for x in re.split(r", (?=[a-z])", FRAME)]
-
-    def rows(raw: Any) -> list[dict] | None:
-        if raw is None:
-            return None
-        raw = bytes(raw)
-        found, end = split_frames(raw, **how)
-        if end < len(raw):
-            found.append(_faulty(raw[end:], "FRAME_INVALID: cut off", False))
-        return [dict(zip(names, (*(Decimal(x) if x is not None else None for x in f[:2]), *f[2:]), strict=True)) for f in found]
-
-    @F.pandas_udf(kind)
-    def slow(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield pd.Series([rows(x) for x in s], dtype=object)
-
-    raw = F.col(f"`{column}`")
-    if how:
-        read = slow(raw)
-    else:
-        text = F.decode(raw, "ISO-8859-1")
-        end = F.instr(text, "\n")
-        head = F.substr(text, F.lit(1), end - 1)
-        h = parse_header(head)
-        body = F.substring(raw, end + 1, h["len"].cast("int"))
-        rest = F.octet_length(raw) - end - h["len"]
-        ok = F.coalesce((end > 0) & head.rlike(_ONE_FRAME) & ((rest == 0) | (rest == 1) & text.endswith("\n")), F.lit(False))
-        error = F.when(h["crc"].isNotNull() & (F.crc32(body) != h["crc"]), "CRC_MISMATCH")
-        flags = F.when(h["crc"].isNotNull(), 1).otherwise(0) + F.when(h["base"].isNotNull(), 2).otherwise(0) + F.when(h["final"], 4).otherwise(0)
-        frame = {**{k: h[k] for k in ("sid", "seq", "kind", "kind_code", "len", "crc", "base", "final")}, "payload": body, "flags": flags, "error": error}
-        read = F.when(ok, F.array(F.struct(*(frame[n].alias(n) for n in names))).cast(kind)).otherwise(slow(F.when(~ok, raw)))
-    return df.select(*(F.col(f"`{c}`") for c in others), F.posexplode(read).alias("pos", "_f")).select(*(F.col(f"`{c}`") for c in others), "pos", *(F.col("_f")[n].alias(n) for n in names))
+    ddl = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others), "pos int", FRAME])
+    names = [*others, "pos", *(x.split()[0] for x in re.sub(r"\(20,0\)", "", FRAME).split(", "))]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for k, raw in enumerate(part[column]):
+                if raw is None:
+                    continue
+                raw = bytes(raw)
+                found, end = split_frames(raw, **how)
+                if end < len(raw):
+                    found.append(_faulty(raw[end:], "FRAME_INVALID: cut off", False))
+                own = [part[c].iloc[k] for c in others]
+                rows += [(*own, n, *(Decimal(x) if x is not None else None for x in f[:2]), *f[2:]) for n, f in enumerate(found)]
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    return df.mapInPandas(run, ddl)
 
 
 def verify_crc(payload: Column, crc: Column) -> Column:
