@@ -53,10 +53,11 @@ def shortest_digits(c: Column) -> Column:
     return Column(made.column(invoke(named("org.apache.spark.unsafe.types.UTF8String"), text, "fromString", seq(java), seq(), True, True, True, none)))
 
 
-def float_text(c: Column, exact: bool = True) -> Column:
+def float_text(c: Column, exact: bool = True, signed_zero: bool = False) -> Column:
     """Shortest digits that read back; an exponent from 1e6 and below 1e-4. NaN and infinities are their own words.
 
     Digits are exact, without leaving the JVM. ``exact=False`` takes the JVM's own digits, which have one too many for a few doubles of 16 digits and more.
+    Both zeros are ``0.0``, which is the canonical form; ``signed_zero`` keeps ``-0.0``, as SQL writes it.
     """
     c = c.cast("double")
     size = F.abs(c)
@@ -69,7 +70,7 @@ def float_text(c: Column, exact: bool = True) -> Column:
         least = F.array(*(F.lit(values.float_text(k * 5e-324)) for k in range(1, LEAST)))
         e = F.when(size < LEAST * 5e-324, F.concat(F.when(c < 0, "-").otherwise(""), F.element_at(least, F.round(size / 5e-324).cast("int")))).otherwise(e)
     return (
-        F.when((size >= 1e-3) & (size < 1e6), digits).when(c == 0, "0.0").when(F.isnan(c), "NaN").when(size == F.lit(float("inf")), F.when(c > 0, "Inf").otherwise("-Inf"))
+        F.when((size >= 1e-3) & (size < 1e6), digits).when(c == 0, digits if signed_zero else "0.0").when(F.isnan(c), "NaN").when(size == F.lit(float("inf")), F.when(c > 0, "Inf").otherwise("-Inf"))
         .when((size >= 1e-4) & (size < 1e-3), small).when(c.isNotNull(), e)
     )
 
@@ -139,14 +140,14 @@ def time_text(c: Column, t: T.DataType = T.TimestampType()) -> Column:
     return F.concat(F.replace(utc.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
-def scalar_text(c: Column, t: T.DataType, upper: bool = True, exact: bool = True) -> Column:
+def scalar_text(c: Column, t: T.DataType, upper: bool = True, exact: bool = True, signed_zero: bool = False) -> Column:
     """A scalar that is not null."""
     if isinstance(t, T.BooleanType):
         return bool_text(c)
     if isinstance(t, T.IntegralType):
         return int_text(c)
     if isinstance(t, (T.DoubleType, T.FloatType)):
-        return float_text(c, exact)
+        return float_text(c, exact, signed_zero)
     if isinstance(t, T.BinaryType):
         return bytes_text(c)
     if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
@@ -226,9 +227,9 @@ def table_text(c: Column, e: T.StructType, options: Options = DEFAULT, exact: bo
     return table_lines(F.size(c), F.array_join(F.transform(c, lambda x: table_row(x, e, options, exact)), ""), e, options)
 
 
-def typed_text(c: Column, t: T.DataType, kind: str = "", name: str = "", wire: bool = False, exact: bool = True) -> Column:
+def typed_text(c: Column, t: T.DataType, kind: str = "", name: str = "", wire: bool = False, exact: bool = True, signed_zero: bool = False) -> Column:
     """Typed text: structs carry a name and sort by raw key, maps are ``{k:v}``, null is ``∅``."""
-    down = lambda x, u, k="", n="": typed_text(x, u, k, n, wire, exact)
+    down = lambda x, u, k="", n="": typed_text(x, u, k, n, wire, exact, signed_zero)
     if isinstance(t, T.StructType) and kind == "id":
         body = ref_text(c["prefix"], c["value"])
     elif isinstance(t, T.StructType):
@@ -243,7 +244,7 @@ def typed_text(c: Column, t: T.DataType, kind: str = "", name: str = "", wire: b
         entries = F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].cast("string").alias("k"), down(e["value"], t.valueType).alias("v"))))
         body = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(string_text(e["k"], False), F.lit(":"), e["v"])), " "), F.lit("}"))
     else:
-        body = scalar_text(c, t, False, exact)
+        body = scalar_text(c, t, False, exact, signed_zero)
     return F.when(c.isNull(), F.lit("∅")).otherwise(body)
 
 
@@ -261,14 +262,14 @@ def mask_bits(text: Column, n: int) -> Column:
     return F.transform(F.split(padded, ""), lambda x: x == "1") if n else F.array().cast("array<boolean>")
 
 
-def packed_text(c: Column, t: T.StructType, kind: TypeDef, schema: Schema, bitmap: bool = True, exact: bool = True) -> Column:
+def packed_text(c: Column, t: T.StructType, kind: TypeDef, schema: Schema, bitmap: bool = True, exact: bool = True, signed_zero: bool = False) -> Column:
     """``T@(v …)`` in order of field ids or, where an optional field is null, ``T@{bm=0b…}(v …)``. A null required field raises."""
     fields = kind.by_fid()
     optional = [f for f in fields if f.optional]
 
     def value(f: FieldDef) -> Column:
         x = c[f.name]
-        text = _packed_value(x, t[f.name].dataType, f.type, schema, bitmap, exact)
+        text = _packed_value(x, t[f.name].dataType, f.type, schema, bitmap, exact, signed_zero)
         if f.optional:
             return F.coalesce(text, F.lit("∅"))
         return F.when(x.isNull(), F.raise_error(F.lit(f"missing required field: {kind.name}.{f.name}")).cast("string")).otherwise(text)
@@ -282,24 +283,24 @@ def packed_text(c: Column, t: T.StructType, kind: TypeDef, schema: Schema, bitma
     return F.when(c.isNotNull(), F.when(reduce(lambda a, b: a & b, present), dense).otherwise(sparse))
 
 
-def _packed_value(x: Column, t: T.DataType, spec, schema: Schema, bitmap: bool, exact: bool) -> Column:
+def _packed_value(x: Column, t: T.DataType, spec, schema: Schema, bitmap: bool, exact: bool, signed_zero: bool) -> Column:
     """Null stays null."""
     if spec.kind == "id" and isinstance(t, T.StructType):
         return F.when(x.isNotNull(), ref_text(x["prefix"], x["value"]))
     if spec.kind == "ref" and isinstance(t, T.StructType) and spec.name in schema.types:
         inner = schema.types[spec.name]
-        return packed_text(x, t, inner, schema, bitmap, exact) if inner.pack else F.when(x.isNotNull(), typed_text(x, t, name=inner.name, exact=exact))
+        return packed_text(x, t, inner, schema, bitmap, exact, signed_zero) if inner.pack else F.when(x.isNotNull(), typed_text(x, t, name=inner.name, exact=exact, signed_zero=signed_zero))
     if spec.kind == "list" and isinstance(t, T.ArrayType):
-        items = F.transform(x, lambda e: F.coalesce(_packed_value(e, t.elementType, spec.elem, schema, bitmap, exact), F.lit("∅")))
+        items = F.transform(x, lambda e: F.coalesce(_packed_value(e, t.elementType, spec.elem, schema, bitmap, exact, signed_zero), F.lit("∅")))
         return F.when(x.isNotNull(), F.concat(F.lit("["), F.array_join(items, " "), F.lit("]")))
-    return F.when(x.isNotNull(), typed_text(x, t, exact=exact))
+    return F.when(x.isNotNull(), typed_text(x, t, exact=exact, signed_zero=signed_zero))
 
 
-def tabular_text(c: Column, e: T.StructType, kind: TypeDef, schema: Schema, wire: bool = True, inline: bool = False, exact: bool = True) -> Column:
+def tabular_text(c: Column, e: T.StructType, kind: TypeDef, schema: Schema, wire: bool = True, inline: bool = False, exact: bool = True, signed_zero: bool = False) -> Column:
     """An array of structs as a typed table ``@tab T [columns]`` with rows on lines, or between bars on one line."""
     fields = kind.by_fid()
     names = " ".join(wire and f.wire or f.name for f in fields)
-    row = lambda x: F.concat_ws(" ", *(F.coalesce(_packed_value(x[f.name], e[f.name].dataType, f.type, schema, True, exact), F.lit("∅")) for f in fields))
+    row = lambda x: F.concat_ws(" ", *(F.coalesce(_packed_value(x[f.name], e[f.name].dataType, f.type, schema, True, exact, signed_zero), F.lit("∅")) for f in fields))
     if inline:
         return F.concat(F.lit(f"@tab {kind.name} [{names}] "), F.array_join(F.transform(c, row), " | "), F.lit(" @end"))
     return F.concat(F.lit(f"@tab {kind.name} [{names}]\n"), F.array_join(F.transform(c, lambda x: F.concat(row(x), F.lit("\n"))), ""), F.lit("@end"))
