@@ -165,14 +165,14 @@ def _sorted_fields(t: T.StructType) -> list[T.StructField]:
     return sorted(t.fields, key=lambda f: values.string_text(f.name).encode())
 
 
-def loose_text(c: Column, t: T.DataType, options: Options = DEFAULT, kind: str = "", absent_when_null: bool = False, exact: bool = True) -> Column:
+def loose_text(c: Column, t: T.DataType, options: Options = DEFAULT, kind: str = "", absent_when_null: bool = False, exact: bool = True, signed_zero: bool = False) -> Column:
     """Canonical loose text of a column of type ``t``. A null struct field is null, or with ``absent_when_null`` not there.
 
     NaN and infinities, which have no loose form, raise.
     """
     index = {k: i for i, k in enumerate(options.keys)}
     key = lambda k: f"#{index[k]}" if k in index else values.string_text(k)
-    down = lambda x, u, k="": loose_text(x, u, options, k, absent_when_null, exact)
+    down = lambda x, u, k="": loose_text(x, u, options, k, absent_when_null, exact, signed_zero)
     if isinstance(t, T.NullType):
         return null_text(options)
     if isinstance(t, T.StructType) and kind == "id":
@@ -190,13 +190,13 @@ def loose_text(c: Column, t: T.DataType, options: Options = DEFAULT, kind: str =
         body = listed
         e = t.elementType
         if options.auto_tabular and isinstance(e, T.StructType) and 0 < len(e.fields) <= options.max_cols and not absent_when_null:
-            body = F.when((F.size(c) >= options.min_rows) & ~F.exists(c, lambda x: x.isNull()), table_text(c, e, options, exact)).otherwise(listed)
+            body = F.when((F.size(c) >= options.min_rows) & ~F.exists(c, lambda x: x.isNull()), table_text(c, e, options, exact, signed_zero)).otherwise(listed)
     elif isinstance(t, T.MapType):
         entries = F.transform(F.map_entries(c), lambda e: F.struct(string_text(e["key"].cast("string")).alias("k"), down(e["value"], t.valueType).alias("v")))
         named = (lambda k: F.coalesce(F.element_at(F.create_map(*(x for kk, i in index.items() for x in (F.lit(values.string_text(kk)), F.lit(f"#{i}")))), k), k)) if index else lambda k: k
         body = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat(named(e["k"]), F.lit("="), e["v"])), " "), F.lit("}"))
     else:
-        body = scalar_text(c, t, exact=exact)
+        body = scalar_text(c, t, exact=exact, signed_zero=signed_zero)
         if isinstance(t, (T.DoubleType, T.FloatType)):
             body = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit("NaN and infinities have no loose form")).cast("string")).otherwise(body)
     return F.when(c.isNull(), null_text(options)).otherwise(body)
@@ -209,9 +209,9 @@ def _variant(c: Column, t: T.StructType, down, options: Options) -> Column:
     return whens
 
 
-def table_row(x, e: T.StructType, options: Options = DEFAULT, exact: bool = True) -> Column:
+def table_row(x, e: T.StructType, options: Options = DEFAULT, exact: bool = True, signed_zero: bool = False) -> Column:
     """A struct's line in a table; ``x`` gives a column for a name."""
-    cells = [F.replace(loose_text(x[f.name], f.dataType, options, _kind(f), exact=exact), F.lit("|"), F.lit("\\|")) for f in _sorted_fields(e)]
+    cells = [F.replace(loose_text(x[f.name], f.dataType, options, _kind(f), exact=exact, signed_zero=signed_zero), F.lit("|"), F.lit("\\|")) for f in _sorted_fields(e)]
     return F.concat(F.lit("|"), F.concat_ws("|", *cells), F.lit("|\n"))
 
 
@@ -222,9 +222,9 @@ def table_lines(n: Column, lines: Column, e: T.StructType, options: Options = DE
     return F.concat(F.lit("@tab _ rows="), n.cast("string"), F.lit(f" cols={len(e.fields)} [{names}]\n"), lines, F.lit("@end"))
 
 
-def table_text(c: Column, e: T.StructType, options: Options = DEFAULT, exact: bool = True) -> Column:
+def table_text(c: Column, e: T.StructType, options: Options = DEFAULT, exact: bool = True, signed_zero: bool = False) -> Column:
     """An array of structs as a table: header with numbers of rows and columns, a piped row each, ``@end``."""
-    return table_lines(F.size(c), F.array_join(F.transform(c, lambda x: table_row(x, e, options, exact)), ""), e, options)
+    return table_lines(F.size(c), F.array_join(F.transform(c, lambda x: table_row(x, e, options, exact, signed_zero)), ""), e, options)
 
 
 def typed_text(c: Column, t: T.DataType, kind: str = "", name: str = "", wire: bool = False, exact: bool = True, signed_zero: bool = False) -> Column:
@@ -333,7 +333,7 @@ def canon_row(df: DataFrame, cols: list[str] | None = None, options: Options = D
 
 
 def fingerprint_row(df: DataFrame, cols: list[str] | None = None, **how) -> Column:
-    """SHA-256 of the row's no-table form: equal for equal rows, whatever the columns' order."""
+    """SHA-256 of the row's no-table form: equal for equal rows, whatever the columns' order (with ``signed_zero``, zeros of different sign are not equal)."""
     return F.sha2(canon_row(df, cols, NO_TABULAR, **how), 256)
 
 
